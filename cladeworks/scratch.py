@@ -35,6 +35,12 @@ def stage(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unstage(df: DataFrame) -> None:
+    """Delete a table written by :func:`stage` that no later plan reads."""
+    for f in df.inputFiles()[:1]:
+        _delete(df.sparkSession, f.rpartition("/")[0])
+
+
 def free(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle files of plans that nothing refers to any more."""
     gc.collect()
