@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cladeworks.llm import edit_dups as E
+from cladeworks.llm import mixing as X
+from cladeworks.llm import packing as K
 from cladeworks.llm import set_join as J
+from cladeworks.operators.components import components
+from cladeworks.scratch import stage
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -27,7 +32,54 @@ def p2_links(spark, sf):
     return out.select(F.col("id").cast("int").alias("taxon_id"), F.col("class_id").cast("int"), F.col("n_links").cast("bigint"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_links)}
+def _p4(spark, sf):
+    c = table(spark, sf, "characters")
+    texts = c.select(F.col("seq_id").cast("bigint").alias("id"), E.clean_sequence(F.col("matrix"), F.col("gap"), F.col("missing")).alias("text"))
+    return E.near_duplicates(texts, threshold=0.6, k=8)
+
+
+def p4_found(spark, sf):
+    return J.expand(*_p4(spark, sf)).select(F.col("id_a").alias("seq_id_a"), F.col("id_b").alias("seq_id_b"))
+
+
+def p4_groups(spark, sf):
+    """One row per sequence that takes part: its class of equal texts, its group of linked classes and its number of links."""
+    pairs, members = _p4(spark, sf)
+    pairs = stage(pairs, "pairs")
+    names = members.groupBy("cid").agg(F.min("id").alias("class_id"))
+    linked = components(pairs, "cid_a", "cid_b").withColumnRenamed("node", "cid")
+    groups = names.join(linked, "cid", "left").select("cid", "class_id", F.coalesce("component", "cid").alias("component"))
+    least = groups.groupBy("component").agg(F.min("class_id").alias("group_id"))
+    out = J.link_counts(pairs, members).join(groups.join(least, "component").select("cid", "class_id", "group_id"), "cid")
+    return out.select(F.col("id").alias("seq_id"), "class_id", "group_id", F.col("n_links").cast("bigint"))
+
+
+def p6_packed(spark, sf):
+    lengths = K.token_lengths(table(spark, sf, "documents"))
+    kinds = K.container_list(spark, table(spark, sf, "container_sizes"))
+    return K.pack_documents(lengths, kinds).withColumnRenamed("id", "doc_id")
+
+
+def p6_report(spark, sf):
+    return K.utilisation(p6_packed(spark, sf))
+
+
+def _p7(spark, sf):
+    tokens = X.source_tokens(table(spark, sf, "documents"))
+    rates = X.rates(tokens, table(spark, sf, "mix_targets"))
+    return tokens, rates, X.mix(tokens, rates)
+
+
+def p7_mixed(spark, sf):
+    return _p7(spark, sf)[2].withColumnRenamed("id", "doc_id")
+
+
+def p7_shares(spark, sf):
+    tokens, rates, mixed = _p7(spark, sf)
+    return X.reached(mixed, tokens, rates)
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_links, p4_found, p4_groups, p6_packed, p6_report, p7_mixed, p7_shares)}
 
 _P2 = """WITH clean AS (SELECT DISTINCT taxon_id, regexp_replace(lower(mash_sketch), '[^0-9a-f]', '', 'g') AS h FROM mash_sketches WHERE taxon_id IS NOT NULL),
 vals AS (SELECT DISTINCT taxon_id, substr(h, i, 16) AS v FROM (SELECT taxon_id, h, unnest(generate_series(1, CAST(length(h) AS BIGINT), 16)) AS i FROM clean WHERE h <> '')),
@@ -36,7 +88,15 @@ pairs AS (SELECT a.taxon_id AS taxon_id_a, b.taxon_id AS taxon_id_b, count(*) AS
 found AS (SELECT taxon_id_a, taxon_id_b FROM pairs p JOIN sizes a ON a.taxon_id = p.taxon_id_a JOIN sizes b ON b.taxon_id = p.taxon_id_b WHERE 2 * c >= a.n + b.n - c)
 """
 
+_P4 = """WITH clean AS (SELECT DISTINCT seq_id, replace(translate(lower(matrix), lower(coalesce(gap, '') || coalesce(missing, '')), ''), 'u', 't') AS s FROM characters WHERE seq_id IS NOT NULL AND matrix IS NOT NULL),
+vals AS (SELECT DISTINCT seq_id, substr(s, i, 8) AS v FROM (SELECT seq_id, s, unnest(generate_series(1, CAST(length(s) AS BIGINT) - 7)) AS i FROM clean WHERE length(s) >= 8)),
+sizes AS (SELECT seq_id, count(*) AS n FROM vals GROUP BY seq_id),
+pairs AS (SELECT a.seq_id AS seq_id_a, b.seq_id AS seq_id_b, count(*) AS c FROM vals a JOIN vals b ON a.v = b.v AND a.seq_id < b.seq_id GROUP BY ALL),
+found AS (SELECT seq_id_a, seq_id_b FROM pairs p JOIN sizes a ON a.seq_id = p.seq_id_a JOIN sizes b ON b.seq_id = p.seq_id_b WHERE 10 * c >= 6 * (a.n + b.n - c))
+"""
+
 ORACLE = {
+    "p4_found": _P4 + "SELECT seq_id_a, seq_id_b FROM found",
     "p2_found": _P2 + "SELECT taxon_id_a, taxon_id_b FROM found",
     "p2_links": _P2 + """, keys AS (SELECT taxon_id, string_agg(v, '' ORDER BY v) AS k FROM vals GROUP BY taxon_id),
 ends AS (SELECT taxon_id_a AS t FROM found UNION ALL SELECT taxon_id_b FROM found), counts AS (SELECT t, count(*) AS c FROM ends GROUP BY t)
