@@ -9,6 +9,7 @@ from cladeworks.llm import edit_dups as E
 from cladeworks.llm import mixing as X
 from cladeworks.llm import packing as K
 from cladeworks.llm import set_join as J
+from cladeworks.llm import spam as S
 from cladeworks.operators.components import components
 from cladeworks.scratch import stage
 
@@ -79,7 +80,15 @@ def p7_shares(spark, sf):
     return X.reached(mixed, tokens, rates)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_links, p4_found, p4_groups, p6_packed, p6_report, p7_mixed, p7_shares)}
+def p8_found(spark, sf):
+    return S.spam_pages(table(spark, sf, "documents")).select(F.col("id").alias("doc_id"))
+
+
+def p8_scores(spark, sf):
+    return S.score_pages(table(spark, sf, "documents")).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_links, p4_found, p4_groups, p6_packed, p6_report, p7_mixed, p7_shares, p8_found, p8_scores)}
 
 _P2 = """WITH clean AS (SELECT DISTINCT taxon_id, regexp_replace(lower(mash_sketch), '[^0-9a-f]', '', 'g') AS h FROM mash_sketches WHERE taxon_id IS NOT NULL),
 vals AS (SELECT DISTINCT taxon_id, substr(h, i, 16) AS v FROM (SELECT taxon_id, h, unnest(generate_series(1, CAST(length(h) AS BIGINT), 16)) AS i FROM clean WHERE h <> '')),
