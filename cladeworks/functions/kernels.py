@@ -179,12 +179,11 @@ def dimension_filter(masks, weights, ntax, most: int = 4):
             pool = pool & adj[v]
         return best
 
-    while True:
-        big = [c for v in sorted(alive) if len(adj[v] & alive) >= most and len(c := clique(v)) > most]
-        if not big:
-            return [masks[i] for i in sorted(alive)]
-        worst = min({v for c in big for v in c}, key=lambda v: (weights[v] / (1 + len(adj[v] & alive)), masks[v]))
-        alive.discard(worst)
+    # removing nodes never enlarges a clique, so each node is settled once
+    for v in sorted(range(n), key=lambda x: (-len(adj[x]), x)):
+        while v in alive and len(adj[v] & alive) >= most and len(c := clique(v)) > most:
+            alive.discard(min(c, key=lambda x: (weights[x] / (1 + len(adj[x] & alive)), masks[x])))
+    return [masks[i] for i in sorted(alive)]
 
 
 # ---------------------------------------------------------------- trees from distances: (parent, child, length), leaves 0..n-1

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import heapq
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Parts in which the smallest hashes of one genome are found before they are merged.
-PARTS = 64
-
-
 def kmers(seqs: DataFrame, k: int) -> DataFrame:
     """``genome, h``: distinct md5 digests of all runs of ``k`` characters. ``seqs``: ``genome, seq`` (several rows allowed)."""
     at = F.explode(F.sequence(F.lit(1), F.char_length("seq") - k + 1)).alias("i")
@@ -17,11 +17,28 @@ def kmers(seqs: DataFrame, k: int) -> DataFrame:
 
 
 def sketch(seqs: DataFrame, k: int = 15, s: int = 1000) -> DataFrame:
-    """``genome, h``: the ``s`` smallest digests of each genome, by parts first so that no task holds a whole genome."""
-    x = kmers(seqs, k)
-    part = F.pmod(F.crc32(F.col("h").cast("binary")), F.lit(PARTS))
-    small = Window.partitionBy("genome", "part").orderBy("h")
-    x = x.withColumn("part", part).withColumn("r", F.row_number().over(small)).filter(F.col("r") <= s)
+    """``genome, h``: the ``s`` smallest distinct digests of each genome.
+
+    Every task keeps only the ``s`` smallest of each genome it meets, so at most tasks x genomes x s rows are shuffled.
+    """
+
+    def smallest(batches):
+        kept: dict[str, set] = {}
+        limit: dict[str, str] = {}
+        for b in batches:
+            for genome, seq in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                mine, top = kept.setdefault(genome, set()), limit.get(genome, "g")
+                raw = {seq[i : i + k] for i in range(len(seq) - k + 1)}
+                mine.update(h for x in raw if (h := hashlib.md5(x.encode()).hexdigest()) < top)
+                if len(mine) > 4 * s:
+                    kept[genome] = set(heapq.nsmallest(s, mine))
+                    limit[genome] = max(kept[genome])
+        for genome, mine in kept.items():
+            out = heapq.nsmallest(s, mine)
+            yield pa.RecordBatch.from_arrays([pa.array([genome] * len(out), pa.string()), pa.array(out, pa.string())], ["genome", "h"])
+
+    src = seqs.filter(F.col("genome").isNotNull() & (F.char_length("seq") >= k)).select(F.col("genome").cast("string").alias("genome"), "seq")
+    x = src.mapInArrow(smallest, "genome string, h string").distinct()
     whole = Window.partitionBy("genome").orderBy("h")
     return x.withColumn("r", F.row_number().over(whole)).filter(F.col("r") <= s).select("genome", "h")
 
