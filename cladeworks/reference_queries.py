@@ -314,9 +314,9 @@ def trees_fair_proportions(spark, sf):
 @query("trees_equal_splits", f"""WITH {B.CLUSTERS_SQL}, tx AS (SELECT unnest(generate_series(1, {NTAX}))::INTEGER AS t),
 par AS (SELECT c.tree_id, c.mask, arg_min(p.mask, bit_count(p.mask)) AS up FROM b5 c JOIN b5 p ON p.tree_id = c.tree_id AND p.mask & c.mask = c.mask AND p.mask <> c.mask GROUP BY ALL),
 deg AS (SELECT tree_id, up, count(*) AS k FROM par GROUP BY ALL), fac AS (SELECT b5.tree_id, b5.mask, b5.weight, coalesce(ln(k), 0) AS l FROM b5 LEFT JOIN par ON par.tree_id = b5.tree_id AND par.mask = b5.mask LEFT JOIN deg ON deg.tree_id = par.tree_id AND deg.up = par.up)
-SELECT a.tree_id, t AS taxon, round(sum(a.weight * exp(-coalesce((SELECT sum(d.l) FROM fac d WHERE d.tree_id = a.tree_id AND d.mask & a.mask = d.mask AND d.mask <> a.mask AND (d.mask >> (t-1)) & 1 = 1), 0))), 4) AS value FROM fac a, tx WHERE (a.mask >> (t-1)) & 1 = 1 GROUP BY ALL""")
+SELECT a.tree_id, t AS taxon, round(sum(a.weight * exp(-coalesce((SELECT sum(d.l) FROM fac d WHERE d.tree_id = a.tree_id AND d.mask & a.mask = d.mask AND d.mask <> a.mask AND (d.mask >> (t-1)) & 1 = 1), 0))), 10) AS value FROM fac a, tx WHERE (a.mask >> (t-1)) & 1 = 1 GROUP BY ALL""")
 def trees_equal_splits(spark, sf):
-    return T.equal_splits(B.clusters(spark, sf), NTAX).select("tree_id", F.col("taxon").cast("int"), F.round("value", 4).alias("value"))
+    return T.equal_splits(B.clusters(spark, sf), NTAX).select("tree_id", F.col("taxon").cast("int"), F.round("value", 10).alias("value"))
 
 
 @query("trees_diversity", f"WITH {B.CLUSTERS_SQL} SELECT tree_id, round(sum(CASE WHEN mask & 31 NOT IN (0, 31) THEN weight ELSE 0 END), 6) AS diversity FROM b5 GROUP BY tree_id")
