@@ -97,7 +97,7 @@ def _sizes(nodes: DataFrame, tables: list[DataFrame]) -> DataFrame:
     parts, held = [nodes.select("node", F.lit(1).cast("bigint").alias("size"))], None
     for k, t in enumerate(tables):
         mine = t.select("node", "anc", F.lit(1).cast("bigint").alias("s")) if held is None else t.join(held, "node")
-        below = stage(mine.groupBy("anc").agg(F.sum("s").alias("size")).select(F.col("anc").alias("node"), "size"), "size")
+        below = mine.groupBy("anc").agg(F.sum("s").alias("size")).select(F.col("anc").alias("node"), "size")
         parts.append(below)
         if k + 1 < len(tables):
             add = below.select("node", F.col("size").alias("more"))
@@ -129,9 +129,7 @@ def build_hierarchy(links: DataFrame) -> DataFrame:
     links = stage(known_parents(links), "links")
     tables, left, _ = jump_tables(links)
     forest = links if left is None else stage(links.join(left.select("node"), "node", "left_anti"), "forest")
-    if left is not None:
-        bad = left.select("node")
-        tables = [stage(t.join(bad, "node", "left_anti"), "jump") for t in tables]
+    # the nodes on and below loops stay in the jump tables: their ancestors are all such nodes, so they touch no other
     at = _depths(forest, tables)
     sized = stage(forest.join(at, "node").join(_sizes(forest, tables), "node"), "sized")
 
