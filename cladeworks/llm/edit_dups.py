@@ -33,7 +33,9 @@ from cladeworks.llm.stream import bounds, column, whole_runs
 from cladeworks.scratch import free, stage
 
 POSITIONS = 128
-LIMIT = 256
+#: Texts of a node from which it branches instead of being compared. The most frequent minwise value of a position is held
+#: by (runs of a text / different runs of the language) of all texts, so smaller limits only add levels.
+LIMIT = 1000
 DEPTH = 3
 #: A node is split before the shuffle if it has more than this share of a level's rows.
 GIANT = 2000
@@ -42,8 +44,9 @@ SLACK = 4.5
 BITS = ("b0", "b1", "b2", "b3")
 
 _rng = np.random.default_rng(20260101)
-_MULT = _rng.integers(0, 2**63, POSITIONS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _rng.integers(0, 2**63, POSITIONS, dtype=np.int64).astype(np.uint64)
+_MULT = _rng.integers(0, 2**32, POSITIONS, dtype=np.int64).astype(np.uint32) | np.uint32(1)
+_ADD = _rng.integers(0, 2**32, POSITIONS, dtype=np.int64).astype(np.uint32)
+_SALT = _rng.integers(0, 2**63, POSITIONS, dtype=np.int64).astype(np.uint64)
 
 
 def clean_sequence(text: Column, *dropped: Column) -> Column:
@@ -62,7 +65,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def runs(text: str, k: int) -> np.ndarray:
     """Distinct runs of ``k`` characters as 64-bit values; exact for up to 8 ASCII characters."""
-    if k <= 8 and text.isascii():
+    if k == 8 and text.isascii():
+        a = np.frombuffer(text.encode(), np.uint8)
+        out = np.sort(np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(a, 8)).view(np.uint64)[:, 0])
+        return out[np.concatenate([[True], out[1:] != out[:-1]])]
+    if k < 8 and text.isascii():
         a = np.frombuffer(text.encode(), np.uint8).astype(np.uint64)
         out = np.zeros(len(a) - k + 1, np.uint64)
         for i in range(k):
@@ -77,11 +84,10 @@ def runs(text: str, k: int) -> np.ndarray:
 
 def minwise(text: str, k: int) -> np.ndarray:
     """Minwise values (32 bits) of a text at all positions; long texts are read in slices of their runs."""
-    x = mix(runs(text, k))
-    best = np.full(POSITIONS, 2**32 - 1, np.uint64)
+    x = (mix(runs(text, k)) >> np.uint64(32)).astype(np.uint32)
+    best = np.full(POSITIONS, 2**32 - 1, np.uint32)
     for s in range(0, len(x), 4096):
-        part = (x[s : s + 4096, None] * _MULT + _ADD) >> np.uint64(32)
-        best = np.minimum(best, part.min(axis=0))
+        best = np.minimum(best, (_MULT[:, None] * x[None, s : s + 4096] + _ADD[:, None]).min(axis=1))
     return best
 
 
@@ -93,7 +99,7 @@ def sketch(values: np.ndarray) -> np.ndarray:
 
 def _picked(node: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """(row, position) of the positions that each node branches on."""
-    h = mix(node.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + _ADD[None, :])
+    h = mix(node.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + _SALT[None, :])
     return np.nonzero(h < np.uint64(int(2.0**64 / (threshold * POSITIONS))))
 
 
@@ -115,7 +121,7 @@ def _children(df: DataFrame, k: int, threshold: float, trees: int, giants: np.nd
                 for x in texts:
                     if x not in known:
                         known[x] = minwise(x, k)
-                values = np.array([known[x] for x in texts], np.uint64)
+                values = np.array([known[x] for x in texts], np.uint32)
                 cid, root = column(part, "cid"), np.asarray(part.column(2).is_null())
                 node = part.column(2).fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)
                 all_rows = np.flatnonzero(root)
@@ -245,7 +251,7 @@ def _blocks(over: DataFrame, texts: DataFrame, k: int, threshold: float) -> Data
 def _sketches(texts: DataFrame, k: int) -> DataFrame:
     def run(batches):
         for b in batches:
-            words = sketch(np.array([minwise(x, k) for x in b.column(1).to_pylist()], np.uint64).reshape(b.num_rows, POSITIONS))
+            words = sketch(np.array([minwise(x, k) for x in b.column(1).to_pylist()], np.uint32).reshape(b.num_rows, POSITIONS))
             yield pa.RecordBatch.from_arrays([b.column(0)] + [pa.array(np.ascontiguousarray(words[:, i])) for i in range(4)], ["cid", *BITS])
 
     return texts.select("cid", "text").mapInArrow(run, "cid bigint, b0 bigint, b1 bigint, b2 bigint, b3 bigint")
