@@ -213,3 +213,106 @@ def similarity_to_distance(sim: DataFrame, method: str, fallback: float = 1.0) -
     ok = (F.col("s") >= 0) & (F.col("s") <= scale) & ((F.col("s") > 0) | F.lit("log" not in method and "odds" not in method))
     d = F.when(ok, v).otherwise(F.lit(fallback))
     return sim.select(F.least("t1", "t2").alias("t1"), F.greatest("t1", "t2").alias("t2"), d.alias("d")).filter("t1 < t2").groupBy("t1", "t2").agg(F.avg("d").alias("d"))
+
+
+# ---------------------------------------------------------------- models fitted pair by pair
+
+
+def _state_matrices(pairs: DataFrame, states: str) -> DataFrame:
+    """``t1, t2, f ARRAY<DOUBLE>``: shares of the states' combinations, row by row."""
+    low = pairs.select("t1", "t2", F.lower("ca").alias("ca"), F.lower("cb").alias("cb"), "w").filter(F.col("ca").isin(*states) & F.col("cb").isin(*states))
+    at = lambda c: F.instr(F.lit(states), F.col(c)) - 1
+    cells = low.select("t1", "t2", (at("ca") * len(states) + at("cb")).alias("k"), "w")
+    m = cells.groupBy("t1", "t2").agg(F.map_from_entries(F.collect_list(F.struct("k", "w"))).alias("m"), F.sum("w").alias("n"))
+    f = F.transform(F.sequence(F.lit(0), F.lit(len(states) ** 2 - 1)), lambda k: F.coalesce(F.col("m")[k], F.lit(0.0)) / F.col("n"))
+    return m.select("t1", "t2", f.alias("f"))
+
+
+def rate_matrix(exchange, frequencies):
+    """Normalised reversible rate matrix: exchangeabilities (symmetric) times target frequencies, mean rate 1."""
+    import numpy as np
+
+    pi = np.asarray(frequencies, float) / np.sum(frequencies)
+    q = np.asarray(exchange, float) * pi[None, :]
+    np.fill_diagonal(q, 0)
+    np.fill_diagonal(q, -q.sum(1))
+    return q / -(pi * np.diag(q)).sum(), pi
+
+
+def hky_exchange(frequencies, ts_tv_ratio: float = 2.0):
+    """Exchangeabilities of bases a, c, g, t with the given expected ratio of transitions to transversions."""
+    import numpy as np
+
+    a, c, g, t = frequencies
+    kappa = ts_tv_ratio * (a + g) * (c + t) / (a * g + c * t)
+    x = np.ones((4, 4))
+    x[0, 2] = x[2, 0] = x[1, 3] = x[3, 1] = kappa
+    return x
+
+
+def _per_pair(pairs: DataFrame, states: str, of) -> DataFrame:
+    import numpy as np
+    import pandas as pd
+
+    def run(batches):
+        for p in batches:
+            r = len(states)
+            d = [of(np.asarray(f, float).reshape(r, r)) for f in p.f]
+            yield pd.DataFrame({"t1": p.t1, "t2": p.t2, "d": np.array(d, float)})
+
+    out = _state_matrices(pairs, states).mapInPandas(run, "t1 int, t2 int, d double")
+    return out.select("t1", "t2", F.when(~F.isnan("d"), F.col("d")).alias("d"))
+
+
+def ml_distance(pairs: DataFrame, exchange, frequencies, states: str = BASES, longest: float = 2.0) -> DataFrame:
+    """Maximum-likelihood distance under any reversible model (HKY85, GTR or a protein matrix given as ``exchange``).
+
+    The likelihood of a pair's state counts is maximised over the branch length by golden section.
+    """
+    import numpy as np
+
+    q, pi = rate_matrix(exchange, frequencies)
+    s = np.sqrt(pi)
+    val, vec = np.linalg.eigh((q * s[:, None] / s[None, :] + (q * s[:, None] / s[None, :]).T) / 2)
+    left, right = vec / s[:, None], vec.T * s[None, :]
+
+    def of(f):
+        def loss(t):
+            p = np.maximum(left @ (np.exp(val * t)[:, None] * right), 1e-300)
+            return -(f * np.log(p)).sum()
+
+        g, lo, hi = (5**0.5 - 1) / 2, 1e-8, longest
+        a, b = hi - g * (hi - lo), lo + g * (hi - lo)
+        fa, fb = loss(a), loss(b)
+        while hi - lo > 1e-7:
+            if fa < fb:
+                hi, b, fb = b, a, fa
+                a = hi - g * (hi - lo)
+                fa = loss(a)
+            else:
+                lo, a, fa = a, b, fb
+                b = lo + g * (hi - lo)
+                fb = loss(b)
+        return (lo + hi) / 2
+
+    return _per_pair(pairs, states, of)
+
+
+def hky85(pairs: DataFrame, frequencies: tuple[float, ...] = (0.25,) * 4, ts_tv_ratio: float = 2.0) -> DataFrame:
+    return ml_distance(pairs, hky_exchange(frequencies, ts_tv_ratio), frequencies)
+
+
+def gtr(pairs: DataFrame, frequencies: tuple[float, ...] = (0.25,) * 4, pinv: float = 0.0) -> DataFrame:
+    """General time-reversible distance: minus the trace of the frequencies times the logarithm of the symmetrised shares."""
+    import numpy as np
+
+    pi = np.asarray(frequencies, float)
+    s = np.sqrt(pi)
+
+    def of(f):
+        val, vec = np.linalg.eigh((f + f.T) / 2 / np.outer(s, s))
+        if (val <= pinv).any():
+            return np.nan
+        return float(-(pi[:, None] * vec**2 * np.log((val - pinv) / (1 - pinv))[None, :]).sum())
+
+    return _per_pair(pairs, BASES, of)

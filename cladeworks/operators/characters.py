@@ -120,3 +120,64 @@ def haplotypes(chars: DataFrame) -> DataFrame:
     row = chars.groupBy("taxon").agg(F.sha2(F.concat_ws("|", F.array_sort(F.collect_list(F.concat_ws("=", F.col("site").cast("string"), "ch")))), 256).alias("h"))
     g = row.groupBy("h").agg(F.min("taxon").alias("haplotype"), F.count(F.lit(1)).alias("size"))
     return row.join(g, "h").select("taxon", "haplotype", "size")
+
+
+def phi_test(chars: DataFrame, window: int = 100, gap: str = "-", missing: str = "?") -> DataFrame:
+    """One row ``informative, k, phi, mean, variance, p``: pairwise homoplasy index test for recombination.
+
+    A site is informative with at least two states seen twice. Two sites' incompatibility is edges - nodes + parts of the
+    graph of their states. The mean over close pairs is held against its moments when sites are shuffled (band matrix
+    against incompatibilities, by the moments of a two-matrix permutation statistic). p is -1 with too few sites.
+    The informative sites' pairs go through one task, which holds sites x sites numbers.
+    """
+    import math
+
+    import numpy as np
+    import pandas as pd
+
+    cells = chars.select("site", "taxon", F.lower("ch").alias("ch")).filter(~F.col("ch").isin(gap, missing))
+    n = cells.groupBy("site", "ch").agg(F.count(F.lit(1)).alias("c"))
+    ok = n.filter("c >= 2").groupBy("site").agg(F.count(F.lit(1)).alias("k")).filter("k >= 2").select("site")
+    sites = chars.agg(F.count_distinct("site")).scalar()
+    rows = cells.join(ok, "site").groupBy("site").agg(F.map_from_entries(F.collect_list(F.struct(F.col("taxon").cast("string"), "ch"))).alias("m")).withColumn("sites", sites)
+
+    def score(x, y):
+        both = x.keys() & y.keys()
+        edges = {(x[t], y[t]) for t in both}
+        nodes = {("x", v) for v in x.values()} | {("y", v) for v in y.values()}
+        up = {v: v for v in nodes}
+
+        def find(v):
+            while up[v] != v:
+                v = up[v]
+            return v
+
+        for a, b in edges:
+            up[find(("x", a))] = find(("y", b))
+        return len(edges) - len(nodes) + len({find(v) for v in nodes})
+
+    def run(p):
+        p = p.sort_values("site")
+        maps = [dict(m) for m in p.m]
+        m, total = len(maps), int(p.sites.iloc[0])
+        k = max(1, int(window * m / total + 0.5))
+        s = np.zeros((m, m))
+        for i in range(m):
+            for j in range(i + 1, m):
+                s[i, j] = s[j, i] = score(maps[i], maps[j])
+        out = {"informative": m, "k": k, "phi": np.nan, "mean": np.nan, "variance": np.nan, "p": -1.0}
+        if m >= 2 * k and m > 3:
+            i = np.arange(m)
+            near = ((np.abs(i[:, None] - i[None, :]) <= k) & (i[:, None] != i[None, :])).astype(float)
+            a0, a1, a2 = near.sum(), (near**2).sum(), (near.sum(1) ** 2).sum()
+            b0, b1, b2 = s.sum(), (s**2).sum(), (s.sum(1) ** 2).sum()
+            n2, n3, n4 = m * (m - 1), m * (m - 1) * (m - 2), m * (m - 1) * (m - 2) * (m - 3)
+            mean = a0 * b0 / n2
+            square = 2 * a1 * b1 / n2 + 4 * (a2 - a1) * (b2 - b1) / n3 + (a0**2 + 2 * a1 - 4 * a2) * (b0**2 + 2 * b1 - 4 * b2) / n4
+            var = square - mean**2
+            t = (near * s).sum()
+            z = (t - mean) / math.sqrt(var) if var > 0 else 0.0
+            out |= {"phi": t / a0, "mean": mean / a0, "variance": var / a0**2, "p": 0.5 * math.erfc(-z / math.sqrt(2))}
+        return pd.DataFrame([out])
+
+    return rows.withColumn("g", F.lit(1)).groupBy("g").applyInPandas(run, "informative int, k int, phi double, mean double, variance double, p double")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cladeworks import bridge as B
+from cladeworks.operators import bootstrap as Z
 from cladeworks.operators import char_distances as D
 from cladeworks.operators import characters as C
 from cladeworks.operators import distances as M
+from cladeworks.operators import networks as W
 from cladeworks.operators import sketches as K
 from cladeworks.operators import splits as S
 from cladeworks.operators import trees as T
@@ -441,3 +444,101 @@ def sketch_mash(spark, sf):
 SELECT id, bits, ones, round(CASE WHEN ones < bits THEN -bits / 7.0 * ln(1 - 1.0 * ones / bits) END, 6) AS estimate FROM b""")
 def sketch_bloom_statistics(spark, sf):
     return K.bloom_statistics(B.table(spark, sf, "bloom_filters"), "taxon_id", "bloom_filter").select("id", "bits", F.col("ones").cast("int"), F.round("estimate", 6).alias("estimate"))
+
+
+# ------------------------------------------------------------------ models, bootstrap, networks
+
+query("dist_hky85")(lambda spark, sf: _out(D.repair(D.hky85(_dna_pairs(spark, sf)))))
+query("dist_gtr")(lambda spark, sf: _out(D.repair(D.gtr(_dna_pairs(spark, sf)))))
+query("char_phi_test")(lambda spark, sf: C.phi_test(B.dna(spark, sf)))
+
+REPS = 20
+_BOOT = f"""WITH {B.PRESENCE_SQL}, m AS (SELECT site, bit_or(1::BIGINT << (taxon-1)) AS m FROM b1 GROUP BY site), no AS (SELECT site, row_number() OVER (ORDER BY site) - 1 AS no FROM m), n AS (SELECT count(*) AS n FROM m),
+d AS (SELECT rep, CAST('0x' || substr(md5('42:' || rep || ':' || no), 1, 7) AS BIGINT) % n AS no FROM no, n, (SELECT unnest(generate_series(1, {REPS})) AS rep) r),
+s AS (SELECT rep, site, count(*) AS times FROM d JOIN no USING (no) GROUP BY ALL)"""
+
+
+def _site_masks(spark, sf):
+    p = B.presence(spark, sf)
+    return p.groupBy("site").agg(F.bit_or(S.bit(F.col("taxon"))).alias("m")).persist()
+
+
+@query("bootstrap_draws", _BOOT + " SELECT CAST(rep AS INTEGER) AS rep, site, times FROM s")
+def bootstrap_draws(spark, sf):
+    return Z.draws(_site_masks(spark, sf).select("site"), REPS)
+
+
+@query("bootstrap_splits", _BOOT + f", w AS (SELECT rep, CASE WHEN m & 1 <> 0 THEN {_FULL} - m ELSE m END AS mask, sum(times) AS w FROM s JOIN m USING (site) WHERE m <> {_FULL} GROUP BY ALL), g AS (SELECT mask, count(*) AS n, avg(w) AS weight FROM w GROUP BY mask) SELECT mask, n, round(100.0 * n / {REPS}, 6) AS confidence, round(weight, 6) AS weight FROM g WHERE 100.0 * n / {REPS} >= 10")
+def bootstrap_splits(spark, sf):
+    m = _site_masks(spark, sf)
+    masks = m.filter(F.col("m") != S.full_mask(NTAX)).select("site", S.canonical(F.col("m"), NTAX).alias("mask"))
+    return Z.split_support(masks, Z.draws(m.select("site"), REPS), REPS, 10.0).select("mask", "n", F.round("confidence", 6).alias("confidence"), F.round("weight", 6).alias("weight"))
+
+
+@query("bootstrap_nj_support")
+def bootstrap_nj_support(spark, sf):
+    """Support of the neighbor-joining tree of the P-distances, over replicates that each run distances and tree in their own group."""
+    from cladeworks.functions import kernels
+
+    p = B.dna(spark, sf)
+    a, b = p.select(F.col("taxon").alias("t1"), "site", F.col("ch").alias("x")), p.select(F.col("taxon").alias("t2"), "site", F.col("ch").alias("y"))
+    pairs = a.join(b, "site").filter("t1 < t2").select("site", "t1", "t2", (F.col("x") != F.col("y")).alias("differ"))
+    d = Z.replicate_distances(pairs, Z.draws(p.select("site").distinct(), REPS))
+    run = lambda m, t: M._split_rows(kernels.tree_splits(kernels.neighbor_joining(m), len(t)), t)
+    reps = M._apply(d, ("rep",), M.SPLITS, run).select("rep", "mask")
+    own = M._apply(D.p_distance(C.pair_counts(p)), (), M.SPLITS, run)
+    return Z.tree_support(reps, own, REPS)
+
+
+@query("trees_consensus_tree")
+def trees_consensus_tree(spark, sf):
+    return W.cluster_tree(T.consensus_clusters(B.clusters(spark, sf)), NTAX)
+
+
+@query("trees_greedy_consensus_tree")
+def trees_greedy_consensus_tree(spark, sf):
+    return W.cluster_tree(S.greedy_compatible(T.consensus_splits(B.clusters(spark, sf), NTAX, 0.0, "count"), NTAX), NTAX)
+
+
+@query("trees_average_consensus")
+def trees_average_consensus(spark, sf):
+    return M.neighbor_net(T.average_distances(B.clusters(spark, sf), NTAX))
+
+
+@query("trees_super_network")
+def trees_super_network(spark, sf):
+    """Partial splits: each tree restricted to the taxa whose number is not congruent to the tree's modulo 5."""
+    c = B.clusters(spark, sf)
+    taxa = sum(1 << k for k in range(NTAX))
+    drop = F.element_at(F.array(*(F.lit(taxa & ~sum(1 << k for k in range(NTAX) if k % 5 == r)).cast("bigint") for r in range(5))), F.pmod("tree_id", F.lit(5)) + 1)
+    a = F.col("mask").bitwiseAND(drop)
+    parts = c.select("tree_id", a.alias("a"), drop.bitwiseAND(F.bitwise_not("mask")).alias("b")).filter("bit_count(a) > 1 and bit_count(b) > 1").distinct()
+    return W.super_network(parts, NTAX)
+
+
+@query("network_stretch_filter")
+def network_stretch_filter(spark, sf):
+    d = B.label_distances(spark, sf).select(F.col("t1").alias("src"), F.col("t2").alias("dst"), F.col("d").alias("weight"))
+    return W.stretch_filter(d, list(range(1, 11)), 10.0)
+
+
+@query("network_path_distances")
+def network_path_distances(spark, sf):
+    d = M.min_spanning_network(B.label_distances(spark, sf)).select(F.col("t1").alias("src"), F.col("t2").alias("dst"), F.col("d").alias("weight"))
+    return M.path_distances(d, list(range(1, 11)))
+
+
+@query("network_median_joining")
+def network_median_joining(spark, sf):
+    """Nations' presence in the order quarters of the whole period, as two-state sequences."""
+    q = B._by_customer_nation(spark, sf).groupBy("taxon", F.quarter("l_shipdate").alias("q"), "l_returnflag").agg(F.sum("l_quantity").alias("s"))
+    high = q.withColumn("hi", (F.col("s") > F.avg("s").over(Window.partitionBy("q", "l_returnflag"))).cast("int"))
+    rows = high.groupBy("taxon").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("q", "l_returnflag", "hi"))), lambda x: x["hi"].cast("string")), "").alias("seq"))
+    return W.median_joining(rows)
+
+
+@query("char_parsimony_splits")
+def char_parsimony_splits(spark, sf):
+    rows = B.dna(spark, sf)
+    full = C.site_patterns(rows).select(F.posexplode("pattern").alias("i", "ch"), "pattern", "w").select((F.col("i") + 1).alias("taxon"), F.array_join("pattern", "").alias("p"), "ch")
+    return W.parsimony_splits(full.groupBy("taxon").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "ch"))), lambda x: x["ch"]), "").alias("seq")))
