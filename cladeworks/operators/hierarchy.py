@@ -81,32 +81,39 @@ def find_cycles(links: DataFrame) -> DataFrame:
     return loops(left, n, 2 ** len(tables), links)
 
 
-def _depths(links: DataFrame, tables: list[DataFrame]) -> DataFrame:
-    """``node, root, depth`` of the nodes of a forest: who drops out between 2^k and 2^(k+1) knows its ancestor's depth."""
+def climb(links: DataFrame, sizes: bool = False) -> DataFrame:
+    """``node, root, depth`` (and ``size`` of the subtree) of every node that reaches a root. ``links``: ``node, parent``.
+
+    In round k a node still climbing knows its ancestor at distance 2^k and ``held``, its descendants nearer than that. It
+    is done as soon as that ancestor is, so the table of climbers shrinks; what it held counts for the ancestor's size. Nodes
+    on and below loops climb on until a round settles nobody.
+    """
+    one = F.lit(1).cast("bigint").alias("held")
     done = links.filter("parent is null").select("node", F.col("node").alias("root"), F.lit(0).alias("depth"))
-    for k, t in enumerate(tables):
-        drop = t.join(tables[k + 1], "node", "left_anti") if k + 1 < len(tables) else t
-        base = done.select(F.col("node").alias("anc"), "root", "depth")
-        new = drop.join(base, "anc").select("node", "root", (F.col("depth") + 2**k).alias("depth"))
-        done = stage(done.unionByName(new), "depth")
-    return done
-
-
-def _sizes(nodes: DataFrame, tables: list[DataFrame]) -> DataFrame:
-    """``node, size``: nodes in each subtree, the node included."""
-    parts, held = [nodes.select("node", F.lit(1).cast("bigint").alias("size"))], None
-    for k, t in enumerate(tables):
-        mine = t.select("node", "anc", F.lit(1).cast("bigint").alias("s")) if held is None else t.join(held, "node")
-        below = mine.groupBy("anc").agg(F.sum("s").alias("size")).select(F.col("anc").alias("node"), "size")
-        parts.append(below)
-        if k + 1 < len(tables):
-            add = below.select("node", F.col("size").alias("more"))
-            held = mine.select("node", "s").join(tables[k + 1].select("node"), "node", "left_semi").join(add, "node", "left").select("node", (F.col("s") + F.coalesce("more", F.lit(0))).alias("s"))
-            held = stage(held, "held")
-    out = parts[0]
+    now = links.filter("parent is not null").select("node", F.col("parent").alias("anc"), one)
+    parts, step, left = [links.select("node", one.alias("size"))], 1, -1
+    while True:
+        below = now.groupBy("anc").agg(F.sum("held").alias("size")).select(F.col("anc").alias("node"), "size")
+        if sizes:
+            parts.append(below)
+        state = done.select("node", "root", "depth", F.lit(None).cast("bigint").alias("up")).unionByName(now.select("node", F.lit(None).cast("bigint").alias("root"), F.lit(None).cast("int").alias("depth"), F.col("anc").alias("up")))
+        x = now.join(state.withColumnRenamed("node", "anc"), "anc").select("node", "held", "root", (F.col("depth") + step).alias("depth"), "up")
+        if sizes:
+            x = x.join(below.withColumnRenamed("size", "more"), "node", "left").withColumn("held", F.col("held") + F.coalesce("more", F.lit(0)))
+        table = stage(x, "climb")
+        done = done.unionByName(table.filter("root is not null").select("node", "root", "depth"))
+        now = table.filter("root is null").select("node", F.col("up").alias("anc"), "held")
+        step *= 2
+        n = now.count()
+        if n in (0, left):
+            break
+        left = n
+    if not sizes:
+        return done
+    size = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("node").agg(F.sum("size").alias("size"))
+        size = size.unionByName(p)
+    return done.join(size.groupBy("node").agg(F.sum("size").alias("size")), "node")
 
 
 def _sibling_offsets(light: DataFrame) -> DataFrame:
@@ -127,11 +134,7 @@ def build_hierarchy(links: DataFrame) -> DataFrame:
     first, other children by id). Nodes on or below loops are left out: see :func:`find_cycles`.
     """
     links = stage(known_parents(links), "links")
-    tables, left, _ = jump_tables(links)
-    forest = links if left is None else stage(links.join(left.select("node"), "node", "left_anti"), "forest")
-    # the nodes on and below loops stay in the jump tables: their ancestors are all such nodes, so they touch no other
-    at = _depths(forest, tables)
-    sized = stage(forest.join(at, "node").join(_sizes(forest, tables), "node"), "sized")
+    sized = stage(links.join(climb(links, sizes=True), "node"), "sized")
 
     best = F.max(F.struct("size", (-F.col("node")).alias("neg")))
     heavy = sized.filter("parent is not null").groupBy("parent").agg(best.alias("h")).select(F.col("parent").alias("p"), (-F.col("h.neg")).alias("heavy"), F.col("h.size").alias("heavy_size"))
@@ -139,7 +142,7 @@ def build_hierarchy(links: DataFrame) -> DataFrame:
     marked = stage(marked.withColumn("light", F.col("parent").isNotNull() & (F.col("node") != F.col("heavy"))), "marked")
 
     along = marked.select("node", F.when(~F.col("light"), F.col("parent")).alias("parent"))
-    chains = _depths(along, jump_tables(along)[0]).select("node", F.col("root").alias("chain"), F.col("depth").alias("position"))
+    chains = climb(along).select("node", F.col("root").alias("chain"), F.col("depth").alias("position"))
     nodes = stage(marked.join(chains, "node"), "nodes")
 
     members = nodes.groupBy("chain").agg(F.sort_array(F.collect_list(F.struct("position", "node"))).alias("m")).select("chain", F.col("m.node").alias("members"))

@@ -95,3 +95,55 @@ def bloom_contains(values: DataFrame, words: DataFrame, bits: int = 1 << 16, has
     x = x.withColumn("word", F.floor(F.col("p") / 64).cast("int")).join(words, "word", "left")
     one = F.coalesce(F.call_function("shiftright", F.col("mask"), F.pmod("p", F.lit(64)).cast("int")).bitwiseAND(F.lit(1)), F.lit(0))
     return x.groupBy("h").agg((F.min(one) == 1).alias("hit"))
+
+
+def hex_tokens(text: Column) -> Column:
+    """The distinct values of 16 hexadecimal digits in a text, whatever stands between them."""
+    h = F.regexp_replace(F.lower(text), "[^0-9a-f]", "")
+    n = F.floor(F.length(h) / 16).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(h, i * 16 + 1, F.lit(16)))
+    return F.when(n > 0, F.array_sort(F.array_distinct(cut))).otherwise(F.array().cast("array<string>"))
+
+
+def least_jaccard(max_distance: float, k: int) -> float:
+    """Jaccard similarity at a Mash distance."""
+    import math
+
+    x = math.exp(-k * max_distance)
+    return x / (2 - x)
+
+
+def search(reference: DataFrame, queries: DataFrame, k: int, max_distance: float, top: int = 25, best_only: bool = False) -> DataFrame:
+    """``query, rank, id, jaccard, d``: for each query the ``top`` nearest sketches within ``max_distance``, ties by id.
+
+    Both sides are ``id, tokens ARRAY<STRING>``. A match shares at least one of the query's rarest values: as many as are left
+    when the required overlap is taken off. Only those meet the reference's inverted lists, so frequent values are hardly
+    ever joined; what meets is then compared whole. ``best_only``: only the matches at the smallest distance.
+    """
+    j = least_jaccard(max_distance, k)
+    lists = reference.select("id", F.explode("tokens").alias("t"))
+    df = lists.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+    q = queries.filter(F.size("tokens") > 0).select(F.col("id").alias("query"), F.col("tokens").alias("qt"))
+    asked = q.select("query", F.size("qt").alias("n"), F.explode("qt").alias("t")).join(df, "t")
+    rare = Window.partitionBy("query").orderBy("df", "t")
+    # values that the reference lacks come first in the order; they take up places without being probed
+    lacking = F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("query"))
+    asked = asked.withColumn("at", F.row_number().over(rare) + lacking).filter(F.col("at") <= F.col("n") - F.ceil(F.lit(j) * F.col("n") - 1e-9) + 1)
+    met = asked.select("query", "t").join(lists, "t").select("query", "id").filter("query <> id").distinct()
+    x = met.join(q, "query").join(reference.select("id", "tokens"), "id")
+    common = F.size(F.array_intersect("qt", "tokens"))
+    x = x.select("query", "id", (common / (F.size("qt") + F.size("tokens") - common)).alias("jaccard")).withColumn("d", mash_distance(F.col("jaccard"), k))
+    x = x.filter(F.col("d") <= max_distance + 1e-12)
+    order = Window.partitionBy("query").orderBy(F.round("d", 12), "id")
+    x = x.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    if best_only:
+        x = x.withColumn("least", F.min("d").over(Window.partitionBy("query"))).filter(F.col("d") == F.col("least"))
+    return x.select("query", "rank", "id", "jaccard", "d")
+
+
+def lowest_common(matches: DataFrame, paths: DataFrame) -> DataFrame:
+    """``query, n, ancestor``: the lowest node on the paths of all matches. ``paths``: ``node, path``; at most ``top`` paths meet."""
+    x = matches.join(paths.select(F.col("node").alias("id"), "path"), "id")
+    g = x.groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.collect_list("path").alias("p"))
+    same = F.filter(F.element_at("p", 1), lambda v: F.forall("p", lambda path: F.array_contains(path, v)))
+    return g.select("query", "n", F.when(F.size(same) > 0, F.try_element_at(same, F.lit(-1))).alias("ancestor"))

@@ -187,9 +187,11 @@ def confidence_network(clusters: DataFrame, ntax: int, level: float = 0.95) -> D
 def transfer_support(clusters: DataFrame, ntax: int, reference: int = 1) -> DataFrame:
     """``mask, support`` of the reference tree's non-trivial splits: 1 - mean over trees of the transfer distance / (side - 1)."""
     s = tree_splits(clusters, ntax).select("tree_id", "mask")
-    e = s.filter((F.col("tree_id") == reference) & (size(F.col("mask")) > 1) & (size(F.col("mask")) < ntax - 1)).select(F.col("mask").alias("e"))
+    own = s.filter((F.col("tree_id") == reference) & (size(F.col("mask")) > 1) & (size(F.col("mask")) < ntax - 1))
+    splits = own.agg(F.collect_list("mask")).scalar()  # fewer than twice the taxa
     k = F.bit_count(F.col("e").bitwiseXOR(F.col("mask")))
-    d = e.join(s, F.lit(True)).groupBy("e", "tree_id").agg(F.min(F.least(k, ntax - k)).alias("d"))
+    x = s.withColumn("es", splits).select("tree_id", "mask", F.explode("es").alias("e"))
+    d = x.groupBy("e", "tree_id").agg(F.min(F.least(k, ntax - k)).alias("d"))
     side = F.least(size(F.col("e")), ntax - size(F.col("e"))) - 1
     return d.groupBy("e").agg(F.avg(F.greatest(F.lit(0.0), 1 - F.col("d") / side)).alias("support")).select(F.col("e").alias("mask"), "support")
 

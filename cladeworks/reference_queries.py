@@ -10,6 +10,7 @@ from cladeworks.operators import bootstrap as Z
 from cladeworks.operators import char_distances as D
 from cladeworks.operators import characters as C
 from cladeworks.operators import distances as M
+from cladeworks.operators import hierarchy as H
 from cladeworks.operators import networks as W
 from cladeworks.operators import sketches as K
 from cladeworks.operators import splits as S
@@ -460,7 +461,7 @@ s AS (SELECT rep, site, count(*) AS times FROM d JOIN no USING (no) GROUP BY ALL
 
 def _site_masks(spark, sf):
     p = B.presence(spark, sf)
-    return p.groupBy("site").agg(F.bit_or(S.bit(F.col("taxon"))).alias("m")).persist()
+    return p.groupBy("site").agg(F.bit_or(S.bit(F.col("taxon"))).alias("m"))
 
 
 @query("bootstrap_draws", _BOOT + " SELECT CAST(rep AS INTEGER) AS rep, site, times FROM s")
@@ -542,3 +543,33 @@ def char_parsimony_splits(spark, sf):
     rows = B.dna(spark, sf)
     full = C.site_patterns(rows).select(F.posexplode("pattern").alias("i", "ch"), "pattern", "w").select((F.col("i") + 1).alias("taxon"), F.array_join("pattern", "").alias("p"), "ch")
     return W.parsimony_splits(full.groupBy("taxon").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "ch"))), lambda x: x["ch"]), "").alias("seq")))
+
+
+# ------------------------------------------------------------------ search in the sketch database
+
+MASH_K, MAX_DISTANCE, TOP = 21, 0.03, 25
+
+
+def _sketch_search(spark, sf):
+    rows = B.table(spark, sf, "mash_sketches").filter("taxon_id is not null and mash_sketch is not null")
+    ref = rows.select(F.col("taxon_id").alias("id"), K.hex_tokens(F.col("mash_sketch")).alias("tokens")).filter(F.size("tokens") > 0).dropDuplicates(["id"])
+    return K.search(ref, ref.filter("id % 20 = 0"), MASH_K, MAX_DISTANCE, TOP)
+
+
+_SEARCH = f"""WITH clean AS (SELECT DISTINCT taxon_id, regexp_replace(lower(mash_sketch), '[^0-9a-f]', '', 'g') AS h FROM mash_sketches WHERE taxon_id IS NOT NULL),
+vals AS (SELECT DISTINCT taxon_id, substr(h, i, 16) AS v FROM (SELECT taxon_id, h, unnest(generate_series(1, CAST(length(h) AS BIGINT), 16)) AS i FROM clean WHERE h <> '')),
+sizes AS (SELECT taxon_id, count(*) AS n FROM vals GROUP BY taxon_id),
+pairs AS (SELECT a.taxon_id AS query, b.taxon_id AS id, count(*) AS c FROM vals a JOIN vals b ON a.v = b.v AND a.taxon_id <> b.taxon_id WHERE a.taxon_id % 20 = 0 GROUP BY ALL),
+found AS (SELECT query, id, CAST(c AS DOUBLE) / (a.n + b.n - c) AS jaccard FROM pairs JOIN sizes a ON a.taxon_id = query JOIN sizes b ON b.taxon_id = id),
+near AS (SELECT *, greatest(0.0, -ln(2 * jaccard / (1 + jaccard)) / {MASH_K}) AS d FROM found), ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(d, 12), id) AS rank FROM near WHERE d <= {MAX_DISTANCE} + 1e-12)"""
+
+
+@query("sketch_search", _SEARCH + f" SELECT query, CAST(rank AS INTEGER) AS rank, id, round(jaccard, 6) AS jaccard, round(d, 6) AS d FROM ranked WHERE rank <= {TOP}")
+def sketch_search(spark, sf):
+    return _sketch_search(spark, sf).select("query", "rank", "id", F.round("jaccard", 6).alias("jaccard"), F.round("d", 6).alias("d"))
+
+
+@query("sketch_context")
+def sketch_context(spark, sf):
+    """Lowest common ancestor of each query's matches in the taxonomy."""
+    return K.lowest_common(_sketch_search(spark, sf), H.build_hierarchy(H.in_force(B.table(spark, sf, "taxa"))))

@@ -84,3 +84,26 @@ def test_operators_run_by_network(spark):
     assert {(r.net_id, r.tree_no) for r in t} == {(1, 1), (1, 2), (2, 1)}
     for f in (W.lsa_trees, W.blob_trees, W.normalized):
         assert {r.taxon for r in f(df).filter("net_id = 1 and taxon is not null").collect()} == {1, 2, 3}
+
+
+def test_sketch_search_and_ancestor(spark):
+    from cladeworks.operators import sketches as K
+
+    df = spark.createDataFrame([(20, list("abcdefgh")), (2, list("abcdefgx")), (3, list("abcdxyzw")), (4, list("abcdefgh")), (40, []), (60, ["q"])], "id int, tokens array<string>")
+    x = K.search(df, df.filter("id % 20 = 0"), 1, 0.5, 25)
+    want = sorted((round(-math.log(2 * j / (1 + j)), 9), i) for i, j in ((2, 7 / 9), (4, 1.0), (3, 4 / 12)) if -math.log(2 * j / (1 + j)) <= 0.5)
+    assert [(round(r.d, 9), r.id) for r in x.orderBy("rank").collect()] == [(abs(d), i) for d, i in want] and {r["query"] for r in x.collect()} == {20}
+    paths = spark.createDataFrame([(2, [1, 7, 2]), (4, [1, 7, 4]), (3, [9, 3])], "node int, path array<int>")
+    assert [(r.n, r.ancestor) for r in K.lowest_common(x.filter("id <> 3"), paths).collect()] == [(2, 7)]
+    assert [r.ancestor for r in K.lowest_common(x.filter("id <> 3").unionByName(x.filter("id = 2").withColumn("id", (x.id + 1))), paths).collect()] == [None]
+
+
+def test_bloom(spark):
+    from cladeworks.operators import sketches as K
+
+    df = spark.createDataFrame([("a",), ("b",), ("c",)], "h string")
+    words = K.bloom_filter(df, 1024, 3)
+    hits = {r.h: r.hit for r in K.bloom_contains(spark.createDataFrame([(c,) for c in "abcdefgh"], "h string"), words, 1024, 3).collect()}
+    assert hits["a"] and hits["b"] and hits["c"] and sum(hits.values()) <= 4
+    s = K.bloom_statistics(spark.createDataFrame([(1, "0F"), (2, "ff"), (3, None), (4, "")], "i int, f string"), "i", "f").collect()
+    assert {(r.id, r.bits, r.ones, r.estimate is None) for r in s} == {(1, 8, 4, False), (2, 8, 8, True)}
