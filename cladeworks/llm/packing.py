@@ -7,9 +7,9 @@ takes the pattern that leaves least room); patterns and their counts are updated
 get their rank and are joined to the plan by (length, rank).
 
 Scale. One pass for token counts, a map-side combined histogram, and one shuffle for ranks. A length that a third of all
-items share is ranked in salted parts of about ``PART`` items whose sizes are known from the histogram; full pieces need
-no rank and no plan. The plan has at most a few rows for each length and is broadcast: for capacity c it holds at most
-c patterns open at a time, and each placement of a length closes or halves one.
+items share is ranked in salted parts, of which there are at most ``PARTS`` beyond one a length; full pieces need no rank
+and no plan. Histogram, part sizes and plan are bounded by the capacity, not by the number of items, and go through the
+driver.
 
 Defined results: items of no tokens, null and empty texts get no container (``container_no`` null); ties in length go by
 salt and id; repeated texts are items of their own; null ids count as items with a null id; no items give no containers.
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from cladeworks.llm.tokens import RANKS, with_token_counts
 from cladeworks.scratch import stage
 
-#: Items of one length ranked in one task, about.
-PART = 50_000
+#: Items of one length ranked in one task, about; with more than PART * PARTS items, a 1 / PARTS share of all.
+PART, PARTS = 50_000, 4096
 
 
 
@@ -96,10 +96,11 @@ def pack(items: DataFrame, capacity: int, rule: str = "shortest") -> DataFrame:
     cut = pieces(items, capacity)
     short = cut.filter(F.col("n_tokens").between(1, capacity - 1))
     counts = {r.n_tokens: r.c for r in short.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("c")).collect()}
-    salted = short.withColumn("part", _salt({n: -(-c // PART) for n, c in counts.items() if c > PART}))
+    part = max(PART, sum(counts.values()) // PARTS)
+    salted = short.withColumn("part", _salt({n: -(-c // part) for n, c in counts.items() if c > part}))
     starts: dict[tuple[int, int], int] = {}
     at: dict[int, int] = {}
-    sizes = salted.groupBy("n_tokens", "part").agg(F.count(F.lit(1)).alias("c")).collect() if any(c > PART for c in counts.values()) else []
+    sizes = salted.groupBy("n_tokens", "part").agg(F.count(F.lit(1)).alias("c")).collect() if any(c > part for c in counts.values()) else []
     for r in sorted(sizes, key=lambda r: (r.n_tokens, r.part)):
         starts[r.n_tokens, r.part] = at.get(r.n_tokens, 0)
         at[r.n_tokens] = at.get(r.n_tokens, 0) + r.c
