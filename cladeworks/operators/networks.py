@@ -134,3 +134,35 @@ def parsimony_splits(rows: DataFrame, gap: str = "-") -> DataFrame:
         return pd.DataFrame({"mask": [m for m, _ in s], "weight": [float(w) for _, w in s]}).astype({"mask": "int64", "weight": "float64"})
 
     return rows.select("taxon", "seq", F.lit(1).alias("g")).groupBy("g").applyInPandas(run, "mask bigint, weight double")
+
+
+def layouts(trees: DataFrame, kind: str = "rectangular", by_weight: bool = True) -> DataFrame:
+    """``net_id, node, x, y`` of each tree: rectangular, circular or radial."""
+    from cladeworks.functions import layouts as L
+
+    def run(p):
+        e, _ = _edges(p)
+        xy = L.radial(e) if kind == "radial" else {"rectangular": L.rectangular, "circular": L.circular}[kind](e, by_weight)
+        return pd.DataFrame({"net_id": p.net_id.iloc[0], "node": list(xy), "x": [v[0] for v in xy.values()], "y": [v[1] for v in xy.values()]})
+
+    return trees.groupBy("net_id").applyInPandas(run, "net_id int, node int, x double, y double")
+
+
+def equal_angle(splits: DataFrame, cycle: list[int]) -> DataFrame:
+    """``taxon, x, y`` for circular splits: sums of vectors, one per separating split."""
+    import math
+
+    n = len(cycle)
+    ids = F.array(*map(F.lit, cycle))
+    place = F.array(*(F.lit(1 << (t - 1)).cast("bigint") for t in cycle))
+    at = F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.col("mask").bitwiseAND(place[i]) != 0)
+    x = splits.select("mask", "weight", at.alias("at")).withColumn("angle", F.lit(math.pi) * (F.array_min("at") + F.array_max("at") + 1) / n)
+    x = x.select("weight", "angle", F.explode("at").alias("i")).select(ids[F.col("i")].alias("taxon"), "weight", "angle")
+    return x.groupBy("taxon").agg(F.sum(F.col("weight") * F.cos("angle")).alias("x"), F.sum(F.col("weight") * F.sin("angle")).alias("y"))
+
+
+def taxa_filter(nodes: DataFrame, edges: DataFrame, kept: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A network ``id, label`` and ``src, dst`` without labelled nodes whose label is not in ``kept`` (``label``), and their edges."""
+    gone = nodes.filter("label is not null").join(kept.select("label"), "label", "left_anti").select("id")
+    e = edges.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti")
+    return nodes.join(gone, "id", "left_anti"), e

@@ -220,3 +220,42 @@ def one_spr_pairs(clusters: DataFrame, ntax: int) -> DataFrame:
     less = lambda v, p: F.array_sort(F.array_distinct(F.filter(F.transform(v, lambda m: m.bitwiseAND(F.bitwise_not(p))), lambda m: m != 0)))
     ok = F.exists("x", lambda p: F.exists("y", lambda q: q == p) & (less(F.col("x"), p) == less(F.col("y"), p)))
     return pairs.filter(ok).select("t1", "t2")
+
+
+def taxa_filter(clusters: DataFrame, kept: list[int]) -> DataFrame:
+    """Trees restricted to the kept taxa (numbers unchanged): edges that become one add up, those above the new root go."""
+    s = F.lit(sum(1 << (t - 1) for t in kept)).cast("bigint")
+    x = clusters.select("tree_id", F.col("mask").bitwiseAND(s).alias("mask"), "weight").filter((F.col("mask") != 0) & (F.col("mask") != s))
+    return x.groupBy("tree_id", "mask").agg(F.sum("weight").alias("weight"))
+
+
+def mutual_refinement(clusters: DataFrame) -> DataFrame:
+    """Each tree with the clusters of other trees that overlap no cluster of it and no other such candidate; new edges have weight 0."""
+    c = clusters.select("tree_id", "mask")
+    all_, ids = c.select("mask").distinct(), c.select("tree_id").distinct().agg(F.collect_list("tree_id")).scalar()
+    cand = all_.withColumn("ids", ids).select("mask", F.explode("ids").alias("tree_id")).join(c, ["tree_id", "mask"], "left_anti")
+    meet = F.col("mask").bitwiseAND(F.col("o"))
+    clash = (meet != 0) & (meet != F.col("mask")) & (meet != F.col("o"))
+    fits = cand.join(c.select("tree_id", F.col("mask").alias("o")), ["tree_id"]).groupBy("tree_id", "mask").agg(F.max(clash).alias("bad")).filter("not bad").select("tree_id", "mask")
+    alone = fits.join(fits.select("tree_id", F.col("mask").alias("o")), ["tree_id"]).groupBy("tree_id", "mask").agg(F.max(clash).alias("bad")).filter("not bad")
+    return clusters.select("tree_id", "mask", "weight").unionByName(alone.select("tree_id", "mask", F.lit(0.0).alias("weight")))
+
+
+def triple_symmetry(clusters: DataFrame, ntax: int, alpha: float = 0.05, least: int = 10) -> DataFrame:
+    """``a, b, c, n1, n2, n3, resolved, asymmetric``: for every three taxa the counts of the topologies ab|c, ac|b, bc|a, and two tests.
+
+    *Resolved*: the most frequent topology exceeds a third of the trees; *asymmetric*: the two others differ. Both by the
+    normal approximation with continuity correction, at level ``alpha`` (one-sided, two-sided), from ``least`` trees on.
+    """
+    from statistics import NormalDist
+
+    t = rooted_triples(clusters, ntax).select(F.array_sort(F.array("a", "b", "c")).alias("s"), "c", "n")
+    pick = lambda k: F.coalesce(F.max(F.when(F.col("c") == F.col("s")[k], F.col("n"))), F.lit(0))
+    g = t.groupBy("s").agg(pick(2).alias("n1"), pick(1).alias("n2"), pick(0).alias("n3"))
+    total, o = F.col("n1") + F.col("n2") + F.col("n3"), F.array_sort(F.array("n1", "n2", "n3"))
+    one, two = NormalDist().inv_cdf(1 - alpha), NormalDist().inv_cdf(1 - alpha / 2)
+    top = (o[2] - 0.5 - total / 3) / F.sqrt(total * 2 / 9)
+    rest = o[0] + o[1]
+    side = F.when(rest > 0, (F.abs(o[1] - rest / 2) - 0.5) / F.sqrt(rest / 4)).otherwise(0.0)
+    enough = total >= least
+    return g.select(F.col("s")[0].alias("a"), F.col("s")[1].alias("b"), F.col("s")[2].alias("c"), "n1", "n2", "n3", (enough & (top > one)).alias("resolved"), (enough & (side > two)).alias("asymmetric"))

@@ -573,3 +573,45 @@ def sketch_search(spark, sf):
 def sketch_context(spark, sf):
     """Lowest common ancestor of each query's matches in the taxonomy."""
     return K.lowest_common(_sketch_search(spark, sf), H.build_hierarchy(H.in_force(B.table(spark, sf, "taxa"))))
+
+
+# ------------------------------------------------------------------ filters, refinement, layouts
+
+
+@query("dist_taxa_filter", _LAB + " SELECT t1, t2, d FROM b3 WHERE t1 <= 6 AND t2 <= 6")
+def dist_taxa_filter(spark, sf):
+    d = B.label_distances(spark, sf)
+    keep = d.select(F.explode(F.array("t1", "t2")).alias("taxon")).distinct().filter("taxon <= 6")
+    return C.taxa_filter(d, keep, "t1", "t2").select("t1", "t2", "d")
+
+
+@query("trees_taxa_filter", f"WITH {B.CLUSTERS_SQL} SELECT tree_id, mask & 4095 AS mask, round(sum(weight), 6) AS weight FROM b5 WHERE mask & 4095 NOT IN (0, 4095) GROUP BY ALL")
+def trees_taxa_filter(spark, sf):
+    return T.taxa_filter(B.clusters(spark, sf), list(range(1, 13))).select("tree_id", "mask", F.round("weight", 6).alias("weight"))
+
+
+@query("trees_mutual_refinement", f"""WITH {B.CLUSTERS_SQL}, m AS (SELECT DISTINCT mask FROM b5), t AS (SELECT DISTINCT tree_id FROM b5),
+k AS (SELECT tree_id, mask FROM m, t WHERE NOT EXISTS (SELECT 1 FROM b5 WHERE b5.tree_id = t.tree_id AND (b5.mask = m.mask OR b5.mask & m.mask NOT IN (0, b5.mask, m.mask))))
+SELECT tree_id, mask, weight FROM b5 UNION ALL SELECT tree_id, mask, CAST(0 AS DOUBLE) FROM k WHERE NOT EXISTS (SELECT 1 FROM k o WHERE o.tree_id = k.tree_id AND o.mask & k.mask NOT IN (0, o.mask, k.mask))""")
+def trees_mutual_refinement(spark, sf):
+    return T.mutual_refinement(B.clusters(spark, sf))
+
+
+@query("trees_triple_symmetry", f"""WITH {B.CLUSTERS_SQL}, tx AS (SELECT unnest(generate_series(1, {NTAX}))::INTEGER AS t), i AS (SELECT DISTINCT tree_id, x.t AS a, y.t AS b, z.t AS c FROM b5, tx x, tx y, tx z WHERE x.t < y.t AND (mask >> (x.t-1)) & 1 = 1 AND (mask >> (y.t-1)) & 1 = 1 AND (mask >> (z.t-1)) & 1 = 0),
+s AS (SELECT list_sort([a, b, c]) AS s, c FROM i), g AS (SELECT s[1] AS a, s[2] AS b, s[3] AS c, count(*) FILTER (c = s[3]) AS n1, count(*) FILTER (c = s[2]) AS n2, count(*) FILTER (c = s[1]) AS n3 FROM s GROUP BY s),
+o AS (SELECT *, list_sort([n1, n2, n3]) AS o, n1 + n2 + n3 AS t FROM g) SELECT a, b, c, n1, n2, n3, t >= 10 AND (o[3] - 0.5 - t / 3) / sqrt(t * 2 / 9) > 1.6448536269514722 AS resolved,
+t >= 10 AND CASE WHEN o[1] + o[2] > 0 THEN (abs(o[2] - (o[1] + o[2]) / 2) - 0.5) / sqrt((o[1] + o[2]) / 4) ELSE 0 END > 1.959963984540054 AS asymmetric FROM o""")
+def trees_triple_symmetry(spark, sf):
+    return T.triple_symmetry(B.clusters(spark, sf), NTAX)
+
+
+@query("layout_consensus_tree")
+def layout_consensus_tree(spark, sf):
+    return W.layouts(W.cluster_tree(T.consensus_clusters(B.clusters(spark, sf)), NTAX), "radial")
+
+
+@query("layout_equal_angle", _BSP + f""", c AS (SELECT mask, weight, min(t) AS lo, max(t) AS hi FROM (SELECT mask, weight, unnest(generate_series(0, {NTAX - 1}))::INTEGER AS t FROM bs) WHERE (mask >> t) & 1 = 1 GROUP BY ALL),
+p AS (SELECT t + 1 AS taxon, weight, pi() * (lo + hi + 1) / {NTAX} AS a FROM (SELECT *, unnest(generate_series(0, {NTAX - 1}))::INTEGER AS t FROM c) WHERE (mask >> t) & 1 = 1) SELECT taxon, round(sum(weight * cos(a)), 4) AS x, round(sum(weight * sin(a)), 4) AS y FROM p GROUP BY taxon""")
+def layout_equal_angle(spark, sf):
+    s = S.presence_splits(B.presence(spark, sf), NTAX)
+    return W.equal_angle(s, list(range(1, NTAX + 1))).select("taxon", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
