@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from cladeworks.scratch import stage
 
-#: Ids numbered together when the light children of one parent get their offsets.
-ID_BLOCK = 4096
+#: 2^ID_BITS ids are numbered together when the light children of one parent get their offsets.
+ID_BITS = 12
 
 
 def in_force(df: DataFrame, node: str = "taxon_id", parent: str = "parent_id", at: str = "loaded_at") -> DataFrame:
@@ -118,7 +118,7 @@ def climb(links: DataFrame, sizes: bool = False) -> DataFrame:
 
 def _sibling_offsets(light: DataFrame) -> DataFrame:
     """``node, offset``: sizes of the light siblings with smaller ids; in blocks of ids, so no window holds a hot parent's children."""
-    block = F.floor(F.col("node") / ID_BLOCK).alias("block")
+    block = F.shiftright("node", ID_BITS).alias("block")
     x = light.select("node", "parent", "size", block)
     within = Window.partitionBy("parent", "block").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
     over = Window.partitionBy("parent").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
