@@ -156,10 +156,75 @@ def circular_order(masks, ntax: int) -> list[int] | None:
     return [1] + [t + 1 for t in order]
 
 
+# PQ-tree as nested tuples (kind, mask, children): "P" children in any order, "Q" in the given order or its reverse
+
+
+def _node(kind: str, parts: list):
+    return parts[0] if len(parts) == 1 else ("P" if len(parts) == 2 else kind, _or(x[1] for x in parts), tuple(parts))
+
+
+def _linear(node, s: int) -> list | None:
+    """Parts of the node from those outside the set to those inside, or None."""
+    kind, m, parts = node
+    if not m & s or not m & ~s:
+        return [node]
+    out, partial = [x for x in parts if not x[1] & s], [x for x in parts if x[1] & s and x[1] & ~s]
+    if len(partial) > 1:
+        return None
+    if kind == "P":
+        full = [x for x in parts if not x[1] & ~s]
+        mid = _linear(partial[0], s) if partial else []
+        return None if mid is None else ([_node("P", out)] if out else []) + mid + ([_node("P", full)] if full else [])
+    if parts[0][1] & s and (parts[-1][1] & ~s or not parts[0][1] & ~s):
+        parts = parts[::-1]
+    rank = [0 if not x[1] & s else 1 if x[1] & ~s else 2 for x in parts]
+    if rank != sorted(rank):
+        return None
+    flat = []
+    for x in parts:
+        if (mid := _linear(x, s)) is None:
+            return None
+        flat += mid
+    return flat
+
+
+def _reduce(node, s: int):
+    """The PQ-tree of the orders in which also the set ``s`` is an interval, or None."""
+    kind, m, parts = node
+    if not m & s or not m & ~s:
+        return node
+    hit = [i for i, x in enumerate(parts) if x[1] & s]
+    if len(hit) == 1 and parts[hit[0]][1] & ~s:
+        inner = _reduce(parts[hit[0]], s)
+        return None if inner is None else (kind, m, (*parts[: hit[0]], inner, *parts[hit[0] + 1 :]))
+    partial = [i for i in hit if parts[i][1] & ~s]
+    if kind == "P":
+        if len(partial) > 2:
+            return None
+        ends = [_linear(parts[i], s) for i in partial]
+        if None in ends:
+            return None
+        full = [parts[i] for i in hit if i not in partial]
+        row = (ends[0] if ends else []) + ([_node("P", full)] if full else []) + (ends[1][::-1] if len(ends) > 1 else [])
+        return _node("P", [x for x in parts if not x[1] & s] + [_node("Q", row)])
+    if hit != list(range(hit[0], hit[-1] + 1)) or any(hit[0] < i < hit[-1] for i in partial):
+        return None
+    row = []
+    for i, x in enumerate(parts):
+        mid = _linear(x, s) if i in partial else [x]
+        if mid is None:
+            return None
+        row += mid[::-1] if i == hit[-1] else mid
+    return _node("Q", row)
+
+
 def greedy_circular(masks, weights, ntax):
+    """By a PQ-tree of the taxa but the first, into which each kept split is reduced; exact."""
     kept: list[int] = []
+    tree = _node("P", [("P", 1 << t, ()) for t in range(1, ntax)])
     for i in _order(masks, weights):
-        if circular_order([*kept, masks[i]], ntax) is not None:
+        if (t := _reduce(tree, masks[i])) is not None:
+            tree = t
             kept.append(masks[i])
     return kept
 

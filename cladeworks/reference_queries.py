@@ -244,12 +244,12 @@ def splits_greedy_compatible(spark, sf):
 
 @query("splits_greedy_weakly_compatible")
 def splits_greedy_weakly_compatible(spark, sf):
-    return S.greedy_weakly_compatible(S.weight_slider(_splits(spark, sf), NTAX, 2.0), NTAX)
+    return S.greedy_weakly_compatible(_splits(spark, sf), NTAX)
 
 
 @query("splits_greedy_circular")
 def splits_greedy_circular(spark, sf):
-    return S.greedy_circular(S.weight_slider(_splits(spark, sf), NTAX, 2.0), NTAX)
+    return S.greedy_circular(_splits(spark, sf), NTAX)
 
 
 @query("splits_dimension_filter")
