@@ -5,6 +5,8 @@ from __future__ import annotations
 import heapq
 from itertools import product
 
+import numpy as np
+
 Edge = tuple[int, int, float]
 
 
@@ -290,59 +292,84 @@ def z_closure(parts: list[tuple[int, int]], ntax: int) -> list[tuple[int, int]]:
     return sorted(p for p in splits if p[0] | p[1] == full)
 
 
-def median_joining(rows: dict[int, str], weights: list[float], epsilon: float = 0.0, most: int = 2000) -> tuple[dict[int, str], list[Edge]]:
-    """Nodes (negative ids are medians) and edges of the median-joining network of different sequences."""
-    seqs = dict(sorted(rows.items()))
-    dist = lambda a, b: sum(w for x, y, w in zip(a, b, weights) if x != y)
-
-    def links():
-        """Feasible links: at each distance ascending, pairs not yet joined by links shorter than it by more than epsilon."""
-        pairs = sorted((dist(seqs[a], seqs[b]), a, b) for i, a in enumerate(seqs) for b in list(seqs)[i + 1 :])
-        out: list[Edge] = []
-        for d, a, b in pairs:
-            comp: dict[int, int] = {v: v for v in seqs}
-
-            def find(v):
-                while comp[v] != v:
-                    v = comp[v]
-                return v
-
-            for x, y, w in out:
-                if w < d - epsilon:
-                    comp[find(x)] = find(y)
-            if find(a) != find(b):
-                out.append((a, b, d))
-        return out
-
-    nxt = -1
-    while len(seqs) < most:
-        found = links()
-        nb: dict[int, set[int]] = {v: set() for v in seqs}
+def _site_distances(a: np.ndarray, b: np.ndarray, weights: list[float]) -> np.ndarray:
+    out = np.zeros((len(a), len(b)))
+    for j, w in enumerate(weights):
+        out += w * (a[:, j, None] != b[None, :, j])
+    return out
+
+
+def _feasible_links(d: np.ndarray, ids: np.ndarray, epsilon: float) -> list[tuple[int, int, float]]:
+    """Links of rows: at each distance ascending, pairs not yet joined by links shorter than it by more than epsilon."""
+    n, near = len(d), d[0].copy()
+    todo, level = np.ones(n, bool), 0.0
+    todo[0] = False
+    for _ in range(n - 1):  # the longest edge of a spanning tree: pairs longer by more than epsilon are joined
+        v = int(np.argmin(np.where(todo, near, np.inf)))
+        level, todo[v] = max(level, near[v]), False
+        near = np.minimum(near, d[v])
+    i, j = np.nonzero(np.triu(d <= level + epsilon, 1))
+    w = d[i, j]
+    by = np.lexsort((ids[j], ids[i], w))
+    i, j, w = i[by], j[by], w[by]
+    comp, out, at = np.arange(n), [], 0
+    cuts = [0, *(np.flatnonzero(w[1:] != w[:-1]) + 1).tolist(), len(w)] if len(w) else []
+    for s, e in zip(cuts, cuts[1:]):
+        x = float(w[s])
+        while at < len(out) and out[at][2] < x - epsilon:
+            p, q = comp[out[at][0]], comp[out[at][1]]
+            if p != q:
+                comp[comp == p] = q
+            at += 1
+        keep = comp[i[s:e]] != comp[j[s:e]]
+        out += [(p, q, x) for p, q in zip(i[s:e][keep].tolist(), j[s:e][keep].tolist())]
+    return out
+
+
+def median_joining(rows: dict[int, str], weights: list[float], epsilon: float = 0.0) -> tuple[dict[int, str], list[Edge]]:
+    """Nodes (negative ids are medians) and edges of the median-joining network of different sequences, however many.
+
+    Ends when no median is obsolete and no candidate is left. A set of sequences met again (medians added and dropped in
+    turn, which would never end) is an error.
+    """
+    ids = np.array(sorted(rows), np.int64)
+    codes = np.array([[ord(c) for c in rows[v]] for v in ids.tolist()], np.uint32).reshape(len(ids), len(weights))
+    d, cost_of = _site_distances(codes, codes, weights), np.array(weights, float)
+    text = lambda row: "".join(map(chr, row))
+    nxt, met = -1, set()
+    while True:
+        found = _feasible_links(d, ids, epsilon)
+        nb: list[list[int]] = [[] for _ in ids]
         for a, b, _ in found:
-            nb[a].add(b)
-            nb[b].add(a)
-        gone = [v for v in seqs if v < 0 and len(nb[v]) <= 2]
-        if gone:
-            for v in gone:
-                del seqs[v]
+            nb[a].append(b)
+            nb[b].append(a)
+        gone = np.array([v < 0 and len(n) <= 2 for v, n in zip(ids.tolist(), nb)], bool)
+        if gone.any():
+            ids, codes, d = ids[~gone], codes[~gone], d[np.ix_(~gone, ~gone)]
             continue
-        have, cands = set(seqs.values()), {}
-        for v in seqs:
-            n = sorted(nb[v])
-            for i, a in enumerate(n):
-                for b in n[i + 1 :]:
-                    x, y, z = seqs[v], seqs[a], seqs[b]
-                    m = "".join(p if p in (q, r) else q if q == r else p for p, q, r in zip(x, y, z))
-                    if m not in have:
-                        cost = dist(m, x) + dist(m, y) + dist(m, z)
-                        cands[m] = min(cost, cands.get(m, cost))
+        have, cands, least = {r.tobytes() for r in codes}, {}, float("inf")
+        for v, n in enumerate(nb):
+            x = codes[v]
+            for k, a in enumerate(n[:-1]):
+                y, z = codes[a], codes[n[k + 1 :]]
+                m = np.where(y == z, y, x)
+                cost = ((m != x) @ cost_of) + ((m != y) @ cost_of) + ((m != z) @ cost_of)
+                for c, r in zip(cost[cost <= least + epsilon].tolist(), m[cost <= least + epsilon]):
+                    if (key := r.tobytes()) not in have:
+                        least = min(least, c)
+                        cands[key] = min(c, cands.get(key, c))
         if not cands:
-            return seqs, found
-        top = min(cands.values()) + epsilon
-        for m in sorted(m for m, c in cands.items() if c <= top):
-            seqs[nxt] = m
-            nxt -= 1
-    return seqs, links()
+            name = ids.tolist()
+            return dict(zip(name, map(text, codes.tolist()))), [(name[a], name[b], w) for a, b, w in found]
+        state = hash(frozenset(have))
+        if state in met:
+            raise ValueError("median joining does not end: the same medians are added and dropped in turn")
+        met.add(state)
+        new = np.array(sorted(np.frombuffer(k, np.uint32).tolist() for k, c in cands.items() if c <= least + epsilon), np.uint32)
+        across = _site_distances(codes, new, weights)
+        d = np.block([[d, across], [across.T, _site_distances(new, new, weights)]])
+        ids, codes = np.concatenate([ids, np.arange(nxt, nxt - len(new), -1)]), np.concatenate([codes, new])
+        nxt -= len(new)
 
 
 def parsimony_splits(rows: list[str], gap: str = "-") -> list[tuple[int, int]]:

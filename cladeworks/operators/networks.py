@@ -114,7 +114,10 @@ def cluster_tree(clusters: DataFrame, ntax: int) -> DataFrame:
 
 
 def median_joining(rows: DataFrame, epsilon: float = 0.0) -> DataFrame:
-    """``src, dst, weight`` of the median-joining network of sequences ``taxon, seq``; equal sequences are one node, medians are negative."""
+    """``src, dst, weight`` of the median-joining network of sequences ``taxon, seq``; equal sequences are one node, medians are negative.
+
+    Medians are added until no candidate is left, without a limit on their number; one task holds the matrix of all distances.
+    """
     one = rows.groupBy("seq").agg(F.min("taxon").alias("taxon"))
 
     def run(p):
