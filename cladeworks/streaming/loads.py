@@ -33,9 +33,13 @@ def write_judged(lines: DataFrame, valid_path: str, reject_path: str, checkpoint
 
 
 def reject_counts(lines: DataFrame, at: str = "received_at", window: str = "1 day", late: str = "2 days") -> DataFrame:
-    """``start, feed, n, n_rejected`` per window of event time; rows later than the watermark are not counted any more."""
-    sound = F.col("feed").isNotNull() & F.col("line").rlike(r"^[^\"]*$|^(?:[^\",]*|\"(?:[^\"]|\"\")*\")(?:,(?:[^\",]*|\"(?:[^\"]|\"\")*\"))*$")
-    x = lines.withWatermark(at, late).groupBy(F.window(at, window), "feed").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(sound, 0).otherwise(1)).alias("n_rejected"))
+    """``start, feed, n, n_rejected`` per window of event time; rows later than the watermark are not counted any more.
+
+    A line is rejected if :func:`reject_lines.parse_lines` finds any fault in it.
+    """
+    src = lines.select(F.lit(0).alias("line_id"), "feed", "line", F.col(at).alias("at"))
+    x = reject_lines.parse_lines(src, carried=("at",)).withWatermark("at", late).groupBy(F.window("at", window), "feed")
+    x = x.agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("ok"), 0).otherwise(1)).alias("n_rejected"))
     return x.select(F.col("window.start").alias("start"), "feed", "n", "n_rejected")
 
 
