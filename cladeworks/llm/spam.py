@@ -9,8 +9,8 @@ others, but for aligned sequences and log lines (told by their letters and numbe
 ``COVER`` of their characters are covered by repeats; lists of names have less. A page is found if more than half of its
 words stand in spam segments.
 
-The pass is a narrow map over whole texts, without a shuffle. The automaton has at most two states a word; each ``BLOCK`` words of
-a very long page get their own. It is not
+The pass is a narrow map over whole texts, without a shuffle. The automaton has at most two states a word; for pages of
+more than ``BLOCK`` words the same repeats are read from a suffix array, which takes less memory. Neither is
 built for a page in which the segments without clause structure hold no more than half of the words, as the answer is
 then known.
 
@@ -22,7 +22,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from math import ceil
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,7 +59,7 @@ ALONE, ALONE_SHARE = 3, 0.008
 TOGETHER, TOGETHER_SHARE = 2, 0.003
 #: Share of the characters of segments without clause structure, links or data from which repeats make them keyword lists.
 COVER = 0.38
-#: Words of a page from which its repeats are sought block by block.
+#: Words of a page beyond which its repeats are sought with a suffix array; the result is the same.
 BLOCK = 200_000
 
 
@@ -118,6 +120,46 @@ class Automaton:
         return out
 
 
+def _slide(x: np.ndarray, width: int, f) -> np.ndarray:
+    """``f`` (minimum or maximum) over each run of ``width`` values."""
+    cur, size = x, 1
+    while 2 * size <= width:
+        cur = f(cur[:-size], cur[size:])
+        size *= 2
+    return f(cur[: len(x) - width + 1], cur[width - size :])
+
+
+def repeated_long(symbols: list, alone: float, together: float) -> list[bool]:
+    """:meth:`Automaton.repeated` by a suffix array (prefix doubling), for numbers of occurrences above 1."""
+    n, codes = len(symbols), {}
+    rank = np.array([codes.setdefault(s, len(codes)) for s in symbols], np.int64)
+    levels, k, distinct = [], 1, len(codes)  # levels[j]: ranks of the runs of 2**j symbols
+    while distinct < n:
+        levels.append(rank.astype(np.int32))
+        key = rank * (n + 1)
+        key[: n - k] += rank[k:] + 1
+        values, rank = np.unique(key, return_inverse=True)
+        k, distinct = 2 * k, len(values)
+    order = np.argsort(rank)
+    a, b, common = order[:-1], order[1:], np.zeros(max(n - 1, 0), np.int64)
+    for j in range(len(levels) - 1, -1, -1):
+        at = np.flatnonzero(np.maximum(a, b) + common < n)
+        common[at] += (levels[j][a[at] + common[at]] == levels[j][b[at] + common[at]]).astype(np.int64) << j
+
+    def longest(times: float) -> np.ndarray:
+        t = max(2, ceil(times))
+        if n < t:
+            return np.zeros(n, np.int64)
+        none = np.zeros(t - 1, np.int64)
+        return _slide(np.concatenate([none, _slide(common, t - 1, np.minimum), none]), t, np.maximum)
+
+    several, step = longest(together), np.zeros(n + 1, np.int64)
+    size = np.maximum(longest(alone), np.where(several > 1, several, 0))
+    np.add.at(step, order[size > 0], 1)
+    np.add.at(step, (order + size)[size > 0], -1)
+    return (np.cumsum(step)[:n] > 0).tolist()
+
+
 def _segments(text: str):
     """``(words, kind)`` of each segment; kind ``clause``, ``marked``, ``data`` or ``open`` (decided by repeats)."""
     for raw in CUT.split(text):
@@ -149,8 +191,8 @@ def spam_share(text: str | None) -> tuple[float, float]:
     if not total or 2 * (sure + maybe) <= total:
         return (sure / total if total else 0.0), 0.0
     flat = [w for words, _, _ in parts for w in words]
-    alone, together = max(ALONE, ALONE_SHARE * min(maybe, BLOCK)), max(TOGETHER, TOGETHER_SHARE * min(maybe, BLOCK))
-    covered = [c for s in range(0, len(flat), BLOCK) for c in Automaton(flat[s : s + BLOCK]).repeated(alone, together)]
+    alone, together = max(ALONE, ALONE_SHARE * maybe), max(TOGETHER, TOGETHER_SHARE * maybe)
+    covered = repeated_long(flat, alone, together) if len(flat) > BLOCK else Automaton(flat).repeated(alone, together)
     i, chars, hit, open_chars, open_hit = 0, 0, 0, 0, 0
     for words, _, kind in parts:
         size = sum(map(len, words))

@@ -1,0 +1,23 @@
+import random
+
+from cladeworks.llm import spam as S
+
+PROSE = "The reader expects Newick and stops at the first of the distances. It seems that a parsimony score handles them well, but we have not tested it. "
+
+
+def test_suffix_array_gives_the_repeats_of_the_automaton():
+    rnd = random.Random(3)
+    for _ in range(400):
+        w = [rnd.choice("abcdefg"[: rnd.randrange(1, 8)]) for _ in range(rnd.randrange(0, 60))]
+        alone, together = rnd.choice([(3, 2), (2, 2), (4.2, 3.1), (9, 2.5), (3, 7)])
+        assert S.repeated_long(w, alone, together) == S.Automaton(w).repeated(alone, together)
+
+
+def test_repeats_are_counted_over_the_whole_of_a_long_page():
+    rnd = random.Random(4)
+    keys = [f"key{chr(97 + i // 10)}{chr(97 + i % 10)}word" for i in range(100)]
+    part = lambda: ", ".join(rnd.choice(keys) for _ in range(100)) + "\n" + PROSE * 3 + "\n"
+    page = "".join(part() for _ in range(2500))
+    assert len(S.WORD.findall(page)) > 1.5 * S.BLOCK
+    assert S.spam_share(page)[0] > 0.5
+    assert S.spam_share("\n".join(PROSE for _ in range(9000)))[0] == 0.0
