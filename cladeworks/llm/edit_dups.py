@@ -64,22 +64,30 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def runs(text: str, k: int) -> np.ndarray:
-    """Distinct runs of ``k`` characters as 64-bit values; exact for up to 8 ASCII characters."""
+    """Distinct runs of ``k`` characters as 64-bit values; exact for runs of up to 8 ASCII characters, whatever the rest of the text holds."""
     if k == 8 and text.isascii():
         a = np.frombuffer(text.encode(), np.uint8)
         out = np.sort(np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(a, 8)).view(np.uint64)[:, 0])
         return out[np.concatenate([[True], out[1:] != out[:-1]])]
     if k < 8 and text.isascii():
-        a = np.frombuffer(text.encode(), np.uint8).astype(np.uint64)
-        out = np.zeros(len(a) - k + 1, np.uint64)
-        for i in range(k):
-            out = (out << np.uint64(8)) | a[i : len(a) - k + 1 + i]
-        return np.unique(out)
+        return np.unique(_packed(np.frombuffer(text.encode(), np.uint8).astype(np.uint64), k))
     a = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     out = np.full(len(a) - k + 1, 0x9E3779B97F4A7C15, np.uint64)
     for i in range(k):
         out = mix(out + a[i : len(a) - k + 1 + i] * np.uint64(0x9E3779B97F4A7C15))
-    return np.unique(out | np.uint64(1 << 63))
+    out |= np.uint64(1 << 63)
+    if k <= 8:
+        plain = np.lib.stride_tricks.sliding_window_view(a, k).max(axis=1) < 128
+        out[plain] = _packed(a, k)[plain]
+    return np.unique(out)
+
+
+def _packed(a: np.ndarray, k: int) -> np.ndarray:
+    """Runs of ``k`` <= 8 ASCII characters as numbers: for 8 the first character is the lowest byte, else the highest."""
+    out = np.zeros(len(a) - k + 1, np.uint64)
+    for i in range(k):
+        out |= a[i : len(a) - k + 1 + i] << np.uint64(8 * (i if k == 8 else k - 1 - i))
+    return out
 
 
 def minwise(text: str, k: int) -> np.ndarray:
