@@ -541,7 +541,7 @@ def network_median_joining(spark, sf):
 @query("char_parsimony_splits")
 def char_parsimony_splits(spark, sf):
     rows = B.dna(spark, sf)
-    full = C.site_patterns(rows).select(F.posexplode("pattern").alias("i", "ch"), "pattern", "w").select((F.col("i") + 1).alias("taxon"), F.array_join("pattern", "").alias("p"), "ch")
+    full = C.site_patterns(rows).select(F.posexplode("pattern").alias("i", "ch"), "pattern", "w").select((F.col("i") + 1).alias("taxon"), F.array_join("pattern", "").alias("p"), F.repeat("ch", F.col("w").cast("int")).alias("ch"))
     return W.parsimony_splits(full.groupBy("taxon").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "ch"))), lambda x: x["ch"]), "").alias("seq")))
 
 
