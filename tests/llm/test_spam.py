@@ -88,4 +88,4 @@ def test_fit_labelled(spark):
     labels = spark.createDataFrame([(i, "spam" if i % 2 else "page") for i in range(40)] + [(1, "page"), (3, None), (None, "spam"), (5, "spam")], "doc_id long, label string")
     b = S.fit_labelled(docs, labels, 30)
     m = S.page_measures([t for _, t in texts])
-    assert ((S._terms(m[:, :-1]) @ b > 0) == np.array([i % 2 == 1 for i in range(40)])).mean() > 0.9
+    assert (((S._terms(m[:, :-1]) @ b > 0) & S._open(m)) == np.array([i % 2 == 1 for i in range(40)])).mean() > 0.9
