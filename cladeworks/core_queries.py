@@ -19,11 +19,11 @@ def p1_parsed(spark, sf):
 
 
 def p1_found(spark, sf):
-    return p1_parsed(spark, sf).filter("not ok").select("line_id")
+    return R.parse_lines(table(spark, sf, "raw_lines"), typed=False).filter("not ok").select("line_id")
 
 
 def p1_rejects(spark, sf):
-    return R.rejects(p1_parsed(spark, sf))
+    return R.rejects(R.parse_lines(table(spark, sf, "raw_lines"), typed=False))
 
 
 def p1_genomes(spark, sf):
@@ -105,6 +105,20 @@ c AS (SELECT *, coalesce(quoted AND n6 AND {_int('f0')} AND regexp_matches(f1, '
   AND translate(lower(f4), alphabet, '') = '' AND length(replace(f5, ' ', '')) = try_cast(f3 AS BIGINT) AND translate(lower(replace(f5, ' ', '')), lower(f4) || '-?', '') = '', false) AS ok FROM ca)
 """
 
+_FAULTS = {
+    "g4": (("taxon_id", _int("f0"), "not an integer from 1"), ("genome_accession", r"regexp_matches(f1, '\A[A-Z]{3}_[0-9]{9}\.[0-9]+\z')", "not an accession"), ("genome_size", f"(f2 = '' OR {_int('f2')})", "neither empty nor an integer from 1"),
+           ("fasta_url", f"(f3 IN ('', 'null') OR (lower(split_part(f3, '://', 1)) IN ('ftp', 'http', 'https') AND regexp_matches(f3, '{_URL}')))", "not a URL")),
+    "ca": (("block_id", _int("f0"), "not an integer from 1"), ("taxon_name", r"regexp_matches(f1, '\S')", "blank"), ("data_type", "alphabet IS NOT NULL", "unknown type"), ("nchar", _int("f3"), "not an integer from 1"),
+           ("symbols", "(f4 <> '' AND length(f4) = list_unique(string_split(lower(f4), '')) AND translate(lower(f4), coalesce(alphabet, lower(f4)), '') = '')", "empty, repeated or foreign symbol"),
+           ("matrix", f"({_int('f3')} AND length(replace(f5, ' ', '')) = try_cast(f3 AS BIGINT) AND translate(lower(replace(f5, ' ', '')), lower(f4) || '-?', '') = '')", "wrong length or foreign character")),
+}
+_P1_FAULTS = " UNION ALL ".join(
+    f"SELECT line_id, feed, '{name}' AS field, '{why}' AS reason FROM {src} WHERE quoted AND n{k} AND NOT coalesce({ok}, false)" for src, k in (("g4", 4), ("ca", 6)) for name, ok, why in _FAULTS[src]
+) + """ UNION ALL SELECT line_id, feed, CAST(NULL AS VARCHAR), CASE WHEN l IS NULL THEN 'null line' WHEN feed IS NULL OR feed NOT IN ('genomes', 'characters') THEN 'unknown feed' WHEN NOT quoted THEN 'quoting'
+  ELSE 'column count: ' || wanted || ' wanted, ' || (length(bare) - length(replace(bare, ',', '')) + 1) || ' found' END
+ FROM (SELECT *, CASE feed WHEN 'genomes' THEN 4 ELSE 6 END AS wanted, regexp_replace(l, '"(?:[^"]|"")*"', '', 'g') AS bare FROM whole)
+ WHERE l IS NULL OR feed IS NULL OR feed NOT IN ('genomes', 'characters') OR NOT quoted OR length(bare) - length(replace(bare, ',', '')) + 1 <> wanted"""
+
 _TAXA = """in_force AS (SELECT taxon_id AS node, CASE WHEN parent_id <> 0 THEN parent_id END AS parent FROM taxa WHERE taxon_id IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY taxon_id ORDER BY loaded_at DESC NULLS LAST, parent_id DESC NULLS LAST) = 1)"""
 
@@ -123,6 +137,7 @@ checked AS (SELECT ref_table, strftime(loaded_at, '%Y-%m') AS load_month, ref_id
 
 ORACLE = {
     "p1_found": _P1 + "SELECT line_id FROM g WHERE NOT ok UNION ALL SELECT line_id FROM c WHERE NOT ok UNION ALL SELECT line_id FROM whole WHERE feed IS NULL OR feed NOT IN ('genomes', 'characters')",
+    "p1_rejects": _P1 + _P1_FAULTS,
     "p1_genomes": _P1 + "SELECT line_id, CAST(f0 AS INTEGER) AS taxon_id, f1 AS genome_accession, CAST(nullif(f2, '') AS INTEGER) AS genome_size, CASE WHEN f3 NOT IN ('', 'null') THEN f3 END AS fasta_url FROM g WHERE ok",
     "p1_characters": _P1 + "SELECT line_id, CAST(f0 AS INTEGER) AS block_id, f1 AS taxon_name, f2 AS data_type, CAST(f3 AS INTEGER) AS nchar, f4 AS symbols, replace(f5, ' ', '') AS matrix FROM c WHERE ok",
     "p3_found": f"""WITH RECURSIVE {_TAXA}, walk AS (SELECT node AS start, parent AS cur FROM in_force WHERE parent IS NOT NULL

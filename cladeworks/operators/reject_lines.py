@@ -188,7 +188,7 @@ def _chunks(rows: list[tuple[int, str]]) -> Iterator[list[tuple[int, str]]]:
         yield part
 
 
-def _judge(batch: pa.RecordBatch, feeds: tuple[Feed, ...], schema: pa.Schema) -> pa.RecordBatch:
+def _judge(batch: pa.RecordBatch, feeds: tuple[Feed, ...], schema: pa.Schema, typed_rows: bool) -> pa.RecordBatch:
     n = batch.num_rows
     names, lines = batch.column(1).to_pylist(), batch.column(2)
     bare = pc.replace_substring_regex(lines, r"\r\z", "")
@@ -219,32 +219,38 @@ def _judge(batch: pa.RecordBatch, feeds: tuple[Feed, ...], schema: pa.Schema) ->
                 for k, good in zip(kept, ok.to_pylist()):
                     if not good:
                         faults[at[k]].append({"field": c.name, "reason": c.fault})
+            if not typed_rows:
+                continue
             rows = zip(*(typed[c.name].to_pylist() for c in feed.columns))
             keys = [c.name for c in feed.columns]
             for k, row in zip(kept, rows):
                 if not faults[at[k]]:
                     values[feed.name][at[k]] = dict(zip(keys, row))
     columns = [batch.column(0), batch.column(1), pa.array([not f for f in faults], pa.bool_()), pa.array(faults, schema.field("faults").type)]
-    columns += [pa.array(values[f.name], schema.field(f"row_{f.name}").type) for f in feeds]
+    if typed_rows:
+        columns += [pa.array(values[f.name], schema.field(f"row_{f.name}").type) for f in feeds]
     columns += batch.columns[3:]
     return pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
-def parse_lines(df: DataFrame, id_col: str = "line_id", feed_col: str = "feed", line_col: str = "line", feeds: tuple[Feed, ...] = FEEDS, carried: tuple[str, ...] = ()) -> DataFrame:
-    """``line_id, feed, ok, faults ARRAY<STRUCT<field, reason>>`` and for each feed ``row_<feed>`` STRUCT, null unless valid; then the columns ``carried``, as they are."""
+def parse_lines(df: DataFrame, id_col: str = "line_id", feed_col: str = "feed", line_col: str = "line", feeds: tuple[Feed, ...] = FEEDS, carried: tuple[str, ...] = (), typed: bool = True) -> DataFrame:
+    """``line_id, feed, ok, faults ARRAY<STRUCT<field, reason>>`` and for each feed ``row_<feed>`` STRUCT, null unless valid; then the columns ``carried``, as they are.
+
+    Without ``typed`` the ``row_`` columns, which cost a conversion, are left out.
+    """
     src = df.select(F.col(id_col).cast("bigint").alias("line_id"), F.col(feed_col).cast("string").alias("feed"), F.col(line_col).cast("string").alias("line"), *carried)
     fault = pa.list_(pa.struct([("field", pa.string()), ("reason", pa.string())]))
     schema = pa.schema(
         [("line_id", pa.int64()), ("feed", pa.string()), ("ok", pa.bool_()), ("faults", fault)]
-        + [(f"row_{f.name}", pa.struct([(c.name, c.type) for c in f.columns])) for f in feeds]
+        + [(f"row_{f.name}", pa.struct([(c.name, c.type) for c in f.columns])) for f in feeds if typed]
     )
-    ddl = "line_id bigint, feed string, ok boolean, faults array<struct<field: string, reason: string>>" + "".join(f", row_{f.name} struct<{f.ddl}>" for f in feeds)
+    ddl = "line_id bigint, feed string, ok boolean, faults array<struct<field: string, reason: string>>" + "".join(f", row_{f.name} struct<{f.ddl}>" for f in feeds if typed)
     ddl += "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[3:])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                yield _judge(b, feeds, pa.schema([*schema, *list(b.schema)[3:]]))
+                yield _judge(b, feeds, pa.schema([*schema, *list(b.schema)[3:]]), typed)
 
     return src.mapInArrow(run, ddl)
 

@@ -3,23 +3,25 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``. Only where that is unset (tests, one machine) a folder of our own is made and set."""
+    """The session's ``spark.checkpoint.dir``. Only where that is unset on one machine (tests) a folder of our own is made and set."""
     sc = spark.sparkContext
     at = sc._jsc.sc().getCheckpointDir()
     now = at.get() if at.isDefined() else None
     if now is None:
         want = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
         if not want:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             want = _OWN.setdefault(sc.applicationId, "file://" + tempfile.mkdtemp(prefix="cladeworks-"))
         sc.setCheckpointDir(want)
         now = sc._jsc.sc().getCheckpointDir().get()
@@ -41,10 +43,13 @@ def unstage(df: DataFrame) -> None:
         _delete(df.sparkSession, f.rpartition("/")[0])
 
 
-def free(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+#: Rows up to which :func:`small` has a table broadcast.
+SMALL = 50_000
+
+
+def small(df: DataFrame, rows: int = SMALL) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows, else unmarked. Starts a job that reads no more than that."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def _delete(spark: SparkSession, path: str) -> None:
