@@ -3,8 +3,8 @@
 Method: tokens are summed per source; a source's rate is share * total / tokens, at most its cap of uses; each record is
 emitted floor(rate) times and once more if a hash of its id and the seed, read as a number in [0, 1), is below the rate's
 fraction. The total is a parameter; by default it is the largest for which every source that has tokens reaches its share
-within its cap. Rates are a table of one row per source of the targets, which is small and fixed, and are broadcast;
-records meet them in a narrow pass, so a source with most of the records is no hot key.
+within its cap. Rates are a table of one row per source of the targets. Its size is checked: if small it is broadcast and
+records meet it in a narrow pass, so a source with most of the records is no hot key; else the join is left to Spark.
 
 Spelling: source names are trimmed, lower-cased, and blanks and hyphens read as underscores.
 
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladeworks.llm.tokens import RANKS, with_token_counts
-from cladeworks.scratch import stage
+from cladeworks.scratch import small, stage
 
 
 def normal_source(c: Column) -> Column:
@@ -33,21 +33,24 @@ def source_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def rates(tokens: DataFrame, targets: DataFrame, total: float | None = None) -> DataFrame:
-    """``source, target_share, max_repeats, available, rate`` for each target. The sums of the targets' sources, one row each, come to the driver."""
+    """``source, target_share, max_repeats, available, rate`` for each target, written once."""
     t = targets.filter(F.col("source").isNotNull() & (F.col("target_share") > 0)).groupBy(normal_source(F.col("source")).alias("source")).agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
-    have = tokens.join(F.broadcast(t.select("source")), "source", "left_semi").groupBy("source").agg(F.sum("n_tokens").cast("double").alias("available"))
-    rows = sorted(t.join(have, "source", "left").collect(), key=lambda r: r.source)
-    reach = [r.max_repeats * r.available / r.target_share for r in rows if r.available]
-    whole = total if total is not None else min(reach, default=0.0)
-    out = [(r.source, r.target_share, r.max_repeats, r.available or 0.0, min(r.target_share * whole / r.available, float(r.max_repeats)) if r.available else 0.0) for r in rows]
-    return tokens.sparkSession.createDataFrame(out, "source string, target_share double, max_repeats int, available double, rate double")
+    have = tokens.groupBy("source").agg(F.sum("n_tokens").cast("double").alias("available"))
+    rows = t.join(have, "source", "left").withColumn("available", F.coalesce("available", F.lit(0.0)))
+    if total is None:
+        reach = F.when(F.col("available") > 0, F.col("max_repeats") * F.col("available") / F.col("target_share"))
+        whole = rows.agg(F.coalesce(F.min(reach), F.lit(0.0))).scalar()
+    else:
+        whole = F.lit(float(total))
+    rate = F.when(F.col("available") > 0, F.least(F.col("target_share") * F.col("whole") / F.col("available"), F.col("max_repeats").cast("double"))).otherwise(0.0)
+    return stage(rows.withColumn("whole", whole).select("source", "target_share", "max_repeats", "available", rate.alias("rate")), "rates")
 
 
 def mix(tokens: DataFrame, rate_table: DataFrame, seed: int = 42) -> DataFrame:
     """``id, source, copy, n_tokens``: every emitted copy."""
     # 53 bits of the hash, exact in a double
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id"), 11).cast("double") / F.lit(float(2**53))
-    x = tokens.join(F.broadcast(rate_table.select("source", "rate")), "source")
+    x = tokens.join(small(rate_table.select("source", "rate")), "source")
     n = (F.floor("rate") + F.when(draw < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int")
     x = x.withColumn("copies", n).filter("copies > 0")
     return x.select("id", "source", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"), "n_tokens")

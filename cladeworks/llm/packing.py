@@ -7,9 +7,9 @@ takes the pattern that leaves least room); patterns and their counts are updated
 get their rank and are joined to the plan by (length, rank).
 
 Scale. One pass for token counts, a map-side combined histogram, and one shuffle for ranks. A length that a third of all
-items share is ranked in salted parts, of which there are at most ``PARTS`` beyond one a length; full pieces need no rank
-and no plan. Histogram, part sizes and plan are bounded by the capacity, not by the number of items, and go through the
-driver.
+items share is ranked in salted parts, of which there are at most ``PARTS`` beyond one a length, and so are the full pieces
+of long items. Histogram, part sizes and plan are bounded by the capacity, not by the number of items, and go through the
+driver. Numbers of containers depend on ids and lengths alone, so a plan evaluated twice gives the same.
 
 Defined results: items of no tokens, null and empty texts get no container (``container_no`` null); ties in length go by
 salt and id; repeated texts are items of their own; null ids count as items with a null id; no items give no containers.
@@ -81,30 +81,26 @@ def pieces(items: DataFrame, capacity: int) -> DataFrame:
     return x.select("id", "piece", first.alias("first_token"), F.least(F.col("n_tokens") - first, F.lit(capacity)).alias("n_tokens"))
 
 
-def _salt(parts: dict[int, int]):
-    """Which of its length's parts an item falls into."""
-    cases = None
-    for length, k in parts.items():
-        value = F.pmod(F.xxhash64("id", "piece"), F.lit(k)).cast("int")
-        cases = F.when(F.col("n_tokens") == length, value) if cases is None else cases.when(F.col("n_tokens") == length, value)
-    return F.lit(0) if cases is None else cases.otherwise(0)
-
-
 def pack(items: DataFrame, capacity: int, rule: str = "shortest") -> DataFrame:
     """``id, piece, first_token, n_tokens, container_no`` for items ``id, n_tokens`` (written beforehand, read twice)."""
     spark = items.sparkSession
     cut = pieces(items, capacity)
-    short = cut.filter(F.col("n_tokens").between(1, capacity - 1))
+    short = cut.filter(F.col("n_tokens") > 0)
     counts = {r.n_tokens: r.c for r in short.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("c")).collect()}
     part = max(PART, sum(counts.values()) // PARTS)
-    salted = short.withColumn("part", _salt({n: -(-c // part) for n, c in counts.items() if c > part}))
+    parts = [(n, -(-c // part)) for n, c in counts.items() if c > part]
+    salted = short.withColumn("part", F.lit(0))
+    sizes = []
+    if parts:  # at most PARTS lengths
+        table = spark.createDataFrame(parts, "n_tokens int, parts int")
+        salted = short.join(F.broadcast(table), "n_tokens", "left").withColumn("part", F.pmod(F.xxhash64("id", "piece"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+        sizes = salted.join(F.broadcast(table), "n_tokens", "left_semi").groupBy("n_tokens", "part").agg(F.count(F.lit(1)).alias("c")).collect()
     starts: dict[tuple[int, int], int] = {}
     at: dict[int, int] = {}
-    sizes = salted.groupBy("n_tokens", "part").agg(F.count(F.lit(1)).alias("c")).collect() if any(c > part for c in counts.values()) else []
     for r in sorted(sizes, key=lambda r: (r.n_tokens, r.part)):
         starts[r.n_tokens, r.part] = at.get(r.n_tokens, 0)
         at[r.n_tokens] = at.get(r.n_tokens, 0) + r.c
-    rows, total = plan(counts, capacity, rule)
+    rows, _ = plan(counts, capacity, rule)
 
     order = Window.partitionBy("n_tokens", "part").orderBy("id", "piece")
     ranked = salted.withColumn("rank", F.row_number().over(order).cast("bigint") - 1)
@@ -112,13 +108,8 @@ def pack(items: DataFrame, capacity: int, rule: str = "shortest") -> DataFrame:
     if starts:
         off = spark.createDataFrame([(n, p, s) for (n, p), s in starts.items()], "n_tokens int, part int, start bigint")
         ranked = ranked.join(F.broadcast(off), ["n_tokens", "part"], "left").withColumn("rank", F.col("rank") + F.coalesce("start", F.lit(0)))
-    placed = _place(ranked, rows)
-    full = cut.filter(F.col("n_tokens") == capacity)
-    # a full piece is a container of its own, numbered after the planned ones by a number that is unique and needs no rank
-    placed = placed.select("id", "piece", "first_token", "n_tokens", "container_no")
-    alone = full.select("id", "piece", "first_token", "n_tokens", (F.lit(total) + F.monotonically_increasing_id()).alias("container_no"))
     none = cut.filter(F.col("n_tokens") == 0).select("id", "piece", "first_token", "n_tokens", F.lit(None).cast("bigint").alias("container_no"))
-    return placed.unionByName(alone).unionByName(none)
+    return _place(ranked, rows).unionByName(none)
 
 
 def _place(ranked: DataFrame, rows: list[tuple[int, int, int, int, int]]) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladeworks.llm.stream import binary, bounds, column, pieces, whole_runs
-from cladeworks.scratch import free, stage, unstage
+from cladeworks.scratch import stage, unstage
 
 #: Share of all entries from which a value is heavy, as 1 / HEAVY: there are at most HEAVY such values.
 HEAVY = 20000
@@ -350,12 +350,9 @@ def similar_classes(sets: DataFrame, threshold: float = 0.5, k: int = 2) -> tupl
     spark = sets.sparkSession
     classes, members = collapse(sets)
     members = stage(members, "members")
-    free(spark)
     records = stage(_records(classes, _heavy(classes), threshold), "records")
     unstage(classes)
-    free(spark)
     lists = _lists(records, threshold, k)
-    free(spark)
     return _search(records, _probe(records, lists, threshold, k), threshold), members
 
 
