@@ -1,16 +1,19 @@
 """Parent-child rows of unknown depth: loops, and for every node of the forest its path, depth, root and descendants.
 
-Method. *Cycle separation*: ancestors at distances 1, 2, 4, ... are joined from one another; a node drops out as soon as
-its jump passes a root, so each round holds only the deeper nodes. When a round loses no node, what is left lies on a
-loop or leads into one; jumping on until the distance exceeds their number lands exactly on the nodes of the loops.
-*Heavy paths*: the same jumps give depths, roots and subtree sizes (a node's size is the sum of what its descendants at
-distance 2^k hold). The heaviest child continues its parent's chain, every other child heads a new one, so a path meets
-at most log2(n) chains. Paths are chain prefixes plus a slice of the node's own chain; preorder numbers follow the
-chains, so the descendants of a node are the numbers from ``first`` to ``last`` under its root.
-
-Scale. All steps are joins and map-side combined aggregates on node ids; a parent with a third of all nodes is a hot
-join key (left to adaptive skew joins) and its children are numbered in blocks of ids, never in one window. Nothing is
-collected. Each round is written to the shared folder.
+Method. One *climb* serves both. A node still climbing knows its ancestor at distance 1, 2, 4, ...; it is settled as soon as
+that ancestor is, and then has its root and depth. A round that settles nobody leaves the nodes on loops and below them:
+that is the *cycle separation*. Jumping on until the distance exceeds their number lands exactly on the nodes of the loops,
+and the smallest id met on the way names the loop. *Heavy paths*: the climb also sums subtree sizes (what a node's
+descendants at distance 2^k hold counts for it). The heaviest child continues its parent's chain, every other child heads a
+new one, so a path meets at most log2(n) chains. Paths are chain prefixes plus a slice of the node's own chain; preorder
+numbers follow the chains, so the descendants of a node are the numbers from ``first`` to ``last`` under its root.
+
+Scale. All steps are joins and map-side combined aggregates on node ids. A round first combines its climbers by ancestor. If
+there are few different ancestors, which the row count of that table tells, they are broadcast with what is known of them,
+so a parent with a third of all nodes is no hot join key and the climbers are not shuffled; if there are many, both sides
+are joined by key and adaptive skew joins split what is hot. Children of a hot parent are numbered in blocks of ids, never
+in one window. Nothing is collected. Each round is written to the shared folder, and its rows are counted while they are
+written. A chain is held as one array; it is no longer than the longest path, which is an array of the result.
 
 Defined results: a parent that is null, 0 or no node of its own makes a root (``orphan`` tells the last case); null ids
 are no nodes; of several rows of a node the one latest in time is in force, at equal times the one with the larger
@@ -19,10 +22,12 @@ parent; a node that is its own parent is a loop; empty tables give empty results
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cladeworks.scratch import stage
+from cladeworks.scratch import marked, stage, stage_counted
 
 #: 2^ID_BITS ids are numbered together when the light children of one parent get their offsets.
 ID_BITS = 12
@@ -42,78 +47,81 @@ def known_parents(links: DataFrame) -> DataFrame:
     return out.select("node", F.when(F.col("known"), F.col("parent")).alias("parent"), (F.col("parent").isNotNull() & F.col("known").isNull()).alias("orphan"))
 
 
-def jump_tables(links: DataFrame) -> tuple[list[DataFrame], DataFrame | None, int]:
-    """Tables of ``node, anc, low`` for the distances 1, 2, 4, ..., each with the nodes that have such an ancestor.
+@dataclass(frozen=True)
+class Climb:
+    """``settled``: ``node, root, depth`` (and ``size``); ``left``: ``node, anc, low`` of the ``n_left`` nodes on and below loops.
 
-    Returns them, the table left when a round loses no node (on or below loops; None without loops) and its row count.
-    ``low`` is the smallest id from the node up to, not including, ``anc``.
+    ``anc`` is the ancestor at distance ``step`` and ``low`` the smallest id from the node up to, not including, ``anc``.
     """
-    now = stage(links.filter("parent is not null").select("node", F.col("parent").alias("anc"), F.col("node").alias("low")), "jump")
-    n = now.count()
-    tables = []
-    while n:
-        tables.append(now)
-        after = stage(_double(now), "jump")
-        m = after.count()
-        if m == n:
-            return tables[:-1], now, n
-        now, n = after, m
-    return tables, None, 0
-
-
-def _double(t: DataFrame) -> DataFrame:
-    up = t.select(F.col("node").alias("anc"), F.col("anc").alias("anc2"), F.col("low").alias("low2"))
-    return t.join(up, "anc").select("node", F.col("anc2").alias("anc"), F.least("low", "low2").alias("low"))
-
-
-def loops(left: DataFrame | None, n: int, step: int, empty_like: DataFrame) -> DataFrame:
-    """``cycle_id, node`` of the nodes on loops, from the table left by :func:`jump_tables` at distance ``step``."""
-    if left is None:
-        return empty_like.select(F.col("node").alias("cycle_id"), "node").limit(0)
-    while step < n:
-        left, step = stage(_double(left), "loop"), step * 2
-    return left.join(left.select(F.col("anc").alias("node")).distinct(), "node", "left_semi").select(F.col("low").alias("cycle_id"), "node")
-
-
-def find_cycles(links: DataFrame) -> DataFrame:
-    """``cycle_id, node``: every node on a loop with the smallest node of its loop. ``links``: ``node, parent``."""
-    tables, left, n = jump_tables(links)
-    return loops(left, n, 2 ** len(tables), links)
 
+    settled: DataFrame
+    left: DataFrame
+    n_left: int
+    step: int
 
-def climb(links: DataFrame, sizes: bool = False) -> DataFrame:
-    """``node, root, depth`` (and ``size`` of the subtree) of every node that reaches a root. ``links``: ``node, parent``.
 
-    In round k a node still climbing knows its ancestor at distance 2^k and ``held``, its descendants nearer than that. It
-    is done as soon as that ancestor is, so the table of climbers shrinks; what it held counts for the ancestor's size. Nodes
-    on and below loops climb on until a round settles nobody.
-    """
-    one = F.lit(1).cast("bigint").alias("held")
+def climb(links: DataFrame, sizes: bool = False) -> Climb:
+    """Settles every node that reaches a root, ``links``: ``node, parent``."""
+    one, none = F.lit(1).cast("bigint"), F.lit(None).cast("bigint")
     done = links.filter("parent is null").select("node", F.col("node").alias("root"), F.lit(0).alias("depth"))
-    now = links.filter("parent is not null").select("node", F.col("parent").alias("anc"), one)
+    now = links.filter("parent is not null").select("node", F.col("parent").alias("anc"), F.col("node").alias("low"), one.alias("held"))
     parts, step, left = [links.select("node", one.alias("size"))], 1, -1
     while True:
-        below = now.groupBy("anc").agg(F.sum("held").alias("size")).select(F.col("anc").alias("node"), "size")
-        if sizes:
-            parts.append(below)
-        state = done.select("node", "root", "depth", F.lit(None).cast("bigint").alias("up")).unionByName(now.select("node", F.lit(None).cast("bigint").alias("root"), F.lit(None).cast("int").alias("depth"), F.col("anc").alias("up")))
-        x = now.join(state.withColumnRenamed("node", "anc"), "anc").select("node", "held", "root", (F.col("depth") + step).alias("depth"), "up")
+        below, n = stage_counted(now.groupBy("anc").agg(F.sum("held").alias("size")), "below")
+        if not n:
+            break
+        parts.append(below.select(F.col("anc").alias("node"), "size"))
+        state = done.select(F.col("node").alias("anc"), "root", "depth", none.alias("up"), none.alias("up_low")).unionByName(now.select(F.col("node").alias("anc"), none.alias("root"), F.lit(None).cast("int").alias("depth"), F.col("anc").alias("up"), F.col("low").alias("up_low")))
+        known = marked(state.join(marked(below.select("anc"), n), "anc"), n)
+        x = now.join(known, "anc").select("node", "held", "root", (F.col("depth") + step).alias("depth"), "up", F.least("low", "up_low").alias("low"))
         if sizes:
-            x = x.join(below.withColumnRenamed("size", "more"), "node", "left").withColumn("held", F.col("held") + F.coalesce("more", F.lit(0)))
-        table = stage(x, "climb")
+            more = below.select(F.col("anc").alias("node"), F.col("size").alias("more"))
+            x = x.join(marked(more, n), "node", "left").withColumn("held", F.col("held") + F.coalesce("more", F.lit(0))).drop("more")
+        table, n = stage_counted(x, "climb")
         done = done.unionByName(table.filter("root is not null").select("node", "root", "depth"))
-        now = table.filter("root is null").select("node", F.col("up").alias("anc"), "held")
+        now = table.filter("root is null").select("node", F.col("up").alias("anc"), "low", "held")
         step *= 2
-        n = now.count()
-        if n in (0, left):
+        if n == left:  # nobody was settled by the round before
             break
         left = n
-    if not sizes:
-        return done
-    size = parts[0]
-    for p in parts[1:]:
-        size = size.unionByName(p)
-    return done.join(size.groupBy("node").agg(F.sum("size").alias("size")), "node")
+    now = now.select("node", "anc", "low")
+    if sizes:
+        size = parts[0]
+        for p in parts[1:]:
+            size = size.unionByName(p)
+        done = done.join(size.groupBy("node").agg(F.sum("size").alias("size")), "node")
+    return Climb(done, now, max(left, 0) if n else 0, step)
+
+
+def chain_heads(along: DataFrame) -> DataFrame:
+    """``node, chain, position``: the head of each node's chain and the steps from it. ``along``: ``node, parent``, null at heads.
+
+    A node continues at most one chain, so an ancestor has one climber at each distance and no key is hot.
+    """
+    none, start = F.lit(None).cast("bigint"), F.lit(0)
+    done = along.filter("parent is null").select("node", F.col("node").alias("chain"), start.alias("position"))
+    now, step = along.filter("parent is not null").select("node", F.col("parent").alias("anc")), 1
+    while True:
+        state = done.select(F.col("node").alias("anc"), "chain", "position", none.alias("up")).unionByName(now.select(F.col("node").alias("anc"), none.alias("chain"), F.lit(None).cast("int").alias("position"), F.col("anc").alias("up")))
+        table, n = stage_counted(now.join(state, "anc").select("node", "chain", (F.col("position") + step).alias("position"), "up"), "chains")
+        done = done.unionByName(table.filter("chain is not null").select("node", "chain", "position"))
+        if not n:
+            return done
+        now, step = table.filter("chain is null").select("node", F.col("up").alias("anc")), step * 2
+
+
+def loops(climbed: Climb) -> DataFrame:
+    """``cycle_id, node``: every node on a loop with the smallest node of its loop."""
+    left, step = climbed.left, climbed.step
+    while step < climbed.n_left:
+        up = left.select(F.col("node").alias("anc"), F.col("anc").alias("up"), F.col("low").alias("up_low"))
+        left, step = stage(left.join(up, "anc").select("node", F.col("up").alias("anc"), F.least("low", "up_low").alias("low")), "loop"), step * 2
+    return left.join(left.select(F.col("anc").alias("node")).distinct(), "node", "left_semi").select(F.col("low").alias("cycle_id"), "node")
+
+
+def find_cycles(links: DataFrame) -> DataFrame:
+    """The cycle separation of :func:`build_hierarchy`: ``cycle_id, node`` of every node on a loop. ``links``: ``node, parent``."""
+    return loops(climb(stage(known_parents(links), "links")))
 
 
 def _sibling_offsets(light: DataFrame) -> DataFrame:
@@ -134,16 +142,15 @@ def build_hierarchy(links: DataFrame) -> DataFrame:
     first, other children by id). Nodes on or below loops are left out: see :func:`find_cycles`.
     """
     links = stage(known_parents(links), "links")
-    sized = stage(links.join(climb(links, sizes=True), "node"), "sized")
+    sized = stage(links.join(climb(links, sizes=True).settled, "node"), "sized")
 
     best = F.max(F.struct("size", (-F.col("node")).alias("neg")))
     heavy = sized.filter("parent is not null").groupBy("parent").agg(best.alias("h")).select(F.col("parent").alias("p"), (-F.col("h.neg")).alias("heavy"), F.col("h.size").alias("heavy_size"))
-    marked = sized.join(heavy, F.col("parent") == F.col("p"), "left").drop("p")
-    marked = stage(marked.withColumn("light", F.col("parent").isNotNull() & (F.col("node") != F.col("heavy"))), "marked")
+    heavy_marked = sized.join(heavy, F.col("parent") == F.col("p"), "left").drop("p")
+    heavy_marked = stage(heavy_marked.withColumn("light", F.col("parent").isNotNull() & (F.col("node") != F.col("heavy"))), "marked")
 
-    along = marked.select("node", F.when(~F.col("light"), F.col("parent")).alias("parent"))
-    chains = climb(along).select("node", F.col("root").alias("chain"), F.col("depth").alias("position"))
-    nodes = stage(marked.join(chains, "node"), "nodes")
+    along = heavy_marked.select("node", F.when(~F.col("light"), F.col("parent")).alias("parent"))
+    nodes = stage(heavy_marked.join(chain_heads(along), "node"), "nodes")
 
     members = nodes.groupBy("chain").agg(F.sort_array(F.collect_list(F.struct("position", "node"))).alias("m")).select("chain", F.col("m.node").alias("members"))
     offsets = _sibling_offsets(nodes.filter("light").select("node", "parent", "size"))
@@ -153,13 +160,12 @@ def build_hierarchy(links: DataFrame) -> DataFrame:
     members = stage(members, "members")
 
     level = nodes.filter("parent is null").select(F.col("node").alias("chain"), F.array().cast("array<bigint>").alias("prefix"), F.lit(0).cast("bigint").alias("start"))
-    level = stage(level, "level")
-    found = level
+    found = level = stage(level, "level")
     while True:
         above = level.join(members, "chain").select(F.col("chain").alias("up"), "prefix", "start", "members")
         step = heads.join(above, "up").select("chain", F.concat("prefix", F.slice("members", 1, F.col("up_position") + 1)).alias("prefix"), (F.col("start") + F.col("shift")).alias("start"))
-        level = stage(step, "level")
-        if level.isEmpty():
+        level, n = stage_counted(step, "level")
+        if not n:
             break
         found = found.unionByName(level)
 

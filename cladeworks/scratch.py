@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
@@ -37,6 +37,13 @@ def stage(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_counted(df: DataFrame, name: str = "t") -> tuple[DataFrame, int]:
+    """:func:`stage` and the number of rows, which is observed while they are written."""
+    seen = Observation()
+    out = stage(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    return out, seen.get["n"]
+
+
 def unstage(df: DataFrame) -> None:
     """Delete a table written by :func:`stage` that no later plan reads."""
     for f in df.inputFiles()[:1]:
@@ -49,7 +56,12 @@ SMALL = 50_000
 
 def small(df: DataFrame, rows: int = SMALL) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``rows`` rows, else unmarked. Starts a job that reads no more than that."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return marked(df, df.limit(rows + 1).count(), rows)
+
+
+def marked(df: DataFrame, n: int, rows: int = SMALL) -> DataFrame:
+    """:func:`small` for a table whose number of rows ``n`` is known."""
+    return F.broadcast(df) if n <= rows else df
 
 
 def _delete(spark: SparkSession, path: str) -> None:
