@@ -40,31 +40,6 @@ def greedy_weakly_compatible(masks, weights, ntax):
     return kept
 
 
-def consecutive_order(sets: list[int], items: list[int]) -> list[int] | None:
-    """An order of the items in which every set (bit mask) is an interval, or None; by ordered partitions refined set by set.
-
-    Backtracks only where an overlap class leaves two orientations open, which for interval systems is settled at once.
-    """
-    sets = sorted({s for s in sets if s.bit_count() > 1}, key=lambda s: -s.bit_count())
-    if not sets:
-        return items
-    groups: list[list[int]] = []  # overlap classes
-    for s in sets:
-        touching = [g for g in groups if any(s & t and s & ~t and t & ~s for t in g)]
-        merged = [s]
-        for g in touching:
-            merged += g
-            groups.remove(g)
-        groups.append(merged)
-    blocks_of = []
-    for g in groups:
-        blocks = _interval_blocks(g)
-        if blocks is None:
-            return None
-        blocks_of.append((blocks, _or(g)))
-    return _nest(blocks_of, items)
-
-
 def _or(masks):
     out = 0
     for m in masks:
@@ -72,90 +47,6 @@ def _or(masks):
     return out
 
 
-def _interval_blocks(group: list[int]) -> list[int] | None:
-    """Ordered blocks (masks) of an overlap-connected class such that every set is a union of consecutive blocks."""
-    todo, blocks = list(group), [group[0]]
-    todo.remove(group[0])
-    while todo:
-        whole = _or(blocks)
-        s = next((s for s in todo if s & whole and any(s & t and s & ~t and t & ~s for t in group if t not in todo)), None)
-        if s is None:
-            s = todo[0]
-        todo.remove(s)
-        new = s & ~whole
-        hit = [i for i, b in enumerate(blocks) if b & s]
-        if not hit:
-            return None
-        lo, hi = hit[0], hit[-1]
-        if hit != list(range(lo, hi + 1)) or any(blocks[i] & ~s for i in range(lo + 1, hi)):
-            return None
-        if new:
-            right = hi == len(blocks) - 1 and (lo == 0 or not blocks[hi] & ~s)
-            left = lo == 0 and not blocks[lo] & ~s
-            if len(blocks) == 1:
-                b = blocks[0]
-                blocks = [x for x in (b & ~s, b & s, new) if x]
-                continue
-            if hi == len(blocks) - 1 and not blocks[hi] & ~s:
-                b = blocks[lo]
-                blocks = blocks[:lo] + [x for x in (b & ~s, b & s) if x] + blocks[lo + 1 :] + [new]
-            elif left:
-                b = blocks[hi]
-                blocks = [new] + blocks[:hi] + [x for x in (b & s, b & ~s) if x] + blocks[hi + 1 :]
-            elif right:
-                b = blocks[hi]
-                blocks = blocks[:hi] + [x for x in (b & ~s, b & s) if x] + [new]
-            else:
-                return None
-        elif lo == hi:
-            b = blocks[lo]
-            if b & ~s:
-                if lo == 0 and len(blocks) > 1:
-                    blocks[lo : lo + 1] = [b & ~s, b & s]
-                elif lo == len(blocks) - 1:
-                    blocks[lo : lo + 1] = [b & s, b & ~s]
-                else:
-                    return None
-        else:
-            b, c = blocks[lo], blocks[hi]
-            blocks[hi : hi + 1] = [x for x in (c & s, c & ~s) if x]
-            blocks[lo : lo + 1] = [x for x in (b & ~s, b & s) if x]
-    return blocks
-
-
-def _nest(classes, items):
-    """Arranges the items: classes by inclusion, each class' blocks in order, inner classes within one block."""
-    classes = sorted(classes, key=lambda c: c[1].bit_count())
-
-    def arrange(pool: int, upto: int) -> list[int]:
-        top, rest = [], pool
-        for k in range(upto - 1, -1, -1):
-            blocks, whole = classes[k]
-            if whole & rest == whole and whole & ~pool == 0:
-                inner = []
-                for b in blocks:
-                    inner += arrange(b, k)
-                top.append((min(inner), inner))
-                rest &= ~whole
-        top += [(i, [i]) for i in range(rest.bit_length()) if rest >> i & 1]
-        return [x for _, part in sorted(top) for x in part]
-
-    return arrange(sum(1 << i for i in items), len(classes))
-
-
-def circular_order(masks, ntax: int) -> list[int] | None:
-    """A cycle of taxa 1..ntax in which every split (side without taxon 1) is an interval, or None."""
-    order = consecutive_order(list(masks), list(range(1, ntax)))
-    if order is None:
-        return None
-    at = {t: i for i, t in enumerate(order)}
-    for m in masks:
-        p = [at[i] for i in range(1, ntax) if m >> i & 1]
-        if p and max(p) - min(p) + 1 != len(p):
-            return None
-    return [1] + [t + 1 for t in order]
-
-
 # PQ-tree as nested tuples (kind, mask, children): "P" children in any order, "Q" in the given order or its reverse
 
 
@@ -218,10 +109,31 @@ def _reduce(node, s: int):
     return _node("Q", row)
 
 
+def _free(ntax: int):
+    return _node("P", [("P", 1 << t, ()) for t in range(1, ntax)])
+
+
+def _frontier(node) -> list[int]:
+    return [node[1].bit_length()] if not node[2] else [t for x in node[2] for t in _frontier(x)]
+
+
+def circular_order(masks, ntax: int) -> list[int] | None:
+    """A cycle of taxa 1..ntax in which every split (side without taxon 1) is an interval, or None."""
+    if ntax < 3:
+        return list(range(1, ntax + 1))
+    tree = _free(ntax)
+    for m in sorted(set(masks), key=lambda m: (-m.bit_count(), m)):
+        if (tree := _reduce(tree, m)) is None:
+            return None
+    return [1, *_frontier(tree)]
+
+
 def greedy_circular(masks, weights, ntax):
     """By a PQ-tree of the taxa but the first, into which each kept split is reduced; exact."""
+    if ntax < 3:
+        return list(masks)
     kept: list[int] = []
-    tree = _node("P", [("P", 1 << t, ()) for t in range(1, ntax)])
+    tree = _free(ntax)
     for i in _order(masks, weights):
         if (t := _reduce(tree, masks[i])) is not None:
             tree = t
@@ -229,28 +141,124 @@ def greedy_circular(masks, weights, ntax):
     return kept
 
 
+def _conflicts(masks) -> list[set[int]]:
+    n = len(masks)
+    adj: list[set[int]] = [set() for _ in range(n)]
+    for i in range(n):
+        for j in range(i):
+            if not compatible(masks[i], masks[j]):
+                adj[i].add(j)
+                adj[j].add(i)
+    return adj
+
+
 def dimension_filter(masks, weights, ntax, most: int = 4):
     """Drops the worst split (lightest by weight times compatible share) of each clique of more than ``most`` until none is left."""
-    n = len(masks)
-    adj = [{j for j in range(n) if j != i and not compatible(masks[i], masks[j])} for i in range(n)]
-    alive = set(range(n))
-
-    def clique(start):
-        best = [start]
-        pool = adj[start] & alive
-        while pool and len(best) <= most:
-            v = max(pool, key=lambda x: (len(adj[x] & pool), -x))
-            best.append(v)
-            pool = pool & adj[v]
-        return best
+    adj = _conflicts(masks)
+    alive = set(range(len(masks)))
+
+    def clique(chosen, pool):
+        """Some clique of ``most + 1`` that extends the chosen ones into the pool, or None; every possibility is tried."""
+        if len(chosen) > most:
+            return chosen
+        if len(chosen) + len(pool) <= most:
+            return None
+        for v in sorted(pool, key=lambda x: (-len(adj[x] & pool), x)):
+            if found := clique([*chosen, v], pool & adj[v]):
+                return found
+            pool = pool - {v}
+            if len(chosen) + len(pool) <= most:
+                return None
+        return None
 
-    # removing nodes never enlarges a clique, so each node is settled once
-    for v in sorted(range(n), key=lambda x: (-len(adj[x]), x)):
-        while v in alive and len(adj[v] & alive) >= most and len(c := clique(v)) > most:
+    # removing nodes never makes a clique, so each node is settled once
+    for v in sorted(alive, key=lambda x: (-len(adj[x]), x)):
+        while v in alive and (c := clique([v], adj[v] & alive)):
             alive.discard(min(c, key=lambda x: (weights[x] / (1 + len(adj[x] & alive)), masks[x])))
     return [masks[i] for i in sorted(alive)]
 
 
+def clique_compatible(masks, weights, ntax):
+    """Pairwise compatible splits of the largest total weight (then those first by weight and mask), by branch and bound.
+
+    The bound of a branch is a partition of the open splits into mutually incompatible ones, of which one can be taken each.
+    """
+    order = [i for i in _order(masks, weights) if weights[i] > 0]
+    adj = _conflicts(masks)
+    best: tuple[float, list[int]] = (0.0, [])
+
+    def bound(pool):
+        total, classes = 0.0, []
+        for v in pool:
+            for c in classes:
+                if all(u in adj[v] for u in c):
+                    c.append(v)
+                    break
+            else:
+                classes.append([v])
+                total += weights[v]
+        return total
+
+    stack = [(0.0, [], order)]
+    while stack:
+        got, chosen, pool = stack.pop()
+        free = [v for v in pool if not adj[v].intersection(pool)]
+        got, chosen, pool = got + sum(weights[v] for v in free), chosen + free, [v for v in pool if v not in set(free)]
+        if not pool:
+            if got > best[0] + 1e-12:
+                best = (got, chosen)
+            continue
+        if got + bound(pool) <= best[0] + 1e-12:
+            continue
+        v = pool[0]
+        stack.append((got, chosen, pool[1:]))
+        stack.append((got + weights[v], [*chosen, v], [u for u in pool[1:] if u not in adj[v]]))
+    return [masks[i] for i in sorted(best[1])]
+
+
+def clique_circular(masks, weights, ntax, cycle):
+    """Compatible splits of the largest total weight among those that are intervals of the cycle: a dynamic program over intervals."""
+    n, at = ntax, {t: i for i, t in enumerate(cycle)}
+    own: dict[tuple[int, int], list[int]] = {}
+    full = (1 << n) - 1
+    for i, m in enumerate(masks):
+        side = full ^ m if m >> (cycle[0] - 1) & 1 else m
+        p = sorted(at[t + 1] for t in range(n) if side >> t & 1)
+        if p and p[-1] - p[0] + 1 == len(p) and weights[i] > 0:
+            own.setdefault((p[0], p[-1]), []).append(i)
+    w = np.zeros((n, n))
+    for (a, b), found in own.items():
+        w[a, b] = sum(weights[i] for i in found)
+    best, cut = np.zeros((n + 1, n + 1)), np.zeros((n + 1, n + 1), int)
+    for size in range(1, n):
+        for a in range(1, n - size + 1):
+            b = a + size - 1
+            if size > 1:
+                k = np.arange(a, b)
+                v = best[a, a:b] + best[k + 1, b]
+                j = int(np.argmax(v))
+                best[a, b], cut[a, b] = v[j], a + j
+            best[a, b] += w[a, b]
+    out, stack = [], [(1, n - 1)] if n > 1 else []
+    while stack:
+        a, b = stack.pop()
+        out += own.get((a, b), [])
+        if a < b:
+            stack += [(a, cut[a, b]), (cut[a, b] + 1, b)]
+    return [masks[i] for i in sorted(out)]
+
+
+def splits_cycle(masks, ntax: int) -> list[int]:
+    """A cycle for splits: exact if there is one in which all are intervals, else the ordering of the numbers of separating splits."""
+    if (c := circular_order(masks, ntax)) is not None:
+        return c
+    on = np.array([[m >> t & 1 for t in range(ntax)] for m in masks], float).reshape(len(masks), ntax)
+    d = on.T @ (1 - on)
+    c = neighbor_net_cycle(d + d.T)
+    k = c.index(0)
+    return [t + 1 for t in c[k:] + c[:k]]
+
+
 # ---------------------------------------------------------------- trees from distances: (parent, child, length), leaves 0..n-1
 
 
@@ -377,137 +385,184 @@ def min_spanning_network(d: np.ndarray, epsilon: float = 0.0) -> list[tuple[int,
 
 
 def neighbor_net_cycle(d: np.ndarray) -> list[int]:
-    """Circular order by agglomeration of components of one or two nodes (0-based)."""
+    """Circular order by agglomeration of components of one or two nodes (0-based), in O(n^3) with vectorised steps.
+
+    A component is its two end nodes (the same one twice while it is single). Distances of end nodes are kept in ``m``, means
+    between components in ``a``; a step picks the components, then the ends to be joined, and replaces three or four nodes in a
+    row by two (reductions with the published weights 2/3, 1/3 and 1/2, 1/3, 1/6).
+    """
     n = len(d)
     if n <= 3:
         return list(range(n))
     m = d.astype(float).copy()
-    comps = [(i,) for i in range(n)]
-    links: dict[int, list[int]] = {i: [] for i in range(n)}
-
-    def link(a, b):
-        links[a].append(b)
-        links[b].append(a)
-
-    def avg(p, q):
-        return m[np.ix_(p, q)].mean()
-
-    while len(comps) > 1:
-        k = len(comps)
-        a = np.array([[0.0 if x == y else avg(p, q) for y, q in enumerate(comps)] for x, p in enumerate(comps)])
-        if k == 2:
-            i, j = 0, 1
-        else:
+    ends = np.stack([np.arange(n), np.arange(n)], 1)
+    a = m.copy()
+    neighbours: list[list[int]] = [[] for _ in range(n)]
+
+    def means(x):
+        """Means of the node's distances to the components."""
+        return (m[x, ends[:, 0]] + m[x, ends[:, 1]]) / 2
+
+    while len(ends) > 1:
+        k = len(ends)
+        i, j = 0, 1
+        if k > 2:
             r = a.sum(1)
             q = (k - 2) * a - r[:, None] - r[None, :]
             q[np.tril_indices(k)] = np.inf
             i, j = divmod(int(np.argmin(q)), k)
-        p, q = comps[i], comps[j]
-        if len(p) > len(q):
-            p, q = q, p
-        others = [c for x, c in enumerate(comps) if x not in (i, j)]
-
-        def out(x, *also):
-            return sum(avg((x,), c) for c in others) + sum(m[x, y] for y in also)
-
-        rest = [x for c in others for x in c]
-        if len(p) == 1 and len(q) == 1:
-            link(p[0], q[0])
-            new = (p[0], q[0])
-        elif len(p) == 1:
-            x = p[0]
-            mm = len(others) + 3
-            y = min(q, key=lambda t: ((mm - 2) * m[t, x] - out(t, x, *(s for s in q if s != t)) - out(x, *q), q.index(t)))
-            z = q[1] if y == q[0] else q[0]
-            link(x, y)
-            dxz = (m[x, z] + m[y, z] + m[x, y]) / 3
-            for s in rest:
-                m[x, s] = m[s, x] = (2 * m[x, s] + m[y, s]) / 3
-                m[z, s] = m[s, z] = (2 * m[z, s] + m[y, s]) / 3
-            m[x, z] = m[z, x] = dxz
-            new = (x, z)
+        p, q = sorted((list(dict.fromkeys(ends[c].tolist())) for c in (i, j)), key=len)
+        rest = np.ones(k, bool)
+        rest[[i, j]] = False
+        nodes = p + q
+        if len(nodes) == 2:
+            x, y = nodes
+            new = (x, y)
         else:
-            mm = len(others) + 4
-            opts = [(s, t) for t in q for s in p]
-            x, y = min(opts, key=lambda o: ((mm - 2) * m[o] - out(o[0], *(t for t in (*p, *q) if t != o[0])) - out(o[1], *(t for t in (*p, *q) if t != o[1])), opts.index(o)))
-            u, z = (p[1] if x == p[0] else p[0]), (q[1] if y == q[0] else q[0])
-            link(x, y)
-            duz = (m[x, y] + m[x, u] + m[x, z] + m[y, u] + m[y, z] + m[u, z]) / 6
-            for s in rest:
-                us, zs = m[u, s] / 2 + m[x, s] / 3 + m[y, s] / 6, m[z, s] / 2 + m[y, s] / 3 + m[x, s] / 6
-                m[u, s] = m[s, u] = us
-                m[z, s] = m[s, z] = zs
-            m[u, z] = m[z, u] = duz
-            new = (u, z)
-        comps = [c for x, c in enumerate(comps) if x not in (i, j)] + [new]
-    ends = [x for x in links if len(links[x]) == 1]
-    if len(ends) == 2:
-        link(*ends)
-    cycle, last = [0], None
+            far = {v: means(v)[rest].sum() + sum(m[v, u] for u in nodes if u != v) for v in nodes}
+            outer = k - 2 + len(nodes)
+            x, y = min(((u, v) for v in q for u in p), key=lambda o: (outer - 2) * m[o] - far[o[0]] - far[o[1]])
+            z = next(v for v in q if v != y)
+            others = np.unique(ends[rest])
+            if len(p) == 1:
+                inner = (m[x, z] + m[y, z] + m[x, y]) / 3
+                xs, zs = (2 * m[x, others] + m[y, others]) / 3, (2 * m[z, others] + m[y, others]) / 3
+                new = (x, z)
+            else:
+                u = next(v for v in p if v != x)
+                inner = (m[x, y] + m[x, u] + m[x, z] + m[y, u] + m[y, z] + m[u, z]) / 6
+                xs, zs = m[u, others] / 2 + m[x, others] / 3 + m[y, others] / 6, m[z, others] / 2 + m[y, others] / 3 + m[x, others] / 6
+                new = (u, z)
+            for v, row in zip(new, (xs, zs)):
+                m[v, others] = m[others, v] = row
+            m[new[0], new[1]] = m[new[1], new[0]] = inner
+        neighbours[x].append(y)
+        neighbours[y].append(x)
+        ends = np.concatenate([ends[rest], [new]])
+        a = a[np.ix_(rest, rest)]
+        row = (means(new[0]) + means(new[1]))[:-1] / 2
+        a = np.block([[a, row[:, None]], [row[None, :], np.zeros((1, 1))]])
+    loose = [v for v in range(n) if len(neighbours[v]) == 1]
+    if len(loose) == 2:
+        neighbours[loose[0]].append(loose[1])
+        neighbours[loose[1]].append(loose[0])
+    cycle, seen = [0], {0}
     while len(cycle) < n:
-        x = cycle[-1]
-        nxt = next(y for y in sorted(links[x]) if y != last and y not in cycle)
-        last = x
+        nxt = next(v for v in sorted(neighbours[cycle[-1]]) if v not in seen)
         cycle.append(nxt)
+        seen.add(nxt)
     return cycle
 
 
-def circular_design(n: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Rows: pairs of positions i<j; columns: splits {i..j-1 after position i} of a cycle, as intervals (i, j], 1 <= i <= j < n."""
-    splits = [(i, j) for i in range(1, n) for j in range(i, n)]
-    pairs = [(i, j) for i in range(n) for j in range(i + 1, n)]
-    s = np.array(splits)
-    p = np.array(pairs)
-    inside = lambda x: (s[None, :, 0] <= x[:, None]) & (x[:, None] <= s[None, :, 1])
-    return (inside(p[:, 0]) != inside(p[:, 1])).astype(float), splits
-
-
-def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Non-negative least squares by the active set method of Lawson and Hanson on the normal equations."""
-    ata, atb = a.T @ a, a.T @ b
-    x = np.linalg.lstsq(a, b, rcond=None)[0]
-    if (x >= -1e-12).all():
-        return np.maximum(x, 0)
-    n = a.shape[1]
-    passive, x = np.zeros(n, bool), np.zeros(n)
-    tol = 1e-10 * max(1.0, np.abs(atb).max())
-    for _ in range(5 * n + 50):
-        w = atb - ata @ x
-        if passive.all() or w[~passive].max() <= tol:
-            break
-        passive[np.argmax(np.where(passive, -np.inf, w))] = True
+class CircularSplits:
+    """All splits of a cycle of n positions, as pairs of cuts p < q (a side holds positions p..q-1, never position 0).
+
+    A split separates two positions if one cut lies between them. So distances from weights, and sums over pairs from values,
+    are row sums less block sums of a symmetric matrix: O(n^2) by cumulative sums, without a design matrix.
+    """
+
+    def __init__(self, n: int):
+        self.n = n
+        self.low, self.high = np.triu_indices(n + 1, 1)
+        keep = self.low > 0
+        self.low, self.high = self.low[keep], self.high[keep]
+        self.size = self.high - self.low
+
+    @staticmethod
+    def _crossing(x: np.ndarray) -> np.ndarray:
+        """For all a <= b: sum of x[i, j] over i in a+1..b and j outside (1-based rows of a symmetric matrix)."""
+        c = np.zeros((len(x) + 1, len(x) + 1))
+        c[1:, 1:] = x.cumsum(0).cumsum(1)
+        r = c[:, -1]
+        diag = np.diagonal(c)
+        return (r[None, :] - r[:, None]) - (diag[None, :] - c - c.T + diag[:, None])
+
+    def distances(self, w: np.ndarray) -> np.ndarray:
+        """Distances between positions (n x n) from the weights of the splits."""
+        x = np.zeros((self.n, self.n))
+        x[self.low - 1, self.high - 1] = w
+        x += x.T
+        y = self._crossing(x)[: self.n, : self.n]
+        y = np.triu(y, 1)
+        return y + y.T
+
+    def sums(self, y: np.ndarray) -> np.ndarray:
+        """For each split the sum of y over the pairs it separates."""
+        return self._crossing(y)[self.low, self.high]
+
+    def gram(self, i: np.ndarray) -> np.ndarray:
+        """Numbers of pairs that two of the splits both separate."""
+        p, q = self.low[i], self.high[i]
+        k = (q - p).astype(float)
+        both = np.maximum(np.minimum(q[:, None], q[None, :]) - np.maximum(p[:, None], p[None, :]), 0).astype(float)
+        only, other = k[:, None] - both, k[None, :] - both
+        return both * (self.n - both - only - other) + only * other
+
+
+def circular_weights(d: np.ndarray, tolerance: float = 1e-7) -> tuple[CircularSplits, np.ndarray]:
+    """Non-negative least-squares weights of the splits of the cycle 0..n-1 for the distances, to the optimality conditions.
+
+    Active set: splits with the steepest gradients enter in blocks, the normal equations of those inside are solved with
+    their closed-form Gram matrix, and negative ones leave (all at once if that still improves the fit, else up to the first
+    bound, as Lawson and Hanson do). Ends when no split outside has a gradient above the tolerance.
+    """
+    n = len(d)
+    s = CircularSplits(n)
+    b = s.sums(d)
+    scale = np.sqrt(s.size * (n - s.size).astype(float))
+    bar = tolerance * max(float(np.abs(b / scale).max(initial=0)), 1e-300)
+    x = np.zeros(len(b))
+    inside = (s.size == 1) | (s.size == n - 1)
+    entered, reached = n, np.inf
+    while True:
         while True:
-            idx = np.flatnonzero(passive)
-            z = np.zeros(n)
-            z[idx] = np.linalg.lstsq(ata[np.ix_(idx, idx)], atb[idx], rcond=None)[0]
-            neg = idx[z[idx] <= 0]
-            if not len(neg):
-                x = z
+            i = np.flatnonzero(inside)
+            g, bi, now = s.gram(i), b[i], x[i]
+            value = lambda z: 0.5 * z @ (g @ z) - bi @ z  # noqa: B023, E731
+            z = np.linalg.solve(g, bi)
+            down = z < 0
+            if not down.any():
+                x[i] = z
                 break
-            step = np.min(x[neg] / np.maximum(x[neg] - z[neg], 1e-300))
-            x = x + step * (z - x)
-            passive[idx[x[idx] <= 1e-14]] = False
-            x[~passive] = 0
-    return np.maximum(x, 0)
+            bent = np.maximum(z, 0)
+            if value(bent) < (before := value(now)) - 1e-13 * abs(before):
+                x[i] = bent
+                inside = x > 0
+            else:
+                step = np.min(now[down] / (now[down] - z[down]))
+                x[i] = np.maximum(now + step * (z - now), 0)
+                blocked = i[down & (now <= step * (now - z) * (1 + 1e-12))]
+                x[blocked] = 0
+                inside[blocked] = False
+        got = 0.5 * x[i] @ (g @ x[i]) - bi @ x[i]
+        if got >= reached - 1e-14 * abs(got):
+            if entered == 1:
+                return s, x
+            entered = max(1, entered // 4)
+        reached = min(got, reached)
+        gradient = (b - s.sums(s.distances(x))) / scale
+        gradient[inside] = -np.inf
+        worst = np.argsort(-gradient)[:entered]
+        worst = worst[gradient[worst] > bar]
+        if not len(worst):
+            return s, x
+        inside[worst] = True
 
 
 def neighbor_net(d: np.ndarray, least: float = 1e-4) -> tuple[list[int], list[tuple[int, float]]]:
     """Cycle (1-based) and splits ``(mask without taxon 1, weight)``: those above ``least`` and all trivial ones."""
     n = len(d)
     cycle = neighbor_net_cycle(d)
-    at = cycle.index(0)
-    cycle = cycle[at:] + cycle[:at]
     if n < 2:
         return [c + 1 for c in cycle], []
-    a, splits = circular_design(n)
-    b = np.array([d[cycle[i], cycle[j]] for i in range(n) for j in range(i + 1, n)])
-    x = nnls(a, b)
-    out = []
-    for (i, j), w in zip(splits, x):
-        k = j - i + 1
-        if w > least or k in (1, n - 1):
-            out.append((sum(1 << cycle[t] for t in range(i, j + 1)), float(w)))
-    return [c + 1 for c in cycle], out
+    at = cycle.index(0)
+    cycle = cycle[at:] + cycle[:at]
+    s, x = circular_weights(d[np.ix_(cycle, cycle)].astype(float))
+    upto = [0]
+    for t in cycle:
+        upto.append(upto[-1] | 1 << t)
+    keep = np.flatnonzero((x > least) | (s.size == 1) | (s.size == n - 1))
+    return [c + 1 for c in cycle], [(upto[s.high[k]] ^ upto[s.low[k]], float(x[k])) for k in keep]
 
 
 def pcoa(d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -372,33 +372,38 @@ def median_joining(rows: dict[int, str], weights: list[float], epsilon: float =
         nxt -= len(new)
 
 
-def parsimony_splits(rows: list[str], gap: str = "-") -> list[tuple[int, int]]:
-    """Splits with a positive parsimony score, added taxon by taxon; the score of a split is the least over its quartets."""
+def parsimony_splits(rows: list[str], gap: str = "-", missing: str = "?") -> list[tuple[int, int]]:
+    """Splits with a positive parsimony score, added taxon by taxon; the score of a split is the least over its quartets.
+
+    A quartet's score is the number of sites that show its split less the larger number of sites that show one of the two
+    others. Sites with a gap, a missing character or an ambiguity code in the quartet are not counted.
+    """
+    unread = set((gap + missing + "rywskmbdhvn").lower()) if _nucleotides(rows) else set((gap + missing).lower())
+    codes = np.array([[0 if c in unread else ord(c) for c in r.lower()] for r in rows], np.int64).reshape(len(rows), -1)
+    same = np.array([[(codes[i] == codes[j]) & (codes[i] > 0) for j in range(len(rows))] for i in range(len(rows))])
+    known = codes > 0
+    scores: dict[tuple[int, int, int, int], int] = {}
 
     def score(i, j, k, m):
-        own = worst = 0
-        for a, b, c, d in zip(rows[i], rows[j], rows[k], rows[m]):
-            if gap in (a, b, c, d):
-                continue
-            own += a == b and c == d and a != c
-            worst_1 = a == c and b == d and a != b
-            worst_2 = a == d and b == c and a != b
-            worst += (worst_1 << 20) + worst_2
-        return own - max(worst >> 20, worst & ((1 << 20) - 1))
+        key = (i, j, k, m)
+        if key not in scores:
+            seen = known[i] & known[j] & known[k] & known[m]
+            own = int((same[i, j] & same[k, m] & ~same[i, k] & seen).sum())
+            first = int((same[i, k] & same[j, m] & ~same[i, j] & seen).sum())
+            second = int((same[i, m] & same[j, k] & ~same[i, j] & seen).sum())
+            scores[key] = own - max(first, second)
+        return scores[key]
 
     def weight(a, b):
         best = None
-        for i in a:
-            for j in a:
-                if j < i:
-                    continue
-                for k in b:
-                    for m in b:
-                        if m >= k:
-                            s = score(i, j, k, m)
-                            best = s if best is None else min(best, s)
-                            if best <= 0:
-                                return 0
+        for x, i in enumerate(a):
+            for j in a[x:]:
+                for y, k in enumerate(b):
+                    for m in b[y:]:
+                        s = score(i, j, k, m)
+                        best = s if best is None else min(best, s)
+                        if best <= 0:
+                            return 0
         return best or 0
 
     splits: list[tuple[int, int]] = []
@@ -412,6 +417,117 @@ def parsimony_splits(rows: list[str], gap: str = "-") -> list[tuple[int, int]]:
     return splits
 
 
+def _nucleotides(rows: list[str]) -> bool:
+    """Whether most letters are bases, so that other letters are ambiguity codes."""
+    letters = [c for r in rows for c in r.lower() if c.isalpha()]
+    return bool(letters) and sum(c in "acgtu" for c in letters) > 0.5 * len(letters)
+
+
+def simplify(edges: list[Edge], keep: set[int]) -> list[Edge]:
+    """Without loops, parallel edges (the lightest stays) and ends outside ``keep``; chains of such nodes of degree 2 become one edge."""
+    nb: dict[int, dict[int, float]] = {}
+    for a, b, w in edges:
+        nb.setdefault(a, {})
+        nb.setdefault(b, {})
+        if a != b:
+            nb[a][b] = nb[b][a] = min(w, nb[a].get(b, w))
+    todo = sorted(nb)
+    while todo:
+        v = todo.pop()
+        if v in keep or v not in nb or len(nb[v]) > 2:
+            continue
+        near = sorted(nb.pop(v).items())
+        for u, _ in near:
+            del nb[u][v]
+        if len(near) == 2:
+            (a, x), (b, y) = near
+            nb[a][b] = nb[b][a] = min(x + y, nb[a].get(b, x + y))
+        todo += [u for u, _ in near]
+    return [(a, b, w) for a in sorted(nb) for b, w in sorted(nb[a].items()) if a < b]
+
+
+def leaf_order(edges: list[Edge], leaves: dict[int, int], by: str) -> list[int]:
+    """Leaves in the order met when children are taken in the wanted order."""
+    down = children(edges)
+    size, tip, height = {}, {}, {}
+    weight = {(p, c): w for p, c, w in edges}
+    for v in reversed(topological(edges)):
+        c = down[v]
+        size[v] = sum(size[x] for x in c) if c else 1
+        tip[v] = min((tip[x] for x in c), default=leaves.get(v, 0))
+        height[v] = max((height[x] + weight[v, x] for x in c), default=0.0)
+    keys = {
+        "taxon": lambda v: (tip[v],), "size": lambda v: (size[v], tip[v]), "size_down": lambda v: (-size[v], tip[v]),
+        "height": lambda v: (height[v], tip[v]), "height_down": lambda v: (-height[v], tip[v]), "alternate": lambda v: (size[v], tip[v]),
+    }
+    out, stack = [], [(root_of(edges), 0)]
+    while stack:
+        v, depth = stack.pop()
+        c = list(dict.fromkeys(down[v]))
+        if by in keys:
+            c.sort(key=keys[by])
+        if by == "reverse" or by == "alternate" and depth % 2:
+            c.reverse()
+        if not c and v in leaves:
+            out.append(v)
+        stack += [(x, depth + 1) for x in reversed(c)]
+    return list(dict.fromkeys(out))
+
+
+def species(edges: list[Edge], leaves: dict[int, int], value: dict[int, str]) -> dict[str, list[list[int]]]:
+    """``tight``, ``loose`` and ``lacy`` species of a tree: lists of taxa, for the taxa with a value."""
+    down, up = children(edges), parents(edges)
+    taxa, values = {}, {}
+    for v in reversed(topological(edges)):
+        own = {leaves[v]} if v in leaves and leaves[v] in value else set()
+        taxa[v] = own.union(*(taxa[c] for c in down[v]))
+        values[v] = {value[t] for t in taxa[v]}
+    members: dict[str, set[int]] = {}
+    for t, x in value.items():
+        members.setdefault(x, set()).add(t)
+    top = lambda ok: sorted(sorted(taxa[v]) for v in taxa if taxa[v] and ok(v) and not any(ok(p) for p in up[v]))
+    tight = top(lambda v: len(values[v]) == 1)
+    closed = {v for v in taxa if taxa[v] and all(members[x] & set(value) <= taxa[v] for x in values[v])}
+    least = [v for v in closed if not any(c in closed for c in _under(down, v))]
+    loose = sorted(sorted(taxa[v]) for v in least)
+    rest = set(value) - {t for s in loose for t in s}
+    loose += [[t] for t in sorted(rest)]
+    lacy: list[set[int]] = []
+    for s in map(set, tight):
+        near = [x for x in lacy if {value[t] for t in x} & {value[t] for t in s}]
+        lacy = [x for x in lacy if x not in near] + [s.union(*near)]
+    return {"tight": tight, "loose": loose, "lacy": sorted(sorted(x) for x in lacy)}
+
+
+def _under(down: dict[int, list[int]], v: int) -> set[int]:
+    out, stack = set(), list(down[v])
+    while stack:
+        x = stack.pop()
+        if x not in out:
+            out.add(x)
+            stack += down[x]
+    return out
+
+
+def cluster_network(clusters: list[tuple[int, float]], ntax: int) -> tuple[list[Edge], dict[int, int]]:
+    """Edges and leaves of the cover graph of the clusters, all taxa and the whole; a node of several parents gets an edge of its own."""
+    full = (1 << ntax) - 1
+    weight = dict(clusters)
+    sets = sorted({m for m, _ in clusters if m} | {1 << i for i in range(ntax)} | {full}, key=lambda m: (m.bit_count(), m))
+    ids = {m: (m.bit_length() - 1 if m.bit_count() == 1 else ntax + i) for i, m in enumerate(sets)}
+    out, nxt = [], ntax + len(sets)
+    for i, m in enumerate(sets):
+        above = [x for x in sets[i + 1 :] if x & m == m]
+        covers = [x for x in above if not any(y & m == m and x & y == y and y not in (x, m) for y in above)]
+        w = float(weight.get(m, 0.0))
+        if len(covers) > 1:
+            out += [(ids[x], nxt, 0.0) for x in covers] + [(nxt, ids[m], w)]
+            nxt += 1
+        else:
+            out += [(ids[x], ids[m], w) for x in covers]
+    return out, {i: i + 1 for i in range(ntax)}
+
+
 def clusters_to_edges(clusters: list[tuple[int, float]], ntax: int) -> list[Edge]:
     """Tree of compatible clusters (bit masks) by nesting; node t - 1 is the leaf of taxon t, inner nodes follow, the root is last."""
     full = (1 << ntax) - 1

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladeworks.functions import kernels
+from cladeworks.functions.bits import WORD, bits
+from cladeworks.operators.splits import grouped, split_rows
 
 
 def symmetric(d: DataFrame) -> DataFrame:
@@ -51,22 +53,33 @@ def centred(d: DataFrame) -> DataFrame:
     return x.select("t1", "t2", (-0.5 * (F.col("x") - F.col("r") - F.col("c") + F.col("m"))).alias("b"))
 
 
-def min_spanning_network(d: DataFrame, epsilon: float = 0.0) -> DataFrame:
+def min_spanning_network(d: DataFrame, epsilon: float = 0.0, group: tuple[str, ...] = ()) -> DataFrame:
     """``t1, t2, d``: all pairs up to ``epsilon`` beyond the smallest value at which they connect all taxa."""
-    return _pairs(d, lambda m: kernels.min_spanning_network(m, epsilon))
+    return _pairs(d, lambda m: kernels.min_spanning_network(m, epsilon), group)
 
 
-def min_spanning_tree(d: DataFrame) -> DataFrame:
-    return _pairs(d, kernels.min_spanning_tree)
+def min_spanning_tree(d: DataFrame, group: tuple[str, ...] = ()) -> DataFrame:
+    """``t1, t2, d``: the edges of a minimum spanning tree."""
+    return _pairs(d, kernels.min_spanning_tree, group)
 
 
-def _pairs(d: DataFrame, kernel) -> DataFrame:
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        m, taxa = kernels.to_matrix(p.t1, p.t2, p.d)
+def min_spanning_rooted(d: DataFrame, group: tuple[str, ...] = ()) -> DataFrame:
+    """The minimum spanning tree with every taxon hung on by an edge of weight 0, rooted in the middle of its longest path."""
+
+    def run(m, t):
+        n = len(t)
+        edges = [(n + a, n + b, w) for a, b, w in kernels.min_spanning_tree(m)] + [(n + i, i, 0.0) for i in range(n)]
+        return _tree(kernels.midpoint_root(edges, list(range(n))), t)
+
+    return _apply(d, group, TREE, run)
+
+
+def _pairs(d: DataFrame, kernel, group: tuple[str, ...]) -> DataFrame:
+    def run(m, taxa):
         e = kernel(m)
-        return pd.DataFrame({"t1": [min(taxa[a], taxa[b]) for a, b, _ in e], "t2": [max(taxa[a], taxa[b]) for a, b, _ in e], "d": [w for *_, w in e]})
+        return pd.DataFrame({"t1": np.array([min(taxa[a], taxa[b]) for a, b, _ in e], np.int32), "t2": np.array([max(taxa[a], taxa[b]) for a, b, _ in e], np.int32), "d": np.array([w for *_, w in e], float)})
 
-    return d.select("t1", "t2", "d", F.lit(1).alias("g")).groupBy("g").applyInPandas(run, "t1 int, t2 int, d double")
+    return _apply(d, group, "t1 int, t2 int, d double", run)
 
 
 def _apply(d: DataFrame, group: tuple[str, ...], schema: str, run) -> DataFrame:
@@ -101,69 +114,83 @@ def neighbor_joining(d: DataFrame, group: tuple[str, ...] = (), bio: bool = Fals
     return _apply(d, group, TREE, lambda m, t: _tree(kernels.neighbor_joining(m, bio), t))
 
 
-def _split_rows(splits, taxa) -> pd.DataFrame:
+def _split_rows(splits, taxa, ntax: int = WORD) -> pd.DataFrame:
     move = lambda m: sum(1 << (t - 1) for i, t in enumerate(taxa) if m >> i & 1)
-    return pd.DataFrame({"mask": np.array([move(m) for m, _ in splits], np.int64), "weight": [float(w) for _, w in splits]})
+    return split_rows(bits(ntax), [(move(m), w) for m, w in splits])
+
 
+def splits_ddl(ntax: int) -> str:
+    return f"mask {bits(ntax).ddl}, weight double"
 
-SPLITS = "mask bigint, weight double"
 
+SPLITS = splits_ddl(WORD)
 
-def neighbor_net(d: DataFrame, group: tuple[str, ...] = (), least: float = 1e-4) -> DataFrame:
-    """Circular splits with non-negative least-squares weights."""
-    return _apply(d, group, SPLITS, lambda m, t: _split_rows(kernels.neighbor_net(m, least)[1], t))
+
+def neighbor_net(d: DataFrame, group: tuple[str, ...] = (), least: float = 1e-4, ntax: int = WORD) -> DataFrame:
+    """Circular splits with non-negative least-squares weights. ``ntax``: the largest taxon number, which decides the form of masks."""
+    return _apply(d, group, splits_ddl(ntax), lambda m, t: _split_rows(kernels.neighbor_net(m, least)[1], t, ntax))
 
 
 def neighbor_net_cycle(d: DataFrame, group: tuple[str, ...] = ()) -> DataFrame:
+    """``position, taxon``: the cycle from its first taxon on."""
+
     def run(m, t):
-        c = kernels.neighbor_net(m)[0]
-        return pd.DataFrame({"position": np.arange(1, len(c) + 1, dtype=np.int32), "taxon": np.array([t[i - 1] for i in c], np.int32)})
+        c = kernels.neighbor_net_cycle(m)
+        c = c[c.index(0) :] + c[: c.index(0)]
+        return pd.DataFrame({"position": np.arange(1, len(c) + 1, dtype=np.int32), "taxon": np.array([t[i] for i in c], np.int32)})
 
     return _apply(d, group, "position int, taxon int", run)
 
 
-def split_decomposition(d: DataFrame, group: tuple[str, ...] = (), buneman: bool = False) -> DataFrame:
-    return _apply(d, group, SPLITS, lambda m, t: _split_rows(kernels.isolation_splits(m, buneman), t))
+def split_decomposition(d: DataFrame, group: tuple[str, ...] = (), buneman: bool = False, ntax: int = WORD) -> DataFrame:
+    """Splits with positive isolation index."""
+    return _apply(d, group, splits_ddl(ntax), lambda m, t: _split_rows(kernels.isolation_splits(m, buneman), t, ntax))
+
 
+def buneman_tree(d: DataFrame, group: tuple[str, ...] = (), ntax: int = WORD) -> DataFrame:
+    """Splits with positive Buneman index."""
+    return split_decomposition(d, group, True, ntax)
 
-def buneman_tree(d: DataFrame, group: tuple[str, ...] = ()) -> DataFrame:
-    return split_decomposition(d, group, buneman=True)
+
+def tree_splits_of(d: DataFrame, method: str = "neighbor_joining", group: tuple[str, ...] = (), ntax: int = WORD) -> DataFrame:
+    """Splits of each group's tree: ``neighbor_joining``, ``bionj`` or ``upgma``."""
+    make = {"neighbor_joining": kernels.neighbor_joining, "bionj": lambda m: kernels.neighbor_joining(m, True), "upgma": kernels.upgma}[method]
+    return _apply(d, group, splits_ddl(ntax), lambda m, t: _split_rows(kernels.tree_splits(make(m), len(t)), t, ntax))
 
 
 def pcoa(d: DataFrame, group: tuple[str, ...] = (), first: int = 1, second: int = 2) -> DataFrame:
-    """``taxon, x, y, share``: two principal coordinates (times 100) and the share of variance they explain."""
+    """``taxon, x, y, share, stress``: two principal coordinates (times 100), the share of variance they explain and their stress."""
 
     def run(m, t):
         xy, val = kernels.pcoa(m)
         pick = lambda k: xy[:, k - 1] * 100 if k <= xy.shape[1] else np.zeros(len(t))
         pos = val[val > 0].sum()
         share = sum(val[k - 1] for k in (first, second) if k <= xy.shape[1]) / pos if pos > 0 else 0.0
-        return pd.DataFrame({"taxon": np.array(t, np.int32), "x": pick(first), "y": pick(second), "share": share})
+        two = np.stack([pick(first), pick(second)], 1) / 100
+        flat = np.sqrt(((two[:, None] - two[None]) ** 2).sum(-1))
+        top = (m**2).sum()
+        stress = float(np.sqrt(((m - flat) ** 2).sum() / top)) if top > 0 else 0.0
+        return pd.DataFrame({"taxon": np.array(t, np.int32), "x": pick(first), "y": pick(second), "share": share, "stress": stress})
 
-    return _apply(d, group, "taxon int, x double, y double, share double", run)
+    return _apply(d, group, "taxon int, x double, y double, share double, stress double", run)
 
 
 def path_distances(edges: DataFrame, taxa: list[int], group: tuple[str, ...] = ()) -> DataFrame:
     """``t1, t2, d``: shortest path lengths between the taxa of a network ``src, dst, weight`` whose node ids include them."""
-    import heapq
+    from cladeworks.functions.networks import shortest
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        nb: dict[int, list[tuple[int, float]]] = {}
-        for a, b, w in zip(p.src, p.dst, p.weight):
-            nb.setdefault(a, []).append((b, w))
-            nb.setdefault(b, []).append((a, w))
+        e = [(int(a), int(b), float(w)) for a, b, w in zip(p.src, p.dst, p.weight)]
         rows = []
         for s in taxa:
-            dist, heap = {}, [(0.0, s)]
-            while heap:
-                x, v = heapq.heappop(heap)
-                if v in dist:
-                    continue
-                dist[v] = x
-                for y, w in nb.get(v, []):
-                    if y not in dist:
-                        heapq.heappush(heap, (x + w, y))
+            dist = shortest(e, s)
             rows += [(s, t, dist[t]) for t in taxa if t > s and t in dist]
-        return pd.DataFrame(rows, columns=["t1", "t2", "d"])
+        return pd.DataFrame(rows, columns=["t1", "t2", "d"]).astype({"t1": "int32", "t2": "int32", "d": "float64"})
+
+    return grouped(edges.select(*group, "src", "dst", "weight"), group, "t1 int, t2 int, d double", run)
+
 
-    return edges.select("src", "dst", "weight", F.lit(1).alias("g")).groupBy("g").applyInPandas(run, "t1 int, t2 int, d double")
+def check_distances(edges: DataFrame, distances: DataFrame, taxa: list[int]) -> DataFrame:
+    """``t1, t2, d, path, difference`` of given distances against the paths of a network; a pair without a path has a null one."""
+    path = path_distances(edges, taxa).withColumnRenamed("d", "path")
+    return distances.join(path, ["t1", "t2"], "left").select("t1", "t2", "d", "path", (F.col("path") - F.col("d")).alias("difference"))

@@ -49,48 +49,52 @@ def known_parents(links: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Climb:
-    """``settled``: ``node, root, depth`` (and ``size``); ``left``: ``node, anc, low`` of the ``n_left`` nodes on and below loops.
+    """``settled``: ``node, root, depth, size`` (if asked for); ``left``: ``node, anc, low`` of the ``n_left`` nodes on and below loops.
 
     ``anc`` is the ancestor at distance ``step`` and ``low`` the smallest id from the node up to, not including, ``anc``.
     """
 
-    settled: DataFrame
+    settled: DataFrame | None
     left: DataFrame
     n_left: int
     step: int
 
 
-def climb(links: DataFrame, sizes: bool = False) -> Climb:
-    """Settles every node that reaches a root, ``links``: ``node, parent``."""
+def climb(links: DataFrame, settle: bool = True) -> Climb:
+    """Climbs from every node, ``links``: ``node, parent``. Without ``settle`` nodes that reach a root just drop out."""
     one, none = F.lit(1).cast("bigint"), F.lit(None).cast("bigint")
     done = links.filter("parent is null").select("node", F.col("node").alias("root"), F.lit(0).alias("depth"))
     now = links.filter("parent is not null").select("node", F.col("parent").alias("anc"), F.col("node").alias("low"), one.alias("held"))
-    parts, step, left = [links.select("node", one.alias("size"))], 1, -1
+    parts, step, left, n = [links.select("node", one.alias("size"))], 1, -1, 0
     while True:
-        below, n = stage_counted(now.groupBy("anc").agg(F.sum("held").alias("size")), "below")
-        if not n:
+        below, ancestors = stage_counted(now.groupBy("anc").agg(F.sum("held").alias("size")), "below")
+        if not ancestors:
+            n = 0
             break
         parts.append(below.select(F.col("anc").alias("node"), "size"))
-        state = done.select(F.col("node").alias("anc"), "root", "depth", none.alias("up"), none.alias("up_low")).unionByName(now.select(F.col("node").alias("anc"), none.alias("root"), F.lit(None).cast("int").alias("depth"), F.col("anc").alias("up"), F.col("low").alias("up_low")))
-        known = marked(state.join(marked(below.select("anc"), n), "anc"), n)
+        state = now.select(F.col("node").alias("anc"), none.alias("root"), F.lit(None).cast("int").alias("depth"), F.col("anc").alias("up"), F.col("low").alias("up_low"))
+        if settle:
+            state = state.unionByName(done.select(F.col("node").alias("anc"), "root", "depth", none.alias("up"), none.alias("up_low")))
+        known = marked(state.join(marked(below.select("anc"), ancestors), "anc"), ancestors)
         x = now.join(known, "anc").select("node", "held", "root", (F.col("depth") + step).alias("depth"), "up", F.least("low", "up_low").alias("low"))
-        if sizes:
-            more = below.select(F.col("anc").alias("node"), F.col("size").alias("more"))
-            x = x.join(marked(more, n), "node", "left").withColumn("held", F.col("held") + F.coalesce("more", F.lit(0))).drop("more")
+        if settle:
+            more = marked(below.select(F.col("anc").alias("node"), F.col("size").alias("more")), ancestors)
+            x = x.join(more, "node", "left").withColumn("held", F.col("held") + F.coalesce("more", F.lit(0))).drop("more")
         table, n = stage_counted(x, "climb")
-        done = done.unionByName(table.filter("root is not null").select("node", "root", "depth"))
+        if settle:
+            done = done.unionByName(table.filter("root is not null").select("node", "root", "depth"))
         now = table.filter("root is null").select("node", F.col("up").alias("anc"), "low", "held")
         step *= 2
-        if n == left:  # nobody was settled by the round before
+        if n == left:  # nobody was settled by the round before, or dropped out in this one
             break
         left = n
     now = now.select("node", "anc", "low")
-    if sizes:
-        size = parts[0]
-        for p in parts[1:]:
-            size = size.unionByName(p)
-        done = done.join(size.groupBy("node").agg(F.sum("size").alias("size")), "node")
-    return Climb(done, now, max(left, 0) if n else 0, step)
+    if not settle:
+        return Climb(None, now, n, step)
+    size = parts[0]
+    for p in parts[1:]:
+        size = size.unionByName(p)
+    return Climb(done.join(size.groupBy("node").agg(F.sum("size").alias("size")), "node"), now, n, step)
 
 
 def chain_heads(along: DataFrame) -> DataFrame:
@@ -121,7 +125,7 @@ def loops(climbed: Climb) -> DataFrame:
 
 def find_cycles(links: DataFrame) -> DataFrame:
     """The cycle separation of :func:`build_hierarchy`: ``cycle_id, node`` of every node on a loop. ``links``: ``node, parent``."""
-    return loops(climb(stage(known_parents(links), "links")))
+    return loops(climb(stage(known_parents(links), "links"), settle=False))
 
 
 def _sibling_offsets(light: DataFrame) -> DataFrame:
@@ -142,7 +146,7 @@ def build_hierarchy(links: DataFrame) -> DataFrame:
     first, other children by id). Nodes on or below loops are left out: see :func:`find_cycles`.
     """
     links = stage(known_parents(links), "links")
-    sized = stage(links.join(climb(links, sizes=True).settled, "node"), "sized")
+    sized = stage(links.join(climb(links).settled, "node"), "sized")
 
     best = F.max(F.struct("size", (-F.col("node")).alias("neg")))
     heavy = sized.filter("parent is not null").groupBy("parent").agg(best.alias("h")).select(F.col("parent").alias("p"), (-F.col("h.neg")).alias("heavy"), F.col("h.size").alias("heavy_size"))

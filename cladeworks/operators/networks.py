@@ -9,7 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cladeworks.functions import kernels
 from cladeworks.functions import networks as N
+from cladeworks.functions.bits import WORD, bits
+from cladeworks.operators.splits import grouped, split_rows
 
 EDGES = "net_id int, parent int, child int, weight double, taxon int"
 
@@ -49,6 +52,60 @@ def rerooted(trees: DataFrame, outgroup: set[int]) -> DataFrame:
     return _map(trees, lambda e, t: N.reroot(e, {v for v, x in t.items() if x in outgroup}))
 
 
+def midpoint_rooted(trees: DataFrame) -> DataFrame:
+    """Trees rooted in the middle of their longest path between leaves."""
+    return _map(trees, lambda e, t: kernels.midpoint_root(e, sorted(t)))
+
+
+def reordered(trees: DataFrame, by: str = "taxon") -> DataFrame:
+    """``net_id, node, position``: leaves in drawing order, the children of each node sorted ``by``: taxon (least taxon below), size
+    (few leaves first), size_down (many first), height (near ones first), height_down, stable (as given), reverse, or label ladder ``alternate``."""
+
+    def run(p):
+        e, leaves = _edges(p)
+        order = N.leaf_order(e, leaves, by)
+        return pd.DataFrame({"net_id": p.net_id.iloc[0], "node": order, "taxon": [leaves[v] for v in order], "position": range(1, len(order) + 1)})
+
+    return trees.groupBy("net_id").applyInPandas(run, "net_id int, node int, taxon int, position int")
+
+
+def loose_and_lacy(trees: DataFrame, traits: DataFrame) -> DataFrame:
+    """``net_id, kind, species, taxon``: species hypotheses of trees whose leaves have one trait value each (``taxon, trait``).
+
+    *Tight* species are the maximal clades of a single trait value. *Loose* ones are the smallest clades that hold all
+    members of every trait value they meet; a clade that splits no value. *Lacy* ones join loose ones that share a value.
+    """
+    own = traits.groupBy("taxon").agg(F.min("trait").alias("trait"))
+    src = trees.join(own, "taxon", "left").select("net_id", "parent", "child", "weight", "taxon", "trait")
+
+    def run(p):
+        e, leaves = _edges(p)
+        value = {int(t): v for t, v in zip(p.taxon, p.trait) if t == t and t is not None and isinstance(v, str)}
+        rows = [(k, i, t) for k, sets in N.species(e, leaves, value).items() for i, s in enumerate(sets, 1) for t in s]
+        return pd.DataFrame({"net_id": p.net_id.iloc[0], "kind": [r[0] for r in rows], "species": [r[1] for r in rows], "taxon": [r[2] for r in rows]})
+
+    return src.groupBy("net_id").applyInPandas(run, "net_id int, kind string, species int, taxon int")
+
+
+def displayed(nets: DataFrame, trees: DataFrame) -> DataFrame:
+    """``net_id, tree_id, displayed``: whether each network contains each tree (``net_id`` of ``trees``) on the same taxa."""
+    t = trees.groupBy("net_id").agg(F.collect_list(F.struct("parent", "child", "weight", "taxon")).alias("tree")).withColumnRenamed("net_id", "tree_id")
+    n = nets.groupBy("net_id").agg(F.collect_list(F.struct("parent", "child", "weight", "taxon")).alias("net"))
+
+    def parts(rows):
+        return [(r["parent"], r["child"], r["weight"]) for r in rows], {r["child"]: r["taxon"] for r in rows if r["taxon"] is not None}
+
+    def run(batches):
+        for p in batches:
+            out = []
+            for net, tree in zip(p.net, p.tree):
+                (a, x), (b, y) = parts(net), parts(tree)
+                out.append(N.displays(a, b, x, y))
+            yield pd.DataFrame({"net_id": p.net_id, "tree_id": p.tree_id, "displayed": out})
+
+    return n.join(t).mapInPandas(run, "net_id int, tree_id int, displayed boolean")
+
+
 def contained_trees(nets: DataFrame, distinct: bool = True) -> DataFrame:
     """``net_id, tree_no`` and the edges of every tree that a network contains."""
 
@@ -77,66 +134,141 @@ def class_filter(nets: DataFrame, wanted: str) -> DataFrame:
     return nets.join(ok.select("net_id"), "net_id", "left_semi")
 
 
-def stretch_filter(edges: DataFrame, taxa: list[int], percent: float = 0.0) -> DataFrame:
+def stretch_filter(edges: DataFrame, taxa: list[int], percent: float = 0.0, group: tuple[str, ...] = ()) -> DataFrame:
     """``src, dst, weight`` of a network without the edges that no shortest path between taxa needs within the stretch."""
+    return _plain(edges, group, lambda e: N.stretch_filter(e, taxa, percent))
+
 
+def simplify(edges: DataFrame, taxa: list[int], group: tuple[str, ...] = ()) -> DataFrame:
+    """``src, dst, weight`` of a network without unlabelled ends, and with chains through unlabelled nodes of degree 2 as one edge."""
+    return _plain(edges, group, lambda e: N.simplify(e, set(taxa)))
+
+
+def _plain(edges: DataFrame, group: tuple[str, ...], f) -> DataFrame:
     def run(p):
-        kept = N.stretch_filter([(int(a), int(b), float(w)) for a, b, w in zip(p.src, p.dst, p.weight)], taxa, percent)
-        return pd.DataFrame(kept, columns=["src", "dst", "weight"])
+        kept = f([(int(a), int(b), float(w)) for a, b, w in zip(p.src, p.dst, p.weight)])
+        return pd.DataFrame(kept, columns=["src", "dst", "weight"]).astype({"src": "int32", "dst": "int32", "weight": "float64"})
 
-    return edges.select("src", "dst", "weight", F.lit(1).alias("g")).groupBy("g").applyInPandas(run, "src int, dst int, weight double")
+    return grouped(edges.select(*group, "src", "dst", "weight"), group, "src int, dst int, weight double", run)
 
 
-def super_network(partial: DataFrame, ntax: int) -> DataFrame:
+def super_network(partial: DataFrame, ntax: int, group: tuple[str, ...] = ()) -> DataFrame:
     """``mask, weight``: full splits by Z-closure from partial ones ``tree_id, a, b`` (masks of both sides); weight is the number of trees that show a part."""
+    x = bits(ntax)
 
     def run(p):
-        parts = list(zip(p.a.tolist(), p.b.tolist()))
+        a_, b_ = [x.to_int(v) for v in p.a], [x.to_int(v) for v in p.b]
         full = (1 << ntax) - 1
         out = {}
-        for a, b in N.z_closure(parts, ntax):
+        for a, b in N.z_closure(list(zip(a_, b_)), ntax):
             m = full ^ a if a & 1 else a
-            seen = {t for t, x, y in zip(p.tree_id, p.a, p.b) if (x & ~a == 0 and y & ~b == 0) or (x & ~b == 0 and y & ~a == 0)}
+            seen = {t for t, u, v in zip(p.tree_id, a_, b_) if (u & ~a == 0 and v & ~b == 0) or (u & ~b == 0 and v & ~a == 0)}
             out[m] = float(len(seen))
-        return pd.DataFrame({"mask": list(out), "weight": list(out.values())}).astype({"mask": "int64", "weight": "float64"})
+        return split_rows(x, out.items())
 
-    return partial.select("tree_id", "a", "b", F.lit(1).alias("g")).groupBy("g").applyInPandas(run, "mask bigint, weight double")
+    return grouped(partial.select(*group, "tree_id", "a", "b"), group, f"mask {x.ddl}, weight double", run)
 
 
-def cluster_tree(clusters: DataFrame, ntax: int) -> DataFrame:
+def filtered_super_network(partial: DataFrame, ntax: int, min_trees: int = 1, max_distortion: int = 1, group: tuple[str, ...] = ()) -> DataFrame:
+    """:func:`super_network`, kept where the split's summed distortion is at most ``max_distortion`` and ``min_trees`` trees show it whole.
+
+    A tree's distortion of a split is the least number of taxa to be moved for the restricted split to be one of the tree's.
+    """
+    x = bits(ntax)
+
+    def run(p):
+        trees: dict[int, list[tuple[int, int]]] = {}
+        for t, a, b in zip(p.tree_id, p.a, p.b):
+            trees.setdefault(int(t), []).append((x.to_int(a), x.to_int(b)))
+        parts = [s for t in trees.values() for s in t]
+        full, out = (1 << ntax) - 1, {}
+        for a, b in N.z_closure(parts, ntax):
+            cost, whole = 0, 0
+            for own in trees.values():
+                taxa = 0
+                for u, v in own:
+                    taxa |= u | v
+                side, rest = a & taxa, b & taxa
+                least = min(side.bit_count(), rest.bit_count(), *(min((side & v).bit_count() + (rest & u).bit_count(), (side & u).bit_count() + (rest & v).bit_count()) for u, v in own))
+                cost += least
+                whole += least == 0
+            if cost <= max_distortion * len(trees) and whole >= min_trees:
+                out[full ^ a if a & 1 else a] = float(whole)
+        return split_rows(x, out.items())
+
+    return grouped(partial.select(*group, "tree_id", "a", "b"), group, f"mask {x.ddl}, weight double", run)
+
+
+def cluster_tree(clusters: DataFrame, ntax: int, group: tuple[str, ...] = ()) -> DataFrame:
     """Edges of the tree of compatible clusters ``mask, weight``: consensus trees are this after the consensus."""
+    b = bits(ntax)
 
     def run(p):
-        e = N.clusters_to_edges(list(zip(p["mask"].tolist(), p.weight.tolist())), ntax)
+        e = N.clusters_to_edges([(b.to_int(m), w) for m, w in zip(p["mask"], p.weight)], ntax)
         return _rows(1, e, {i: i + 1 for i in range(ntax)})
 
-    return clusters.select("mask", "weight", F.lit(1).alias("g")).groupBy("g").applyInPandas(run, EDGES)
+    return grouped(clusters.select(*group, "mask", "weight"), group, EDGES, run)
+
 
+def tree_clusters(trees: DataFrame, ntax: int) -> DataFrame:
+    """``tree_id, mask, weight``: the taxa below each edge of trees ``net_id, parent, child, weight, taxon`` (of a network: each node's, by its first edge)."""
+    b = bits(ntax)
 
-def median_joining(rows: DataFrame, epsilon: float = 0.0) -> DataFrame:
+    def run(p):
+        e, leaves = _edges(p)
+        below, best = N.below(e, leaves), {}
+        for _, c, w in e:
+            best.setdefault(below[c], w)
+        out = split_rows(b, [(m, w) for m, w in best.items() if m])
+        out.insert(0, "tree_id", p.net_id.iloc[0])
+        return out
+
+    return trees.groupBy("net_id").applyInPandas(run, f"tree_id int, mask {b.ddl}, weight double")
+
+
+def cluster_network(clusters: DataFrame, ntax: int, group: tuple[str, ...] = ()) -> DataFrame:
+    """The rooted network of any clusters: their cover graph, with a node of its own above each leaf of several parents."""
+    b = bits(ntax)
+
+    def run(p):
+        e, leaves = N.cluster_network([(b.to_int(m), w) for m, w in zip(p["mask"], p.weight)], ntax)
+        return _rows(1, e, leaves)
+
+    return grouped(clusters.select(*group, "mask", "weight"), group, EDGES, run)
+
+
+def median_joining(rows: DataFrame, epsilon: float = 0.0, group: tuple[str, ...] = ()) -> DataFrame:
     """``src, dst, weight`` of the median-joining network of sequences ``taxon, seq``; equal sequences are one node, medians are negative.
 
     Medians are added until no candidate is left, without a limit on their number; one task holds the matrix of all distances.
     """
-    one = rows.groupBy("seq").agg(F.min("taxon").alias("taxon"))
+    one = rows.groupBy(*group, "seq").agg(F.min("taxon").alias("taxon"))
 
     def run(p):
         n = len(p.seq.iloc[0])
         _, e = N.median_joining(dict(zip(p.taxon.tolist(), p.seq.tolist())), [1.0] * n, epsilon)
-        return pd.DataFrame(e, columns=["src", "dst", "weight"])
+        return pd.DataFrame(e, columns=["src", "dst", "weight"]).astype({"src": "int32", "dst": "int32", "weight": "float64"})
 
-    return one.withColumn("g", F.lit(1)).groupBy("g").applyInPandas(run, "src int, dst int, weight double")
+    return grouped(one, group, "src int, dst int, weight double", run)
 
 
-def parsimony_splits(rows: DataFrame, gap: str = "-") -> DataFrame:
-    """``mask, weight`` of the parsimony splits of sequences ``taxon, seq`` (taxa numbered from 1 without gaps)."""
+def parsimony_splits(rows: DataFrame, gap: str = "-", missing: str = "?", gaps_missing: bool = True, ntax: int = WORD, trivial: bool = False, group: tuple[str, ...] = ()) -> DataFrame:
+    """``mask, weight`` of the parsimony splits of sequences ``taxon, seq`` (taxa numbered from 1 without gaps).
+
+    Missing characters and ambiguity codes are not compared, nor are gaps unless ``gaps_missing`` is off. ``trivial`` adds
+    the missing trivial splits with weight 0.
+    """
+    b = bits(ntax)
 
     def run(p):
         p = p.sort_values("taxon")
-        s = N.parsimony_splits(p.seq.tolist(), gap)
-        return pd.DataFrame({"mask": [m for m, _ in s], "weight": [float(w) for _, w in s]}).astype({"mask": "int64", "weight": "float64"})
+        s = N.parsimony_splits(p.seq.tolist(), gap if gaps_missing else "", missing)
+        if trivial:
+            full, have = (1 << len(p)) - 1, {m for m, _ in s}
+            s += [(m, 0) for i in range(len(p)) if (m := 1 << i if i else full ^ 1) not in have]
+        return split_rows(b, s)
 
-    return rows.select("taxon", "seq", F.lit(1).alias("g")).groupBy("g").applyInPandas(run, "mask bigint, weight double")
+    return grouped(rows.select(*group, "taxon", "seq"), group, f"mask {b.ddl}, weight double", run)
 
 
 def layouts(trees: DataFrame, kind: str = "rectangular", by_weight: bool = True) -> DataFrame:
@@ -157,8 +289,8 @@ def equal_angle(splits: DataFrame, cycle: list[int]) -> DataFrame:
 
     n = len(cycle)
     ids = F.array(*map(F.lit, cycle))
-    place = F.array(*(F.lit(1 << (t - 1)).cast("bigint") for t in cycle))
-    at = F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.col("mask").bitwiseAND(place[i]) != 0)
+    b = bits(n)
+    at = F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: b.has(F.col("mask"), ids[i]))
     x = splits.select("mask", "weight", at.alias("at")).withColumn("angle", F.lit(math.pi) * (F.array_min("at") + F.array_max("at") + 1) / n)
     x = x.select("weight", "angle", F.explode("at").alias("i")).select(ids[F.col("i")].alias("taxon"), "weight", "angle")
     return x.groupBy("taxon").agg(F.sum(F.col("weight") * F.cos("angle")).alias("x"), F.sum(F.col("weight") * F.sin("angle")).alias("y"))

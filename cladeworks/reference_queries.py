@@ -300,7 +300,7 @@ def trees_cluster_network(spark, sf):
     return T.hasse_covers(T.consensus_clusters(B.clusters(spark, sf), 4.0)).select("parent", "child")
 
 
-@query("trees_robinson_foulds", _TR + ", s AS (SELECT tree_id, count(*) AS n FROM ts GROUP BY tree_id), c AS (SELECT p.tree_id AS t1, q.tree_id AS t2, count(*) AS c FROM ts p JOIN ts q ON p.mask = q.mask AND p.tree_id < q.tree_id GROUP BY ALL) SELECT t1, t2, CAST(a.n + b.n - 2 * c AS DOUBLE) AS d FROM c JOIN s a ON a.tree_id = t1 JOIN s b ON b.tree_id = t2")
+@query("trees_robinson_foulds", _TR + ", s AS (SELECT tree_id, count(*) AS n FROM ts GROUP BY tree_id), c AS (SELECT p.tree_id AS t1, q.tree_id AS t2, count(*) AS c FROM ts p JOIN ts q ON p.mask = q.mask AND p.tree_id < q.tree_id GROUP BY ALL) SELECT a.tree_id AS t1, b.tree_id AS t2, CAST(a.n + b.n - 2 * coalesce(c, 0) AS DOUBLE) AS d FROM s a JOIN s b ON a.tree_id < b.tree_id LEFT JOIN c ON a.tree_id = t1 AND b.tree_id = t2")
 def trees_robinson_foulds(spark, sf):
     return _out(T.robinson_foulds(B.clusters(spark, sf), NTAX))
 

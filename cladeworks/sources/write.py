@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladeworks.functions import kernels
+from cladeworks.functions.bits import bits
 
 
 def fasta(chars: DataFrame) -> DataFrame:
@@ -89,7 +90,7 @@ def nexus_distances(d: DataFrame) -> DataFrame:
 def splits_fasta(splits: DataFrame, names: list[str]) -> DataFrame:
     """Splits as 0/1 sequences, one ``value`` per taxon, sites by ascending mask."""
     on = F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))).alias("i")
-    bit = F.call_function("shiftright", F.col("mask"), F.col("i")).bitwiseAND(F.lit(1)).cast("string")
+    bit = bits(len(names)).has(F.col("mask"), F.col("i") + 1).cast("int").cast("string")
     x = splits.select("mask", on).groupBy("i").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("mask", bit.alias("b")))), lambda s: s["b"]), "").alias("seq"))
     return x.select(F.concat(F.lit(">"), F.element_at(F.array(*map(F.lit, names)), F.col("i") + 1), F.lit("\n"), "seq").alias("value"))
 
@@ -97,7 +98,7 @@ def splits_fasta(splits: DataFrame, names: list[str]) -> DataFrame:
 def nexus_splits(splits: DataFrame, names: list[str]) -> DataFrame:
     def make(p):
         rows = []
-        for k, (m, w) in enumerate(sorted(zip(p["mask"].tolist(), p.weight.tolist())), 1):
+        for k, (m, w) in enumerate(sorted(zip(map(bits(len(names)).to_int, p["mask"]), p.weight.tolist())), 1):
             side = [i + 1 for i in range(len(names)) if m >> i & 1]
             rows.append(f"[{k}, size={len(side)}]\t{w:.10g}\t{' '.join(map(str, side))},")
         return f"#NEXUS\nBEGIN TAXA;\nDIMENSIONS NTAX={len(names)};\nTAXLABELS {' '.join(map(_quoted, names))};\nEND;\nBEGIN SPLITS;\nDIMENSIONS NTAX={len(names)} NSPLITS={len(rows)};\nMATRIX\n" + "\n".join(rows) + "\n;\nEND;\n"

@@ -32,12 +32,29 @@ def test_neighbor_net_on_additive_matrix():
     assert got == SPLITS and sorted(cycle) == [1, 2, 3, 4, 5] and cycle[0] == 1
 
 
-def test_nnls_conditions():
+def test_circular_weights_meet_the_optimality_conditions():
     rnd = np.random.default_rng(0)
-    a, b = rnd.random((40, 12)), rnd.normal(size=40)
-    x = K.nnls(a, b)
-    g = a.T @ (a @ x - b)
-    assert (x >= 0).all() and (g > -1e-6).all() and abs(g[x > 1e-9]).max(initial=0) < 1e-6
+    for n in (3, 4, 9, 40):
+        d = rnd.random((n, n))
+        d = np.triu(d, 1) + np.triu(d, 1).T
+        s, x = K.circular_weights(d)
+        a = np.array([[(p <= i < q) != (p <= j < q) for p, q in zip(s.low, s.high)] for i in range(n) for j in range(i + 1, n)], float)
+        b = np.array([d[i, j] for i in range(n) for j in range(i + 1, n)])
+        assert np.allclose([s.distances(x)[i, j] for i in range(n) for j in range(i + 1, n)], a @ x) and np.allclose(s.sums(d), a.T @ b)
+        assert np.allclose(s.gram(np.arange(len(x))), a.T @ a)
+        g = a.T @ (a @ x - b)
+        assert (x >= 0).all() and g.min() > -1e-5 and abs(g[x > 0]).max(initial=0) < 1e-8
+
+
+def test_neighbor_net_of_256_taxa():
+    import time
+
+    d = np.random.default_rng(2).random((256, 256))
+    d = np.triu(d, 1) + np.triu(d, 1).T
+    began = time.time()
+    cycle, splits = K.neighbor_net(d)
+    assert time.time() - began < 20 and sorted(cycle) == list(range(1, 257))
+    assert len({m for m, _ in splits}) == len(splits) > 256 and max(m.bit_length() for m, _ in splits) > 200
 
 
 def test_isolation_indices():
@@ -78,14 +95,52 @@ def interval_orders(masks, n):
 
 def test_circular_order_against_all_orders():
     rnd = np.random.default_rng(3)
-    good = 0
-    for _ in range(300):
+    for k in range(300):
+        n = 6 + k % 2
+        masks = [int(x) << 1 for x in rnd.integers(1, 2 ** (n - 1), rnd.integers(1, 5))]
+        got = K.circular_order(masks, n)
+        assert (got is not None) == interval_orders(masks, n)
+        if got:
+            at = {t: i for i, t in enumerate(got)}
+            for m in masks:
+                p = [at[t + 1] for t in range(n) if m >> t & 1]
+                assert sorted(got) == list(range(1, n + 1)) and max(p) - min(p) + 1 == len(p)
+
+
+def test_circular_systems_are_never_rejected():
+    rnd = np.random.default_rng(5)
+    for _ in range(400):
+        n = int(rnd.integers(4, 10))
+        order = [0, *(rnd.permutation(n - 1) + 1).tolist()]
+        masks = []
+        for _ in range(int(rnd.integers(1, 9))):
+            i, j = sorted(rnd.choice(np.arange(1, n + 1), 2, replace=False).tolist())
+            masks.append(sum(1 << order[t] for t in range(i, j)))
+        masks = sorted(set(masks))
+        assert K.circular_order(masks, n) is not None
+        assert sorted(K.greedy_circular(masks, rnd.random(len(masks)).tolist(), n)) == masks
+
+
+def test_cliques_against_brute_force():
+    rnd = np.random.default_rng(6)
+    for _ in range(60):
         n = 6
-        masks = [int(x) << 1 for x in rnd.integers(1, 31, rnd.integers(1, 5))]
-        want, got = interval_orders(masks, n), K.circular_order(masks, n) is not None
-        assert not got or want
-        good += got == want
-    assert good >= 290
+        masks = sorted({int(x) << 1 for x in rnd.integers(1, 31, 7)})
+        w = dict(zip(masks, rnd.random(len(masks))))
+        ok = lambda t: all(K.compatible(a, b) for a, b in combinations(t, 2))
+        best = max((t for k in range(len(masks) + 1) for t in combinations(masks, k) if ok(t)), key=lambda t: sum(w[m] for m in t))
+        assert sorted(K.clique_compatible(masks, list(w.values()), n)) == sorted(best)
+        inside = [m for m in masks if (p := [i for i in range(n) if m >> i & 1]) and p[-1] - p[0] + 1 == len(p)]
+        best = max((t for k in range(len(inside) + 1) for t in combinations(inside, k) if ok(t)), key=lambda t: sum(w[m] for m in t))
+        assert sorted(K.clique_circular(masks, list(w.values()), n, list(range(1, n + 1)))) == sorted(best)
+
+
+def test_dimension_filter_leaves_no_clique():
+    rnd = np.random.default_rng(7)
+    for _ in range(40):
+        masks = sorted({int(x) << 1 for x in rnd.integers(1, 127, 14)})
+        left = K.dimension_filter(masks, rnd.random(len(masks)).tolist(), 8, 2)
+        assert all(not all(not K.compatible(a, b) for a, b in combinations(t, 2)) for t in combinations(left, 3))
 
 
 def test_greedy_and_dimension():
