@@ -85,11 +85,19 @@ def _mask(c: Column) -> Column:
     return F.coalesce(F.create_map(*pairs)[c], F.lit(0))
 
 
-def hamming(pairs: DataFrame, normalize: bool = False, match_ambiguity: bool = True, match_gaps: bool = False, gap: str = "-", unobserved: tuple[str, ...] = ("?", "n")) -> DataFrame:
-    """Weighted mismatches over sites where both are observed; ``normalize`` divides by the sites compared."""
+UNOBSERVED = {"nucleotide": ("?", "n"), "protein": ("?", "x"), "standard": ("?",)}
+
+
+def hamming(pairs: DataFrame, normalize: bool = False, match_ambiguity: bool = True, match_gaps: bool = False, gap: str = "-", unobserved: tuple[str, ...] | None = None, data_type: str = "nucleotide") -> DataFrame:
+    """Weighted mismatches over sites where both are observed; ``normalize`` divides by the sites compared.
+
+    Unobserved are by default the missing character and the code of the whole alphabet (``n`` of nucleotides, ``x`` of
+    proteins). Ambiguity codes are matched for nucleotides only.
+    """
     a, b = F.lower("ca"), F.lower("cb")
-    seen = ~a.isin(gap, *unobserved) & ~b.isin(gap, *unobserved)
-    same = (a == b) | ((_mask(a).bitwiseAND(_mask(b)) != 0) if match_ambiguity else F.lit(False))
+    hidden = UNOBSERVED[data_type] if unobserved is None else unobserved
+    seen = ~a.isin(gap, *hidden) & ~b.isin(gap, *hidden)
+    same = (a == b) | ((_mask(a).bitwiseAND(_mask(b)) != 0) if match_ambiguity and data_type == "nucleotide" else F.lit(False))
     gaps = (a == gap) & (b == gap) if match_gaps else F.lit(False)
     n = pairs.groupBy("t1", "t2").agg(_w(seen | gaps).alias("n"), _w(seen & ~same).alias("x"))
     d = F.col("x") / F.col("n") if normalize else F.col("x")
@@ -100,10 +108,27 @@ def p_distance(pairs: DataFrame, **options) -> DataFrame:
     return hamming(pairs, normalize=True, **options)
 
 
+def expanded(pairs: DataFrame, states: str = BASES, ignore_ambiguity: bool = False) -> DataFrame:
+    """State pairs ``t1, t2, ca, cb, w`` over plain states, lower case. Gaps and unknown characters go.
+
+    For nucleotides a code stands for each of its bases: two equal codes are spread over equal bases, two different ones
+    over all combinations. ``ignore_ambiguity`` drops them instead.
+    """
+    low = pairs.select("t1", "t2", F.lower("ca").alias("ca"), F.lower("cb").alias("cb"), "w")
+    if states != BASES:
+        return low.filter(F.col("ca").isin(*states) & F.col("cb").isin(*states))
+    codes = {k: v for k, v in CODES.items() if len(v) == 1 or not ignore_ambiguity}
+    sets = F.create_map(*(x for k, v in codes.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+    x = low.select("t1", "t2", sets[F.col("ca")].alias("a"), sets[F.col("cb")].alias("b"), "w").filter("a is not null and b is not null")
+    cell = lambda p, q, n: F.struct(p.alias("ca"), q.alias("cb"), (F.col("w") / n).alias("w"))
+    same = F.transform("a", lambda p: cell(p, p, F.size("a")))
+    all_ = F.flatten(F.transform("a", lambda p: F.transform("b", lambda q: cell(p, q, F.size("a") * F.size("b")))))
+    return x.select("t1", "t2", F.explode(F.when(F.col("a") == F.col("b"), same).otherwise(all_)).alias("c")).select("t1", "t2", "c.*")
+
+
 def _shares(pairs: DataFrame) -> DataFrame:
-    """Shares of transitions (ag, ct), transversions and bases over sites where both taxa have a plain base."""
-    a, b = F.lower("ca"), F.lower("cb")
-    plain = pairs.filter(a.isin(*BASES) & b.isin(*BASES)).select("t1", "t2", a.alias("ca"), b.alias("cb"), "w")
+    """Shares of transitions (ag, ct), transversions and bases, codes expanded."""
+    plain = expanded(pairs)
     ag = (F.col("ca") != F.col("cb")) & F.col("ca").isin(*PURINES) & F.col("cb").isin(*PURINES)
     ct = (F.col("ca") != F.col("cb")) & ~F.col("ca").isin(*PURINES) & ~F.col("cb").isin(*PURINES)
     tv = F.col("ca").isin(*PURINES) != F.col("cb").isin(*PURINES)
@@ -163,8 +188,7 @@ def log_det(pairs: DataFrame, states: str = BASES, pinv: float = 0.0) -> DataFra
 
     r = len(states)
     cells = [(_w((F.col("ca") == x) & (F.col("cb") == y)) / F.sum("w")).alias(f"f{i}{j}") for i, x in enumerate(states) for j, y in enumerate(states)]
-    low = pairs.select("t1", "t2", F.lower("ca").alias("ca"), F.lower("cb").alias("cb"), "w")
-    f = low.filter(F.col("ca").isin(*states) & F.col("cb").isin(*states)).groupBy("t1", "t2").agg(F.array(*cells).alias("f"))
+    f = expanded(pairs, states).groupBy("t1", "t2").agg(F.array(*cells).alias("f"))
 
     def run(batches):
         for p in batches:
@@ -220,9 +244,9 @@ def similarity_to_distance(sim: DataFrame, method: str, fallback: float = 1.0) -
 
 def _state_matrices(pairs: DataFrame, states: str) -> DataFrame:
     """``t1, t2, f ARRAY<DOUBLE>``: shares of the states' combinations, row by row."""
-    low = pairs.select("t1", "t2", F.lower("ca").alias("ca"), F.lower("cb").alias("cb"), "w").filter(F.col("ca").isin(*states) & F.col("cb").isin(*states))
+    low = expanded(pairs, states)
     at = lambda c: F.instr(F.lit(states), F.col(c)) - 1
-    cells = low.select("t1", "t2", (at("ca") * len(states) + at("cb")).alias("k"), "w")
+    cells = low.select("t1", "t2", (at("ca") * len(states) + at("cb")).alias("k"), "w").groupBy("t1", "t2", "k").agg(F.sum("w").alias("w"))
     m = cells.groupBy("t1", "t2").agg(F.map_from_entries(F.collect_list(F.struct("k", "w"))).alias("m"), F.sum("w").alias("n"))
     f = F.transform(F.sequence(F.lit(0), F.lit(len(states) ** 2 - 1)), lambda k: F.coalesce(F.col("m")[k], F.lit(0.0)) / F.col("n"))
     return m.select("t1", "t2", f.alias("f"))

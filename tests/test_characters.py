@@ -25,7 +25,10 @@ def test_binary_distances(spark):
 def test_hamming_and_ambiguity(spark):
     p = C.pair_counts(chars(spark, {1: "acgtn-", 2: "acgaRa"}))
     assert one(D.hamming(p)) == {(1, 2): 1.0} and one(D.p_distance(p)) == {(1, 2): 0.25}
-    assert math.isclose(one(D.jukes_cantor(p))[1, 2], 0.304099, abs_tol=1e-6)
+    assert math.isclose(one(D.jukes_cantor(p))[1, 2], 0.471457, abs_tol=1e-6)  # n against r counts as 2/8 of an equal site
+    assert math.isclose(one(D.jukes_cantor(C.pair_counts(chars(spark, {1: "acgtr-", 2: "acgaRa"}))))[1, 2], -0.75 * math.log(1 - 0.2 / 0.75), abs_tol=1e-9)
+    aa = C.pair_counts(chars(spark, {1: "NNXA", 2: "NDAA"}))
+    assert one(D.hamming(aa, data_type="protein")) == {(1, 2): 1.0} and one(D.hamming(aa)) == {(1, 2): 1.0}
     q = C.pair_counts(chars(spark, {1: "ar", 2: "ag"}))
     assert one(D.hamming(q)) == {(1, 2): 0.0} and one(D.hamming(q, match_ambiguity=False)) == {(1, 2): 1.0}
 
