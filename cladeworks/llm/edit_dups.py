@@ -9,7 +9,7 @@ with probability 1e-7 (4e-5, 5e-4). What passes the sketch filter is then checke
 
 Equal texts are one class first, so copies never meet in a node. Texts are compared whole.
 
-Scale. A level is one shuffle of rows (node, class, sketch) of 56 bytes. A node is read as a sorted stream and given up
+Scale. Minwise values are computed once and written, 512 bytes a class; each level reads them. A level is one shuffle of rows (node, class, sketch) of 56 bytes. A node is read as a sorted stream and given up
 to the next level as soon as it has more than ``LIMIT`` rows; nodes with more than 1/2000 of a level's rows (there can be
 at most 2000) are found before the shuffle by counts per task and branch without being gathered at all. Nodes still too
 large after ``DEPTH`` levels (a multitude of texts alike) are cut into blocks, each pair of blocks being a task, so none
@@ -111,8 +111,22 @@ def _picked(node: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]
     return np.nonzero(h < np.uint64(int(2.0**64 / (threshold * POSITIONS))))
 
 
-def _children(df: DataFrame, k: int, threshold: float, trees: int, giants: np.ndarray | None, want: str) -> DataFrame:
-    """``node, cid, b0..b3`` of the children's rows. ``df``: ``cid, text, node``; a null node stands for all roots.
+def signatures(texts: DataFrame, k: int) -> DataFrame:
+    """``cid, values``: the minwise values of each text (512 bytes), which all levels read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([minwise(x, k).tobytes() for x in b.column(1).to_pylist()], pa.binary())], ["cid", "values"])
+
+    return texts.select("cid", "text").mapInArrow(run, "cid bigint, values binary")
+
+
+def _vectors(b: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(b.column("values").to_pylist()), np.uint32).reshape(b.num_rows, POSITIONS)
+
+
+def _children(df: DataFrame, threshold: float, trees: int, giants: np.ndarray | None, want: str) -> DataFrame:
+    """``node, cid, b0..b3`` of the children's rows. ``df``: ``cid, values, node``; a null node stands for all roots.
 
     ``want``: ``rows`` (of nodes not in ``giants``), ``giants`` (those in it, without sketch), ``counts`` (per task).
     """
@@ -124,12 +138,7 @@ def _children(df: DataFrame, k: int, threshold: float, trees: int, giants: np.nd
         for b in batches:
             for s in range(0, b.num_rows, 1024):
                 part = b.slice(s, 1024)
-                texts = part.column(1).to_pylist()
-                known: dict[str, np.ndarray] = {}
-                for x in texts:
-                    if x not in known:
-                        known[x] = minwise(x, k)
-                values = np.array([known[x] for x in texts], np.uint32)
+                values = _vectors(part)
                 cid, root = column(part, "cid"), np.asarray(part.column(2).is_null())
                 node = part.column(2).fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)
                 all_rows = np.flatnonzero(root)
@@ -153,7 +162,7 @@ def _children(df: DataFrame, k: int, threshold: float, trees: int, giants: np.nd
             yield _counted(seen)
 
     kind = "node bigint, c bigint, total bigint" if want == "counts" else "node bigint, cid bigint, b0 bigint, b1 bigint, b2 bigint, b3 bigint"
-    return df.select("cid", "text", "node").mapInArrow(run, kind)
+    return df.select("cid", "values", "node").mapInArrow(run, kind)
 
 
 def _counted(seen: list[np.ndarray]) -> pa.RecordBatch:
@@ -162,9 +171,9 @@ def _counted(seen: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.append(v[keep], 0)), pa.array(np.append(c[keep], 0)), pa.array(np.append(np.zeros(keep.sum(), np.int64), c.sum()))], ["node", "c", "total"])
 
 
-def _giants(df: DataFrame, k: int, threshold: float, trees: int) -> np.ndarray:
+def _giants(df: DataFrame, threshold: float, trees: int) -> np.ndarray:
     """Nodes with more than 1 / GIANT of the rows: at most GIANT of them. Such a node is as frequent in at least one task."""
-    sums = _children(df, k, threshold, trees, None, "counts").groupBy("node").agg(F.sum("c").alias("c"), F.sum("total").alias("total"))
+    sums = _children(df, threshold, trees, None, "counts").groupBy("node").agg(F.sum("c").alias("c"), F.sum("total").alias("total"))
     sums = stage(sums, "counts")
     total = sums.agg(F.sum("total")).first()[0] or 0
     got = sums.filter((F.col("c") > total / GIANT) & (F.col("c") > LIMIT)).select("node").collect()
@@ -225,13 +234,13 @@ def _compare(rows: DataFrame, threshold: float) -> DataFrame:
     return rows.repartition("node").sortWithinPartitions("node").mapInArrow(run, _PAIRS)
 
 
-def _blocks(over: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
+def _blocks(over: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
     """Close pairs of rows of the same node, by pairs of blocks of its rows."""
     least = _least(threshold)
     sizes = over.groupBy("node").agg(F.count(F.lit(1)).alias("c"))
     cut = over.join(sizes, "node").withColumn("blocks", F.ceil(F.col("c") / LIMIT).cast("int"))
     cut = cut.select("node", F.col("a").alias("cid"), "blocks", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int").alias("block"))
-    words = _sketches(texts.join(over.select(F.col("a").alias("cid")).distinct(), "cid", "left_semi"), k)
+    words = _sketches(signed.join(over.select(F.col("a").alias("cid")).distinct(), "cid", "left_semi"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     tasks = cut.join(words, "cid").select("node", "cid", *BITS, "block", other)
     tasks = tasks.select("cid", *BITS, "block", F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")).alias("task"), (F.col("block") == F.col("other")).alias("same"))
@@ -256,33 +265,34 @@ def _blocks(over: DataFrame, texts: DataFrame, k: int, threshold: float) -> Data
     return tasks.repartition("task").sortWithinPartitions("task", "block").mapInArrow(run, _PAIRS)
 
 
-def _sketches(texts: DataFrame, k: int) -> DataFrame:
+def _sketches(signed: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
-            words = sketch(np.array([minwise(x, k) for x in b.column(1).to_pylist()], np.uint32).reshape(b.num_rows, POSITIONS))
+            words = sketch(_vectors(b))
             yield pa.RecordBatch.from_arrays([b.column(0)] + [pa.array(np.ascontiguousarray(words[:, i])) for i in range(4)], ["cid", *BITS])
 
-    return texts.select("cid", "text").mapInArrow(run, "cid bigint, b0 bigint, b1 bigint, b2 bigint, b3 bigint")
+    return signed.select("cid", "values").mapInArrow(run, "cid bigint, b0 bigint, b1 bigint, b2 bigint, b3 bigint")
 
 
 def candidates(texts: DataFrame, k: int, threshold: float, trees: int) -> DataFrame:
     """``a, b`` (a < b, distinct): pairs of classes that met in a small node and look similar. ``texts``: ``cid, text``."""
-    found, level, now = [], 0, texts.withColumn("node", F.lit(None).cast("bigint"))
+    signed = stage(signatures(texts, k), "minwise")
+    found, level, now = [], 0, signed.withColumn("node", F.lit(None).cast("bigint"))
     while True:
-        giants = _giants(now, k, threshold, trees)
-        met = stage(_compare(_children(now, k, threshold, trees, giants, "rows"), threshold), "met")
+        giants = _giants(now, threshold, trees)
+        met = stage(_compare(_children(now, threshold, trees, giants, "rows"), threshold), "met")
         found.append(met.filter("b is not null").select("a", "b"))
         over = met.filter("b is null").select("a", "node")
         if len(giants):
-            over = over.unionByName(_children(now, k, threshold, trees, giants, "giants").select(F.col("cid").alias("a"), "node"))
+            over = over.unionByName(_children(now, threshold, trees, giants, "giants").select(F.col("cid").alias("a"), "node"))
         level += 1
         if not len(giants) and over.isEmpty():
             break
         over = stage(over.distinct(), "over")
         if level > DEPTH:
-            found.append(_blocks(over, texts, k, threshold).select("a", "b"))
+            found.append(_blocks(over, signed, threshold).select("a", "b"))
             break
-        now = over.select(F.col("a").alias("cid"), "node").join(texts, "cid").select("cid", "text", "node")
+        now = over.select(F.col("a").alias("cid"), "node").join(signed, "cid").select("cid", "values", "node")
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
