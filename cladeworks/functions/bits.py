@@ -6,7 +6,7 @@ number of taxa, :func:`bits_in` by a column's type. Arrays are compared, grouped
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,6 +67,16 @@ class Narrow:
     def has(self, mask: Column, taxon: Column) -> Column:
         return F.call_function("shiftright", mask, (taxon - 1).cast("int")).bitwiseAND(F.lit(1)) != 0
 
+    def gather(self, taxa: list[int], inside: Callable[[Column], Column]) -> Column:
+        """The set of the places (from 1) in the list whose taxon the condition holds for."""
+        return self._gather(F.array(*map(F.lit, taxa)), 1, len(taxa), inside)
+
+    def _gather(self, taxa: Column, first: int, last: int, inside: Callable[[Column], Column]) -> Column:
+        zero = F.lit(0).cast("bigint")
+        if last < first:
+            return zero
+        return F.aggregate(F.sequence(F.lit(first), F.lit(last)), zero, lambda s, i: F.when(inside(F.element_at(taxa, i)), s.bitwiseOR(_shift(i - first))).otherwise(s))
+
     def to_value(self, m: int) -> int:
         if m >> WORD:
             raise ValueError("a BIGINT holds taxa 1 to 63: give the number of taxa")
@@ -134,6 +144,10 @@ class Wide(Narrow):
         word = F.get(mask, F.floor((taxon - 1) / WORD).cast("int"))
         return F.coalesce(F.call_function("shiftright", word, F.pmod(taxon - 1, F.lit(WORD)).cast("int")).bitwiseAND(F.lit(1)) != 0, F.lit(False))
 
+    def gather(self, taxa: list[int], inside: Callable[[Column], Column]) -> Column:
+        places = F.array(*map(F.lit, taxa))
+        return F.array(*(self._gather(places, k * WORD + 1, min((k + 1) * WORD, len(taxa)), inside) for k in range(self.words)))
+
     def to_value(self, m: int) -> list[int]:
         n = self.words if self.ntax is not None else max(1, -(-m.bit_length() // WORD))
         if m >> (n * WORD):

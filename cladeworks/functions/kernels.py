@@ -666,3 +666,42 @@ def newick(edges: list[tuple[int, int, float]], names: dict[int, str]) -> str:
             inner = ",".join(f"{text[c]}:{w:g}" for c, w in kids.get(v, []))
             text[v] = (f"({inner})" if inner else "") + names.get(v, "")
     return text[root] + ";"
+
+
+def split_newick(splits: list[tuple[int, float]], names: list[str], cycle: list[int]) -> str:
+    """Circular splits as text: the heaviest compatible ones as a Newick tree with leaves in the order of the cycle, each other
+    split k as marks ``<k|`` before the first and ``|k:weight>`` behind the last leaf of its side without the first leaf."""
+    n, at = len(names), {t: i for i, t in enumerate(cycle)}
+    full, spans = (1 << n) - 1, {}
+    for m, w in splits:
+        side = full ^ m if m >> (cycle[0] - 1) & 1 else m
+        p = sorted(at[t + 1] for t in range(n) if side >> t & 1)
+        if not p or p[-1] - p[0] + 1 != len(p):
+            raise ValueError("a split is no interval of the cycle")
+        spans[m] = (p[0], p[-1] + 1, w)
+    tree = set(greedy_compatible([m for m, _ in splits], [w for _, w in splits], n))
+    opens, closes = [""] * n, [""] * n
+    for k, (lo, hi, w) in enumerate(sorted(v for m, v in spans.items() if m not in tree), 1):
+        opens[lo] += f"<{k}|"
+        closes[hi - 1] += f"|{k}:{w:.10g}>"
+    weight = {(spans[m][0], spans[m][1]): spans[m][2] for m in tree}
+
+    def text(lo: int, hi: int, inner) -> str:
+        w = weight.get((lo, hi), 0.0)
+        if hi - lo == 1:
+            return f"{opens[lo]}{names[cycle[lo] - 1]}{closes[lo]}:{w:.10g}"
+        return f"({','.join(inner)}):{w:.10g}"
+
+    # innermost spans first; each takes the pieces it covers
+    pieces: dict[int, tuple[int, str]] = {i: (i + 1, text(i, i + 1, ())) for i in range(n)}
+    for lo, hi in sorted((x for x in weight if x[1] - x[0] > 1), key=lambda x: x[1] - x[0]):
+        parts, i = [], lo
+        while i < hi:
+            parts.append(pieces[i][1])
+            i = pieces[i][0]
+        pieces[lo] = (hi, text(lo, hi, parts))
+    parts, i = [], 0
+    while i < n:
+        parts.append(pieces[i][1])
+        i = pieces[i][0]
+    return f"({','.join(parts)});"

@@ -104,9 +104,7 @@ def confidence_filter(splits: DataFrame, threshold: float) -> DataFrame:
 def splits_taxa_filter(splits: DataFrame, kept: list[int], merge: bool = False, ntax: int = 63) -> DataFrame:
     """Splits induced on the kept taxa (renumbered by their order). Splits with all taxa on one side go; ``merge`` sums equal ones."""
     old, new = bits(ntax), bits(len(kept))
-    value = new.of([])
-    for i, t in enumerate(sorted(kept), 1):
-        value = new.either(value, F.when(old.has(F.col("mask"), F.lit(t)), new.of([i])).otherwise(new.of([])))
+    value = new.gather(sorted(kept), lambda t: old.has(F.col("mask"), t))
     out = splits.select(value.alias("mask"), "weight").select(canonical(F.col("mask"), len(kept)).alias("mask"), "weight").filter(~new.empty(F.col("mask")))
     return out.groupBy("mask").agg(F.sum("weight").alias("weight")) if merge else out
 

@@ -416,8 +416,8 @@ def nexus_sets(text: str) -> list[tuple[str, str, str]]:
             continue
         at = words.index("=")
         for w in words[at + 1 :]:
-            m = re.fullmatch(r"(\d+)-(\d+)", w)
-            members = range(int(m[1]), int(m[2]) + 1) if m else [_plain(w)]
+            m = re.fullmatch(r"(\d+)-(\d+)(?:\\(\d+))?", w)
+            members = range(int(m[1]), int(m[2]) + 1, int(m[3] or 1)) if m else [_plain(w)]
             out += [(kind, _plain(words[0]), str(x)) for x in members if x != ","]
     return out
 
@@ -447,6 +447,132 @@ def gml(text: str) -> tuple[list[tuple[int, str | None]], list[tuple[int, int, f
     return nodes, edges
 
 
+def nexus_network(text: str) -> tuple[list[tuple[int, str | None, dict]], list[tuple[int, int, float | None, dict]]]:
+    """Nodes (id, label, properties) and edges (source, target, weight, properties) of a network block."""
+    nodes, edges = [], []
+    for c in nexus_blocks(text).get("network", []):
+        key = c[0].lower()
+        if key not in ("vertices", "edges"):
+            continue
+        entry: dict[str, str] = {}
+
+        def close(entry=entry, key=key):
+            if not entry:
+                return
+            low = {k.lower(): v for k, v in entry.items()}
+            rest = {k: v for k, v in entry.items() if k.lower() not in ("id", "label", "sid", "tid", "weight")}
+            if key == "vertices":
+                nodes.append((int(low["id"]), low.get("label"), rest))
+            else:
+                edges.append((int(low["sid"]), int(low["tid"]), float(low["weight"]) if "weight" in low else None, rest))
+            entry.clear()
+
+        words, i = c[1:-1], 0
+        while i < len(words):
+            if words[i] == ",":
+                close()
+            elif i + 2 < len(words) and words[i + 1] == "=":
+                entry[words[i]] = _plain(words[i + 2])
+                i += 2
+            i += 1
+        close()
+    return nodes, edges
+
+
+def nexus_genomes(text: str) -> list[tuple[str | None, str | None, int, list[tuple[str | None, int | None, int, str | None]]]]:
+    """(label, accession, length, parts), a part being (file, offset, length, sequence)."""
+    out, options, taxa = [], {}, nexus_taxa(text)
+    for c in nexus_blocks(text).get("genomes", []):
+        key = c[0].lower()
+        if key == "format":
+            options = nexus_options(c[1:-1])
+        elif key == "matrix":
+            on = lambda k: options.get(k, "no").lower() in ("yes", "true")  # noqa: B023, E731
+            body = c[-1][1:].strip()[len("matrix") :]
+            for row in re.split(r",(?=(?:[^']|'[^']*')*$)", body):
+                w = re.findall(r"'(?:[^']|'')*'|\S+", row)
+                if not w:
+                    continue
+                at = 0
+                label = taxa[len(out)] if len(out) < len(taxa) else None
+                if on("labels"):
+                    label, at = _plain(w[0]), 1
+                accession = None
+                if on("accessions"):
+                    accession, at = _plain(w[at]), at + 1
+                length, at = int(w[at]), at + 1
+                n = 1
+                if on("multipart"):
+                    n, at = int(w[at]), at + 1
+                parts = []
+                for _ in range(n):
+                    size = length
+                    if on("multipart"):
+                        size, at = int(w[at]), at + 1
+                    x, at = _plain(w[at]), at + 1
+                    if x.lower().startswith("file:"):
+                        parts.append((re.sub(r"^file:(//)?", "", x, flags=re.I), int(w[at]), size, None))
+                        at += 1
+                    else:
+                        parts.append((None, None, size, x))
+                out.append((label, accession, length, parts))
+    return out
+
+
+_SPLIT_TOKEN = re.compile(r"<\d+\||\|\d+(?::[0-9eE.+-]+)*>|'(?:[^']|'')*'|[(),;]|:[0-9eE.+-]+|[^(),;:<>|']+")
+
+
+def split_newick(text: str) -> tuple[list[str], list[tuple[list[int], float]]]:
+    """Leaf labels in order, and splits (places of leaves from 0, weight) of a Newick tree with marks ``<k|`` ... ``|k:weight>``.
+
+    The leaves from the one behind ``<k|`` to the one before ``|k>`` are a side of split k; the tree's edges are the other splits.
+    """
+    leaves: list[str] = []
+    splits: list[tuple[list[int], float]] = []
+    open_at: dict[str, int] = {}
+    stack: list[int] = []
+    last: tuple[int, int] | None = None
+    for t in _SPLIT_TOKEN.findall(text.strip()):
+        if t == "(":
+            stack.append(len(leaves))
+            last = None
+        elif t == ")":
+            if not stack:
+                raise FormatError("unbalanced parentheses")
+            last = (stack.pop(), len(leaves))
+        elif t in ",;":
+            if last and last not in _seen(splits):
+                splits.append((list(range(*last)), 0.0))
+            last = None
+        elif t.startswith("<"):
+            open_at[t[1:-1]] = len(leaves)
+        elif t.startswith("|"):
+            k, *values = t[1:-1].split(":")
+            if k not in open_at:
+                raise FormatError(f"split {k} ends without a start")
+            splits.append((list(range(open_at.pop(k), len(leaves))), float(values[0]) if values else 1.0))
+        elif t.startswith(":"):
+            if last:
+                splits.append((list(range(*last)), float(t[1:])))
+                last = None
+        elif t.strip() and (last is None or last[1] - last[0] == 0):
+            leaves.append(_plain(t.strip()))
+            last = (len(leaves) - 1, len(leaves))
+    if stack or open_at:
+        raise FormatError("unbalanced parentheses or splits")
+    total: dict[tuple[int, ...], float] = {}
+    n = len(leaves)
+    for side, w in splits:
+        side = side if 0 not in side else [i for i in range(n) if i not in set(side)]
+        if side:
+            total[tuple(side)] = total.get(tuple(side), 0.0) + w
+    return leaves, [(list(k), w) for k, w in total.items()]
+
+
+def _seen(splits) -> set[tuple[int, int]]:
+    return {(s[0], s[-1] + 1) for s, _ in splits if s}
+
+
 def sniff(text: str) -> str:
     """Name of the format, by the first line."""
     first = next((x.strip() for x in text.splitlines() if x.strip()), "")
@@ -466,7 +592,7 @@ def sniff(text: str) -> str:
     if "msf:" in low or low.startswith(("!!", "pileup")):
         return "msf"
     if first.startswith("("):
-        return "newick"
+        return "split_newick" if re.search(r"<\d+\|", first) else "newick"
     p = first.split()
     if len(p) == 2 and all(x.isdigit() for x in p):
         return "phylip"

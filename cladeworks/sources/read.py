@@ -113,8 +113,43 @@ def sets(spark: SparkSession, path: str) -> DataFrame:
 
 
 def network(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes ``path, id, label`` and edges ``path, src, dst, weight`` of GML files."""
-    return _per_file(spark, path, "id int, label string", lambda t: P.gml(t)[0]), _per_file(spark, path, "src int, dst int, weight double", lambda t: P.gml(t)[1])
+    """Nodes ``path, id, label`` and edges ``path, src, dst, weight`` of GML files and Nexus network blocks."""
+
+    def both(text):
+        if P.sniff(text) == "nexus":
+            nodes, edges = P.nexus_network(text)
+            return [n[:2] for n in nodes], [e[:3] for e in edges]
+        return P.gml(text)
+
+    return _per_file(spark, path, "id int, label string", lambda t: both(t)[0]), _per_file(spark, path, "src int, dst int, weight double", lambda t: both(t)[1])
+
+
+def genomes(spark: SparkSession, path: str) -> DataFrame:
+    """``path, taxon, name, accession, length, parts ARRAY<STRUCT<file, offset, length, seq>>`` of Nexus genomes blocks, one row per genome."""
+
+    def run(batches):
+        for p in batches:
+            rows = [(f, i + 1, n, a, k, [{"file": x, "offset": o, "length": m, "seq": s} for x, o, m, s in parts]) for f, t in zip(p.path, p.text) for i, (n, a, k, parts) in enumerate(P.nexus_genomes(t))]
+            yield pd.DataFrame(rows, columns=["path", "taxon", "name", "accession", "length", "parts"])
+
+    return whole_files(spark, path).mapInPandas(run, "path string, taxon int, name string, accession string, length int, parts array<struct<file: string, offset: bigint, length: int, seq: string>>")
+
+
+def split_newick(spark: SparkSession, path: str) -> DataFrame:
+    """``path, split_id, side ARRAY<STRING> (labels), weight``."""
+
+    def parse(text):
+        leaves, splits = P.split_newick(text)
+        return [(i + 1, [leaves[k] for k in side], w) for i, (side, w) in enumerate(splits)]
+
+    return _per_file(spark, path, "split_id int, side array<string>, weight double", parse)
+
+
+def fasta_split(spark: SparkSession, path: str, out: str, min_length: int = 0) -> None:
+    """Writes each record of FastA files into a folder of its own below ``out`` (``name=...``), in parallel; short records are left out."""
+    rows = fasta_records(spark, path).filter(F.length("seq") >= min_length)
+    key = F.regexp_replace(F.substring_index("name", " ", 1), "[^A-Za-z0-9._-]", "_").alias("name")
+    rows.select(key, F.concat(F.lit(">"), F.col("name"), F.lit("\n"), "seq").alias("value")).write.mode("overwrite").partitionBy("name").text(out)
 
 
 def long_characters(chars: DataFrame) -> DataFrame:

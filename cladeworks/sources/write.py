@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladeworks.functions import kernels
-from cladeworks.functions.bits import bits
+from cladeworks.functions.bits import bits, taxa_of
 
 
 def fasta(chars: DataFrame) -> DataFrame:
@@ -123,3 +123,135 @@ def gml(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     e = edges.select(F.concat(F.lit("  edge [ source "), F.col("src").cast("string"), F.lit(" target "), F.col("dst").cast("string"), F.lit(" weight "), F.col("weight").cast("string"), F.lit(" ]")).alias("x"), F.lit(1).alias("k"), F.col("src").alias("i"), F.col("dst").alias("j"))
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "i", "j", "x"))), lambda s: s["x"]), "\n")
     return n.unionByName(e).agg(F.concat(F.lit("graph [\n  directed 0\n"), lines, F.lit("\n]\n")).alias("value"))
+
+
+# ---------------------------------------------------------------- one row a line: lazy columns, ordered by the caller
+
+
+def plain_splits(splits: DataFrame, ntax: int) -> DataFrame:
+    """``value``: weight and the taxa of the side without taxon 1."""
+    taxa = F.array_join(F.transform(taxa_of(bits(ntax), F.col("mask"), ntax), lambda t: t.cast("string")), " ")
+    return splits.select(F.concat_ws("\t", F.col("weight").cast("string"), taxa).alias("value"))
+
+
+def plain_taxa(taxa: DataFrame) -> DataFrame:
+    return taxa.select(F.concat_ws("\t", F.col("taxon").cast("string"), "name").alias("value"))
+
+
+def plain_traits(traits: DataFrame) -> DataFrame:
+    return traits.select(F.concat_ws("\t", "name", "trait", "value").alias("value"))
+
+
+def plain_sets(sets: DataFrame) -> DataFrame:
+    """One line a set of ``kind, name, member``."""
+    g = sets.groupBy("kind", "name").agg(F.array_join(F.array_sort(F.collect_set("member")), " ").alias("m"))
+    return g.select(F.concat_ws("\t", "kind", "name", "m").alias("value"))
+
+
+def plain_network(edges: DataFrame) -> DataFrame:
+    return edges.select(F.concat_ws("\t", F.col("src").cast("string"), F.col("dst").cast("string"), F.col("weight").cast("string")).alias("value"))
+
+
+# ---------------------------------------------------------------- Nexus blocks
+
+
+def _taxa_block(names) -> str:
+    return f"BEGIN TAXA;\nDIMENSIONS NTAX={len(names)};\nTAXLABELS {' '.join(map(_quoted, names))};\nEND;\n"
+
+
+def nexus_taxa(taxa: DataFrame) -> DataFrame:
+    return _one(taxa.select("taxon", F.col("name").alias("name_")), lambda p: "#NEXUS\n" + _taxa_block(p.sort_values("taxon").name_.tolist()))
+
+
+def nexus_trees(trees: DataFrame, rooted: bool = True) -> DataFrame:
+    """A trees block of ``tree_no, name, newick``."""
+
+    def make(p):
+        p = p.sort_values("tree_no")
+        mark = "[&R]" if rooted else "[&U]"
+        rows = "".join(f"TREE {_quoted(n)} = {mark} {x}\n" for n, x in zip(p.name_, p.newick))
+        return f"#NEXUS\nBEGIN TREES;\nPROPERTIES ROOTED={'yes' if rooted else 'no'};\n{rows}END;\n"
+
+    return _one(trees.select("tree_no", F.col("name").alias("name_"), "newick"), make)
+
+
+def nexus_traits(traits: DataFrame) -> DataFrame:
+    """A traits block of ``name, trait, value``, one value a taxon and trait; absent ones are ``?``."""
+
+    def make(p):
+        t = p.pivot_table(index="name_", columns="trait", values="value", aggfunc="min")
+        rows = "\n".join(f"{_quoted(n)} " + ",".join("?" if not isinstance(v, str) else v for v in row) for n, row in zip(t.index, t.to_numpy()))
+        return f"#NEXUS\n{_taxa_block(list(t.index))}BEGIN TRAITS;\nDIMENSIONS NTRAITS={len(t.columns)};\nFORMAT LABELS=yes MISSING=? SEPARATOR=Comma;\nTRAITLABELS {' '.join(map(_quoted, t.columns))};\nMATRIX\n{rows}\n;\nEND;\n"
+
+    return _one(traits.select(F.col("name").alias("name_"), "trait", "value"), make)
+
+
+def nexus_sets(sets: DataFrame) -> DataFrame:
+    """A sets block of ``kind, name, member``; whole numbers are written in their order."""
+
+    def make(p):
+        key = lambda x: (0, int(x), "") if x.isdigit() else (1, 0, x)
+        rows = [f"\t{k.upper()} {_quoted(n)} = {' '.join(_quoted(m) for m in sorted(set(g.member), key=key))};" for (k, n), g in p.groupby(["kind", "name_"])]
+        return "#NEXUS\nBEGIN SETS;\n" + "\n".join(rows) + "\nEND;\n"
+
+    return _one(sets.select("kind", F.col("name").alias("name_"), "member"), make)
+
+
+def nexus_network(nodes: DataFrame, edges: DataFrame, kind: str = "Other") -> DataFrame:
+    """A network block of ``id, label`` and ``src, dst, weight``."""
+    n = nodes.select(F.lit(0).alias("k"), F.col("id").alias("i"), F.lit(0).alias("j"), F.col("label").alias("x"), F.lit(0.0).alias("w"))
+    e = edges.select(F.lit(1).alias("k"), F.col("src").alias("i"), F.col("dst").alias("j"), F.lit(None).cast("string").alias("x"), F.col("weight").alias("w"))
+
+    def make(p):
+        v, f = p[p.k == 0].sort_values("i"), p[p.k == 1].sort_values(["i", "j"])
+        a = ",\n".join(f"\tid={i}" + (" label='" + x.replace("'", "''") + "'" if isinstance(x, str) and x else "") for i, x in zip(v.i, v.x))
+        b = ",\n".join(f"\tid={k} sid={i} tid={j}" + (f" weight='{w!r}'" if w == w else "") for k, (i, j, w) in enumerate(zip(f.i, f.j, f.w.tolist()), 1))
+        return f"#NEXUS\nBEGIN NETWORK;\nDIMENSIONS nVertices={len(v)} nEdges={len(f)};\nTYPE {kind};\nVERTICES\n{a}\n;\nEDGES\n{b}\n;\nEND;\n"
+
+    return _one(n.unionByName(e), make)
+
+
+def nexus_genomes(genomes: DataFrame) -> DataFrame:
+    """A genomes block of ``taxon, name, accession, length, parts`` (parts by file and offset, or by sequence)."""
+
+    def make(p):
+        rows = []
+        for n, a, k, parts in p.sort_values(["taxon", "accession"])[["name_", "accession", "length", "parts"]].itertuples(index=False):
+            cells = [f"{x['length']} " + (f"'file://{x['file']}' {x['offset']}" if x["file"] else x["seq"]) for x in parts]
+            rows.append("\t'" + n.replace("'", "''") + f"' {a} {k} {len(cells)} " + " ".join(cells))
+        return f"#NEXUS\nBEGIN GENOMES;\nDIMENSIONS ntax={len(rows)};\nFORMAT labels=yes accessions=yes multiPart=yes dataType=DNA;\nMATRIX\n" + ",\n".join(rows) + "\n;\nEND;\n"
+
+    return _one(genomes.select("taxon", F.col("name").alias("name_"), "accession", "length", "parts"), make)
+
+
+def nexml_trees(edges: DataFrame) -> DataFrame:
+    """One NeXML document of trees ``tree_no, parent, child, weight, label``."""
+
+    def make(p):
+        from xml.sax.saxutils import quoteattr
+
+        labels = sorted({x for x in p.label if isinstance(x, str) and x})
+        otu = {x: f"otu{i}" for i, x in enumerate(labels, 1)}
+        out = ['<?xml version="1.0" encoding="UTF-8"?>', '<nex:nexml version="0.9" xmlns:nex="http://www.nexml.org/2009" xmlns="http://www.nexml.org/2009">', '<otus id="taxa">']
+        out += [f"<otu id={quoteattr(i)} label={quoteattr(x)}/>" for x, i in otu.items()] + ["</otus>", '<trees id="trees" otus="taxa">']
+        for t, g in p.groupby("tree_no"):
+            name = {int(c): x for c, x in zip(g.child, g.label) if isinstance(x, str) and x}
+            ends = sorted({int(v) for v in g.parent if v >= 0} | {int(v) for v in g.child})
+            top = set(ends) - {int(c) for c, q in zip(g.child, g.parent) if q >= 0}
+            out.append(f'<tree id="tree{t}">')
+            out += [f'<node id="n{v}"' + (f" otu={quoteattr(otu[name[v]])} label={quoteattr(name[v])}" if v in name else "") + (' root="true"' if v in top else "") + "/>" for v in ends]
+            out += [f'<edge id="e{c}" source="n{q}" target="n{c}"' + (f' length="{w!r}"' if w == w else "") + "/>" for q, c, w in sorted(zip(g.parent.tolist(), g.child.tolist(), g.weight.tolist())) if q >= 0]
+            out.append("</tree>")
+        return "\n".join([*out, "</trees>", "</nex:nexml>"])
+
+    return _one(edges.select("tree_no", "parent", "child", "weight", "label"), make)
+
+
+def split_newick(splits: DataFrame, names: list[str], cycle: list[int]) -> DataFrame:
+    """Circular splits as a Newick tree in the order of the cycle, with marks for those the tree lacks."""
+    b = bits(len(names))
+
+    def make(p):
+        return kernels.split_newick([(b.to_int(m), float(w)) for m, w in zip(p["mask"], p.weight)], [_quoted(n) for n in names], cycle)
+
+    return _one(splits.select("mask", "weight"), make)
