@@ -51,8 +51,12 @@ _SALT = _rng.integers(0, 2**63, POSITIONS, dtype=np.int64).astype(np.uint64)
 
 def clean_sequence(text: Column, *dropped: Column) -> Column:
     """Lower case, without the characters of ``dropped`` (in any case), ``u`` read as ``t``."""
-    gone = F.lower(F.concat(*(F.coalesce(d, F.lit("")) for d in dropped)))
-    return F.translate(F.call_function("translate", F.lower(text), gone, F.lit("")), "u", "t")
+    out = F.lower(text)
+    for d in dropped:
+        gone = F.lower(F.coalesce(d, F.lit("")))
+        # one character (the usual case) is replaced as a whole string, several are translated one by one
+        out = F.when(F.char_length(gone) <= 1, F.replace(out, gone, F.lit(""))).otherwise(F.call_function("translate", out, gone, F.lit("")))
+    return F.replace(out, F.lit("u"), F.lit("t"))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

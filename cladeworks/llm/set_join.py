@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladeworks.llm.stream import binary, bounds, column, pieces, whole_runs
@@ -47,25 +47,53 @@ def required(t: float, na, nb):
     return np.ceil(t / (1 + t) * (na + nb) - 1e-9).astype(np.int64)
 
 
+_OTHER = re.compile(r"[^0-9a-fA-F]+")
+
+
+def hex_values(text: str) -> tuple[bytes, int]:
+    """The values of 16 hexadecimal digits in a text, and how many digits are left over.
+
+    Anything but a digit separates. Values are cut from each part by itself, so digits of two parts never make one value.
+    """
+    parts = [text] if text.isalnum() and not _OTHER.search(text) else _OTHER.split(text)
+    extra = sum(len(p) % 16 for p in parts)
+    return bytes.fromhex("".join(p[: len(p) // 16 * 16] for p in parts) if extra else "".join(parts)), extra
+
+
 def parse_hex_sets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, tokens``: values of 16 hexadecimal digits, in any case and with any separators, as sorted distinct 8-byte pieces."""
+    """``id, tokens``: values of 16 hexadecimal digits, in any case and with any separators, as sorted distinct 8-byte pieces.
+
+    Digits left over at the end of a part belong to no value: see :func:`damaged_sets`.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        other = re.compile(r"[^0-9a-fA-F]+")
         for b in batches:
             ids, out = [], []
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                raw = other.sub("", text)
-                if len(raw) % 16:
-                    raw = "".join(p[: len(p) // 16 * 16] for p in other.split(text))
-                v = np.unique(np.frombuffer(bytes.fromhex(raw), ">i8").astype(np.int64))
+                v = np.unique(np.frombuffer(hex_values(text)[0], ">i8").astype(np.int64))
                 if len(v):
                     ids.append(i)
                     out.append(v.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["id", "tokens"])
 
+    return _texts(df, id_col, text_col).mapInArrow(run, "id bigint, tokens binary")
+
+
+def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     src = df.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    return src.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id bigint, tokens binary")
+    return src.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+
+
+def damaged_sets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, n_values, n_digits_left``: the rows with digits that make no whole value."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [(i, *hex_values(t)) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            got = [(i, len(v) // 8, n) for i, v, n in got if n]
+            yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32()))], ["id", "n_values", "n_digits_left"])
+
+    return _texts(df, id_col, text_col).mapInArrow(run, "id bigint, n_values int, n_digits_left int")
 
 
 def encode_sets(df: DataFrame, id_col: str, array_col: str) -> DataFrame:
@@ -107,8 +135,9 @@ def _heavy(classes: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(np.append(v[keep], 0)), pa.array(np.append(c[keep], n)), pa.array(np.append(np.zeros(keep.sum(), bool), True))], ["token", "c", "total"])
 
     got = classes.select("tokens").mapInArrow(local, "token bigint, c bigint, total boolean").groupBy("token", "total").agg(F.sum("c").alias("c"))
-    least = F.greatest(F.max(F.when(F.col("total"), F.col("c"))).over(Window.partitionBy()) / HEAVY, F.lit(64))
-    rows = got.withColumn("least", least).filter(~F.col("total") & (F.col("c") >= F.col("least"))).select("token", "c").collect()
+    got = stage(got, "heavy")
+    entries = got.filter("total").agg(F.sum("c")).first()[0] or 0
+    rows = got.filter(~F.col("total") & (F.col("c") >= max(entries / HEAVY, 64))).select("token", "c").collect()
     return np.array([r.token for r in sorted(rows, key=lambda r: (r.c, r.token))], np.int64)
 
 

@@ -22,31 +22,34 @@ def whole_runs(batches: Iterator[pa.RecordBatch], key: str, most: int | None = N
 
     A run longer than ``most`` comes in pieces with True as soon as it is known to be long, so no more than that is held.
     """
-    held: list[pa.RecordBatch] = []
-    long_key = None
+    held: list[pa.RecordBatch] = []  # pieces of the last run met, put together once it ends
+    rows, held_key, long = 0, None, False
     for b in batches:
         if not b.num_rows:
             continue
-        if long_key is not None:
-            keys = column(b, key)
-            n = int(np.argmax(keys != long_key)) if (keys != long_key).any() else len(keys)
-            if n:
+        keys = column(b, key)
+        if (held or long) and keys[0] == held_key:
+            n = int(np.argmax(keys != held_key)) or len(keys)
+            if long:
                 yield pa.Table.from_batches([b.slice(0, n)]), True
+            else:
+                held.append(b.slice(0, n))
+                rows += n
+                if most is not None and rows > most:
+                    yield pa.Table.from_batches(held), True
+                    held, long = [], True
             if n == len(keys):
                 continue
-            b, long_key = b.slice(n), None
-        held.append(b)
-        t = pa.Table.from_batches(held)
-        keys = column(t, key)
-        last = int(np.searchsorted(keys, keys[-1], "left")) if keys[0] != keys[-1] else 0
-        if last:
-            yield from _split(t.slice(0, last), keys[:last], most)
-        rest = t.slice(last).combine_chunks()
-        if most is not None and rest.num_rows > most:
-            yield rest, True
-            long_key, held = keys[-1], []
-        else:
-            held = rest.to_batches()
+            b, keys = b.slice(n), keys[n:]
+        last = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if keys[0] != keys[-1] else 0
+        done = [*held, b.slice(0, last)] if last else held
+        if done:
+            t = pa.Table.from_batches(done)
+            yield from _split(t, column(t, key), most)
+        held, rows, held_key, long = [b.slice(last)], len(keys) - last, keys[-1], False
+        if most is not None and rows > most:
+            yield pa.Table.from_batches(held), True
+            held, long = [], True
     if held:
         t = pa.Table.from_batches(held)
         yield from _split(t, column(t, key), most)

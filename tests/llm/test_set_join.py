@@ -77,3 +77,35 @@ def test_merge_skip():
         for need in (1, 2, 3):
             want = sorted({x for x in range(30) if sum(x in v for v in lists) >= need})
             assert J.merge_skip(lists, need) == want
+
+
+def test_values_are_cut_from_each_part(spark):
+    v = "0123456789abcdef"
+    rows = [(1, v + v.upper()), (2, f"{v}, {v[::-1]}"), (3, v[:8] + " " + v[8:]), (4, v + "ff"), (5, ""), (6, "--"), (7, None), (None, v), (8, v[:8] + ";" + v + "00;" + v[:6])]
+    df = spark.createDataFrame(rows, "taxon int, sketch string")
+    got = {r.id: len(r.tokens) // 8 for r in J.parse_hex_sets(df, "taxon", "sketch").collect()}
+    assert got == {1: 1, 2: 2, 4: 1, 8: 1}
+    assert {(r.id, r.n_values, r.n_digits_left) for r in J.damaged_sets(df, "taxon", "sketch").collect()} == {(3, 0, 16), (4, 1, 2), (8, 1, 16)}
+
+
+def test_runs_in_a_stream():
+    import pyarrow as pa
+
+    from cladeworks.llm.stream import whole_runs
+
+    rnd = random.Random(8)
+    for most in (None, 3, 10):
+        for _ in range(100):
+            keys = sorted(rnd.choice([1, 2, 3, 9]) for _ in range(rnd.randrange(30)))
+            batches, at = [], 0
+            while at < len(keys):
+                n = rnd.randrange(5)
+                batches.append(pa.RecordBatch.from_arrays([pa.array(keys[at : at + n], pa.int64())], ["k"]))
+                at += n
+            out = [(t.column("k").to_pylist(), long) for t, long in whole_runs(iter(batches), "k", most)]
+            assert [k for part, _ in out for k in part] == keys
+            for part, long in out:
+                if long:
+                    assert len(set(part)) == 1 and keys.count(part[0]) > most
+                else:
+                    assert all(part.count(k) == keys.count(k) and (most is None or keys.count(k) <= most) for k in part)
