@@ -509,11 +509,21 @@ def _under(down: dict[int, list[int]], v: int) -> set[int]:
     return out
 
 
-def cluster_network(clusters: list[tuple[int, float]], ntax: int) -> tuple[list[Edge], dict[int, int]]:
-    """Edges and leaves of the cover graph of the clusters, all taxa and the whole; a node of several parents gets an edge of its own."""
+def _all_taxa(clusters: list[tuple[int, float]], ntax: int, whole: bool) -> int:
     full = (1 << ntax) - 1
+    if whole:
+        return full
+    out = 0
+    for m, _ in clusters:
+        out |= m
+    return out
+
+
+def cluster_network(clusters: list[tuple[int, float]], ntax: int, whole: bool = True) -> tuple[list[Edge], dict[int, int]]:
+    """Edges and leaves of the cover graph of the clusters, all taxa (of the clusters, without ``whole``) and their whole; a node of several parents gets an edge of its own."""
+    full = _all_taxa(clusters, ntax, whole)
     weight = dict(clusters)
-    sets = sorted({m for m, _ in clusters if m} | {1 << i for i in range(ntax)} | {full}, key=lambda m: (m.bit_count(), m))
+    sets = sorted({m for m, _ in clusters if m} | {1 << i for i in range(ntax) if full >> i & 1} | {full}, key=lambda m: (m.bit_count(), m))
     ids = {m: (m.bit_length() - 1 if m.bit_count() == 1 else ntax + i) for i, m in enumerate(sets)}
     out, nxt = [], ntax + len(sets)
     for i, m in enumerate(sets):
@@ -525,13 +535,16 @@ def cluster_network(clusters: list[tuple[int, float]], ntax: int) -> tuple[list[
             nxt += 1
         else:
             out += [(ids[x], ids[m], w) for x in covers]
-    return out, {i: i + 1 for i in range(ntax)}
+    return out, {i: i + 1 for i in range(ntax) if full >> i & 1}
 
 
-def clusters_to_edges(clusters: list[tuple[int, float]], ntax: int) -> list[Edge]:
-    """Tree of compatible clusters (bit masks) by nesting; node t - 1 is the leaf of taxon t, inner nodes follow, the root is last."""
-    full = (1 << ntax) - 1
-    sets = sorted({m for m, _ in clusters} | {1 << i for i in range(ntax)} | {full}, key=lambda m: (m.bit_count(), m))
+def clusters_to_edges(clusters: list[tuple[int, float]], ntax: int, whole: bool = True) -> list[Edge]:
+    """Tree of compatible clusters (bit masks) by nesting; node t - 1 is the leaf of taxon t, inner nodes follow, the root is last.
+
+    Its leaves are all taxa; without ``whole`` only those of the clusters.
+    """
+    full = _all_taxa(clusters, ntax, whole)
+    sets = sorted({m for m, _ in clusters} | {1 << i for i in range(ntax) if full >> i & 1} | {full}, key=lambda m: (m.bit_count(), m))
     weight = dict(clusters)
     ids = {m: (m.bit_length() - 1 if m.bit_count() == 1 else ntax + i) for i, m in enumerate(sets)}
     out = []

@@ -93,7 +93,7 @@ def displayed(nets: DataFrame, trees: DataFrame) -> DataFrame:
     n = nets.groupBy("net_id").agg(F.collect_list(F.struct("parent", "child", "weight", "taxon")).alias("net"))
 
     def parts(rows):
-        return [(r["parent"], r["child"], r["weight"]) for r in rows], {r["child"]: r["taxon"] for r in rows if r["taxon"] is not None}
+        return [(int(r["parent"]), int(r["child"]), float(r["weight"])) for r in rows], {int(r["child"]): int(r["taxon"]) for r in rows if pd.notna(r["taxon"])}
 
     def run(batches):
         for p in batches:
@@ -199,12 +199,12 @@ def filtered_super_network(partial: DataFrame, ntax: int, min_trees: int = 1, ma
     return grouped(partial.select(*group, "tree_id", "a", "b"), group, f"mask {x.ddl}, weight double", run)
 
 
-def cluster_tree(clusters: DataFrame, ntax: int, group: tuple[str, ...] = ()) -> DataFrame:
-    """Edges of the tree of compatible clusters ``mask, weight``: consensus trees are this after the consensus."""
+def cluster_tree(clusters: DataFrame, ntax: int, group: tuple[str, ...] = (), whole: bool = True) -> DataFrame:
+    """Edges of the tree of compatible clusters ``mask, weight``: consensus trees are this after the consensus. Without ``whole`` only of the clusters' taxa."""
     b = bits(ntax)
 
     def run(p):
-        e = N.clusters_to_edges([(b.to_int(m), w) for m, w in zip(p["mask"], p.weight)], ntax)
+        e = N.clusters_to_edges([(b.to_int(m), w) for m, w in zip(p["mask"], p.weight)], ntax, whole)
         return _rows(1, e, {i: i + 1 for i in range(ntax)})
 
     return grouped(clusters.select(*group, "mask", "weight"), group, EDGES, run)
@@ -226,12 +226,12 @@ def tree_clusters(trees: DataFrame, ntax: int) -> DataFrame:
     return trees.groupBy("net_id").applyInPandas(run, f"tree_id int, mask {b.ddl}, weight double")
 
 
-def cluster_network(clusters: DataFrame, ntax: int, group: tuple[str, ...] = ()) -> DataFrame:
-    """The rooted network of any clusters: their cover graph, with a node of its own above each leaf of several parents."""
+def cluster_network(clusters: DataFrame, ntax: int, group: tuple[str, ...] = (), whole: bool = True) -> DataFrame:
+    """The rooted network of any clusters: their cover graph, with an edge of its own above each node of several parents."""
     b = bits(ntax)
 
     def run(p):
-        e, leaves = N.cluster_network([(b.to_int(m), w) for m, w in zip(p["mask"], p.weight)], ntax)
+        e, leaves = N.cluster_network([(b.to_int(m), w) for m, w in zip(p["mask"], p.weight)], ntax, whole)
         return _rows(1, e, leaves)
 
     return grouped(clusters.select(*group, "mask", "weight"), group, EDGES, run)

@@ -237,12 +237,22 @@ def splits_cyclic(spark, sf):
     return S.cyclic(_splits(spark, sf), list(range(1, NTAX + 1)))
 
 
-@query("splits_greedy_compatible")
+_GREEDY = _SP.replace("WITH ", "WITH RECURSIVE ", 1) + """, o AS (SELECT mask, weight, row_number() OVER (ORDER BY weight DESC, bit_count(mask) DESC, mask) AS i FROM sp),
+g AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS k UNION ALL SELECT o.i, CASE WHEN {ok} THEN list_append(g.k, o.mask) ELSE g.k END FROM g JOIN o ON o.i = g.i + 1),
+kept AS (SELECT unnest(k) AS mask FROM g WHERE i = (SELECT max(i) FROM o))"""
+_TREE_OK = "len(list_filter(g.k, lambda x: x & o.mask NOT IN (0, x, o.mask))) = 0"
+_N = lambda x: f"({_FULL} - {x})"
+_ODD = lambda a, b, c: " AND ".join(f"{p} & {q} & {r} <> 0" for p, q, r in ((a, b, c), (a, _N(b), _N(c)), (_N(a), b, _N(c)), (_N(a), _N(b), c)))
+_EVEN = lambda a, b, c: " AND ".join(f"{p} & {q} & {r} <> 0" for p, q, r in ((_N(a), _N(b), _N(c)), (_N(a), b, c), (a, _N(b), c), (a, b, _N(c))))
+_WEAK_OK = f"len(list_filter(g.k, lambda x: len(list_filter(g.k, lambda y: y > x AND (({_ODD('x', 'y', 'o.mask')}) OR ({_EVEN('x', 'y', 'o.mask')})))) > 0)) = 0"
+
+
+@query("splits_greedy_compatible", _GREEDY.replace("{ok}", _TREE_OK) + " SELECT mask, weight FROM sp WHERE mask IN (SELECT mask FROM kept)")
 def splits_greedy_compatible(spark, sf):
     return S.greedy_compatible(_splits(spark, sf), NTAX)
 
 
-@query("splits_greedy_weakly_compatible")
+@query("splits_greedy_weakly_compatible", _GREEDY.replace("{ok}", _WEAK_OK) + " SELECT mask, weight FROM sp WHERE mask IN (SELECT mask FROM kept)")
 def splits_greedy_weakly_compatible(spark, sf):
     return S.greedy_weakly_compatible(_splits(spark, sf), NTAX)
 
@@ -257,9 +267,20 @@ def splits_dimension_filter(spark, sf):
     return S.dimension_filter(_splits(spark, sf), NTAX)
 
 
-@query("splits_incompatibility_score")
+@query("splits_incompatibility_score", _GREEDY.replace("{ok}", _TREE_OK) + f", i AS (SELECT * FROM sp WHERE bit_count(mask) BETWEEN 2 AND {NTAX - 2}), s AS (SELECT coalesce(sum(weight), 0.0) AS score FROM i WHERE mask NOT IN (SELECT mask FROM kept)) SELECT score, round(100 * score / (SELECT sum(weight) FROM i), 6) AS percent FROM s")
 def splits_incompatibility_score(spark, sf):
-    return S.incompatibility_score(_splits(spark, sf), NTAX)
+    return S.incompatibility_score(_splits(spark, sf), NTAX).select("score", F.round("percent", 6).alias("percent"))
+
+
+query("splits_clique_compatible")(lambda spark, sf: S.clique_compatible(_splits(spark, sf).filter("bit_count(mask) between 2 and 23"), NTAX))
+query("splits_clique_circular")(lambda spark, sf: S.clique_circular(_splits(spark, sf), NTAX, list(range(1, NTAX + 1))))
+query("splits_cycle")(lambda spark, sf: S.splits_cycle(_splits(spark, sf), NTAX))
+
+
+@query("splits_matrix", f"""WITH {B.CLUSTERS_SQL}, ts AS (SELECT tree_id, CASE WHEN mask & 1 <> 0 THEN {_FULL} - mask ELSE mask END AS mask, sum(weight) AS weight FROM b5 WHERE mask <> {_FULL} GROUP BY ALL)
+SELECT m.mask AS mask, t.tree_id AS set_id, round(coalesce(ts.weight, 0), 6) AS weight FROM (SELECT DISTINCT mask FROM ts) m JOIN (SELECT DISTINCT tree_id FROM ts) t ON true LEFT JOIN ts ON ts.mask = m.mask AND ts.tree_id = t.tree_id""")
+def splits_matrix(spark, sf):
+    return S.split_matrix(T.tree_splits(B.clusters(spark, sf), NTAX).withColumnRenamed("tree_id", "set_id")).select("mask", "set_id", F.round("weight", 6).alias("weight"))
 
 
 # ------------------------------------------------------------------ trees
@@ -363,9 +384,12 @@ def trees_concordance_filter(spark, sf):
     return T.concordance_filter(B.clusters(spark, sf), 50.0)
 
 
-@query("trees_confidence_network")
+@query("trees_confidence_network", _TR + """, ce AS (SELECT m.mask AS mask, t.tree_id AS tree_id, coalesce(ts.weight, 0) AS x FROM (SELECT DISTINCT mask FROM ts) m JOIN (SELECT DISTINCT tree_id FROM ts) t ON true LEFT JOIN ts ON ts.mask = m.mask AND ts.tree_id = t.tree_id),
+me AS (SELECT mask, quantile_cont(x, 0.5) AS med FROM ce GROUP BY mask), r AS (SELECT mask, tree_id, med, abs(x - med) AS r FROM ce JOIN me USING (mask)), h AS (SELECT *, count(*) OVER (PARTITION BY mask ORDER BY r RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS h, row_number() OVER (PARTITION BY mask ORDER BY r) AS k FROM r),
+cut AS (SELECT list_sort(list(h))[CAST(ceil(0.95 * count(*)) AS BIGINT)] AS cut FROM (SELECT tree_id, max(h) AS h FROM h GROUP BY tree_id))
+SELECT mask, round(med, 6) AS weight, round(med - r, 6) AS low, round(med + r, 6) AS high FROM h, cut WHERE k = cut AND med + r > 0""")
 def trees_confidence_network(spark, sf):
-    return T.confidence_network(B.clusters(spark, sf), NTAX)
+    return T.confidence_network(B.clusters(spark, sf), NTAX).select("mask", *(F.round(c, 6).alias(c) for c in ("weight", "low", "high")))
 
 
 @query("trees_transfer_support", _TR + f", e AS (SELECT mask AS e FROM ts WHERE tree_id = 1 AND bit_count(mask) BETWEEN 2 AND {NTAX - 2}), d AS (SELECT e, tree_id, CAST(min(least(bit_count(xor(e, mask)), {NTAX} - bit_count(xor(e, mask)))) AS DOUBLE) AS d FROM e, ts GROUP BY ALL) SELECT e AS mask, round(avg(greatest(0.0, 1 - d / (least(bit_count(e), {NTAX} - bit_count(e)) - 1))), 6) AS support FROM d GROUP BY e")
@@ -418,12 +442,43 @@ def dist_min_spanning_network(spark, sf):
 
 
 for _name, _f in (
-    ("dist_min_spanning_tree", M.min_spanning_tree), ("dist_upgma", M.upgma), ("dist_neighbor_joining", M.neighbor_joining), ("dist_bionj", lambda d: M.neighbor_joining(d, bio=True)), ("dist_neighbor_net", M.neighbor_net),
-    ("dist_neighbor_net_cycle", M.neighbor_net_cycle), ("dist_split_decomposition", M.split_decomposition), ("dist_buneman", M.buneman_tree), ("dist_pcoa", M.pcoa),
+    ("dist_min_spanning_rooted", M.min_spanning_rooted), ("dist_upgma", M.upgma), ("dist_neighbor_joining", M.neighbor_joining), ("dist_bionj", lambda d: M.neighbor_joining(d, bio=True)), ("dist_neighbor_net", M.neighbor_net),
+    ("dist_neighbor_net_cycle", M.neighbor_net_cycle), ("dist_pcoa", M.pcoa),
 ):
     query(_name)(lambda spark, sf, f=_f: f(B.label_distances(spark, sf)))
 
 
+@query("dist_min_spanning_tree", _LAB + " SELECT e.t1 AS t1, e.t2 AS t2, e.d AS d FROM b3 e WHERE e.t2 NOT IN (WITH RECURSIVE w AS (SELECT e.t1 AS x UNION SELECT CASE WHEN f.t1 = w.x THEN f.t2 ELSE f.t1 END FROM w JOIN b3 f ON (f.t1 = w.x OR f.t2 = w.x) AND f.d < e.d) SELECT x FROM w)")
+def dist_min_spanning_tree(spark, sf):
+    return M.min_spanning_tree(B.label_distances(spark, sf))
+
+
+# the isolation indices of all splits of the labels, by their quartets
+_ISO = _LAB + """, tx AS (SELECT DISTINCT taxon AS t FROM b3m), dd AS (SELECT t1 AS a, t2 AS b, d FROM b3 UNION ALL SELECT t2, t1, d FROM b3 UNION ALL SELECT t, t, 0.0 FROM tx),
+q AS (SELECT p.a AS i, p.b AS j, q.a AS k, q.b AS l, ({pick}(ik.d + jl.d, il.d + jk.d) - p.d - q.d) / 2 AS v FROM dd p JOIN dd q ON p.a <= p.b AND q.a <= q.b JOIN dd ik ON ik.a = p.a AND ik.b = q.a JOIN dd jl ON jl.a = p.b AND jl.b = q.b JOIN dd il ON il.a = p.a AND il.b = q.b JOIN dd jk ON jk.a = p.b AND jk.b = q.a),
+m AS (SELECT unnest(range(1, 1::BIGINT << ((SELECT count(*) FROM tx) - 1))) * 2 AS mask) SELECT mask, round(min(v), 6) AS weight FROM m JOIN q ON (mask >> (i - 1)) & 1 = 1 AND (mask >> (j - 1)) & 1 = 1 AND (mask >> (k - 1)) & 1 = 0 AND (mask >> (l - 1)) & 1 = 0 GROUP BY mask HAVING min(v) > 1e-7"""
+
+
+@query("dist_split_decomposition", _ISO.replace("{pick}", "greatest"))
+def dist_split_decomposition(spark, sf):
+    return M.split_decomposition(B.label_distances(spark, sf)).select("mask", F.round("weight", 6).alias("weight"))
+
+
+@query("dist_buneman", _ISO.replace("{pick}", "least"))
+def dist_buneman(spark, sf):
+    return M.buneman_tree(B.label_distances(spark, sf)).select("mask", F.round("weight", 6).alias("weight"))
+
+
+@query("dist_check", _LAB + " SELECT count(*) AS pairs, CAST(0 AS BIGINT) AS shorter, CAST(0 AS BIGINT) AS without_path FROM b3")
+def dist_check(spark, sf):
+    """No path of the minimum spanning network is shorter than the distance of its ends, as these meet the triangle inequality."""
+    d = B.label_distances(spark, sf)
+    e = M.min_spanning_network(d).select(F.col("t1").alias("src"), F.col("t2").alias("dst"), F.col("d").alias("weight"))
+    x = M.check_distances(e, d, list(range(1, 11)))
+    none = F.lit(0).cast("bigint")
+    return x.agg(F.count(F.lit(1)).alias("pairs"), F.coalesce(F.sum(F.when(F.col("difference") < -1e-5, 1)), none).alias("shorter"), F.coalesce(F.sum(F.when(F.col("path").isNull(), 1)), none).alias("without_path"))
+
+
 # ------------------------------------------------------------------ sketches
 
 _SRC = "regexp_replace(lower(trim(source)), '[\\s\\-]+', '_', 'g')"

@@ -33,7 +33,7 @@ def stage(df: DataFrame, name: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_delete, spark, path)
+    remove_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -44,6 +44,11 @@ def stage_counted(df: DataFrame, name: str = "t") -> tuple[DataFrame, int]:
     return out, seen.get["n"]
 
 
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Has a path in the shared folder deleted when the process ends."""
+    atexit.register(_delete, spark, path)
+
+
 def unstage(df: DataFrame) -> None:
     """Delete a table written by :func:`stage` that no later plan reads."""
     for f in df.inputFiles()[:1]:
