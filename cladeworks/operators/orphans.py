@@ -1,10 +1,10 @@
 """References whose target is missing, already deleted, or loaded only later.
 
 Method. Parent rows become two marks on a time line (valid from ``loaded_at``, ended at ``deleted_at``) and references a
-third; marks and references are partitioned by (key, day), sorted by time and merged in one pass of running sums: a
-reference is sound where more intervals have begun than ended. What earlier days of the key carry in comes from sums
-per (key, day), which are combined before the shuffle. So a key that holds a third of all rows is spread over its days,
-and one task never sees more than the bare day sums of a key.
+third; marks and references are partitioned by (key, hour), sorted by time and merged in one pass of running sums: a
+reference is sound where more intervals have begun than ended. What earlier hours of the key carry in comes from sums
+per (key, hour), which are combined before the shuffle. So a key that holds a third of all rows is spread over its hours,
+and one task never sees more than the bare hour sums of a key.
 
 Defined results: null and zero references do not count; a reference without a time can be checked against nothing and
 comes out with status ``missing``, ``late`` or so by the parent rows, month null; a parent row without ``loaded_at`` is
@@ -17,6 +17,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Time span whose rows of one key are merged in one task; equal references of one instant are one row before.
+SPAN = "hour"
+
+
 def references(table: str, df: DataFrame, key: str, at: str = "loaded_at") -> DataFrame:
     """The references of one table as ``ref_table, ref_id, at``."""
     ref = F.col(key).cast("bigint")
@@ -41,21 +45,21 @@ def check_references(refs: DataFrame, parents: DataFrame, key: str = "taxon_id",
     marks = marks.select(F.lit(None).cast("string").alias("ref_table"), "ref_id", "at", none.alias("n_refs"), "born", "live")
     events = same.select("ref_table", "ref_id", "at", "n_refs", none.alias("born"), none.alias("live")).unionByName(marks)
     # a reference without a time sorts before all marks and so meets no valid parent
-    events = events.withColumn("day", F.coalesce(F.to_date("at"), F.lit("0001-01-01").cast("date")))
+    events = events.withColumn("span", F.coalesce(F.date_trunc(SPAN, "at").cast("timestamp_ntz"), F.lit("0001-01-01 00:00:00").cast("timestamp_ntz")))
 
-    sums = events.groupBy("ref_id", "day").agg(F.sum("born").alias("b"), F.sum("live").alias("l"))
-    by_key = Window.partitionBy("ref_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    sums = events.groupBy("ref_id", "span").agg(F.sum("born").alias("b"), F.sum("live").alias("l"))
+    by_key = Window.partitionBy("ref_id").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("ref_id")
     carried = sums.select(
-        "ref_id", "day",
+        "ref_id", "span",
         F.coalesce(F.sum("b").over(by_key), none).alias("born_before"),
         F.coalesce(F.sum("l").over(by_key), none).alias("live_before"),
         F.sum("b").over(whole).alias("born_ever"),
     )
     # starts and ends at the reference's own instant count before it: loaded_at <= t and deleted_at > t
-    in_day = Window.partitionBy("ref_id", "day").orderBy(F.col("at").asc_nulls_first(), F.when(F.col("n_refs") > 0, 1).otherwise(0)).rowsBetween(Window.unboundedPreceding, 0)
+    in_day = Window.partitionBy("ref_id", "span").orderBy(F.col("at").asc_nulls_first(), F.when(F.col("n_refs") > 0, 1).otherwise(0)).rowsBetween(Window.unboundedPreceding, 0)
     merged = events.select("*", F.sum("born").over(in_day).alias("born_now"), F.sum("live").over(in_day).alias("live_now"))
-    merged = merged.filter(F.col("n_refs") > 0).join(carried, ["ref_id", "day"])
+    merged = merged.filter(F.col("n_refs") > 0).join(carried, ["ref_id", "span"])
     return merged.select("ref_table", "ref_id", "at", "n_refs", _status().alias("status"))
 
 

@@ -5,10 +5,14 @@ from __future__ import annotations
 import hashlib
 import heapq
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cladeworks.functions.hashes import windows
+
+
 def kmers(seqs: DataFrame, k: int) -> DataFrame:
     """``genome, h``: distinct md5 digests of all runs of ``k`` characters. ``seqs``: ``genome, seq`` (several rows allowed)."""
     at = F.explode(F.sequence(F.lit(1), F.char_length("seq") - k + 1)).alias("i")
@@ -19,22 +23,25 @@ def kmers(seqs: DataFrame, k: int) -> DataFrame:
 def sketch(seqs: DataFrame, k: int = 15, s: int = 1000) -> DataFrame:
     """``genome, h``: the ``s`` smallest distinct digests of each genome.
 
-    Every task keeps only the ``s`` smallest of each genome it meets, so at most tasks x genomes x s rows are shuffled.
+    Every task keeps only the ``s`` smallest of each genome it meets (``s`` digests of 32 characters a genome), so at most
+    tasks x genomes x s rows are shuffled.
     """
 
     def smallest(batches):
-        kept: dict[str, set] = {}
-        limit: dict[str, str] = {}
+        kept: dict[str, list[str]] = {}
         for b in batches:
+            rows: dict[str, list[str]] = {}
             for genome, seq in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                mine, top = kept.setdefault(genome, set()), limit.get(genome, "g")
-                raw = {seq[i : i + k] for i in range(len(seq) - k + 1)}
-                mine.update(h for x in raw if (h := hashlib.md5(x.encode()).hexdigest()) < top)
-                if len(mine) > 4 * s:
-                    kept[genome] = set(heapq.nsmallest(s, mine))
-                    limit[genome] = max(kept[genome])
-        for genome, mine in kept.items():
-            out = heapq.nsmallest(s, mine)
+                rows.setdefault(genome, []).append(seq)
+            for genome, texts in rows.items():
+                # equal runs are told by a 64-bit hash first, so each is digested once a batch
+                joined, start, h = windows(texts, k)
+                _, first = np.unique(h, return_index=True)
+                mine = kept.get(genome, [])
+                top = mine[-1] if len(mine) >= s else "g"
+                new = {d for i in start[first].tolist() if (d := hashlib.md5(joined[i : i + k].encode("utf-8", "surrogatepass")).hexdigest()) < top}
+                kept[genome] = heapq.nsmallest(s, new.union(mine))
+        for genome, out in kept.items():
             yield pa.RecordBatch.from_arrays([pa.array([genome] * len(out), pa.string()), pa.array(out, pa.string())], ["genome", "h"])
 
     src = seqs.filter(F.col("genome").isNotNull() & (F.char_length("seq") >= k)).select(F.col("genome").cast("string").alias("genome"), "seq")
