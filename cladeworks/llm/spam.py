@@ -30,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeworks.llm.repeats import Prefixes, longest_repeats, sorted_suffixes
+from cladeworks.functions.hashes import Prefixes
+from cladeworks.llm.repeats import longest_repeats, sorted_suffixes
 
 #: Characters of pages whose states are built together.
 BATCH = 1_500_000
