@@ -71,3 +71,25 @@ def equal_angle(cycle: list[int], splits: list[tuple[int, float]]) -> dict[int,
             out[t][0] += w * math.cos(a)
             out[t][1] += w * math.sin(a)
     return {t: (x, y) for t, (x, y) in out.items()}
+
+
+def outline(spans: list[tuple[int, int, float]], n: int) -> list[tuple[float, float, int | None]]:
+    """Corners (x, y, place or None) of the outline of splits given as intervals of places 0..n-1 (never place 0) with weights."""
+    x = y = 0.0
+    out: list[tuple[float, float, int | None]] = []
+    for i in range(n):
+        closing = sorted((s for s in spans if s[1] == i - 1), key=lambda s: (-s[0], s[2]))
+        opening = sorted((s for s in spans if s[0] == i), key=lambda s: (-s[1], s[2]))
+        for (lo, hi, w), sign in [(s, -1) for s in closing] + [(s, 1) for s in opening]:
+            a = math.pi * (lo + hi + 1) / n
+            x, y = x + sign * w * math.cos(a), y + sign * w * math.sin(a)
+            out.append((x, y, None))
+        if out and out[-1][2] is None:
+            out[-1] = (x, y, i)
+        else:
+            out.append((x, y, i))
+    for lo, hi, w in sorted((s for s in spans if s[1] == n - 1), key=lambda s: -s[0]):
+        a = math.pi * (lo + hi + 1) / n
+        x, y = x - w * math.cos(a), y - w * math.sin(a)
+        out.append((x, y, None))
+    return out

@@ -7,9 +7,11 @@ rows, and its shuffle carries one combined row per pair and state pair.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cladeworks.operators.numbering import numbered
+
 
 def site_patterns(chars: DataFrame, gap: str = "-") -> DataFrame:
     """``pattern ARRAY<STRING>`` (the states by taxon in order, ``gap`` where a taxon has none), ``taxa ARRAY<INT>``, ``w``."""
@@ -43,7 +45,7 @@ def taxa_filter(df: DataFrame, keep: DataFrame, *columns: str) -> DataFrame:
 def renumber(taxa: DataFrame, disabled: DataFrame) -> DataFrame:
     """Taxa without the ``disabled`` names, numbered from 1 in order: ``taxon, old, name``."""
     kept = taxa.join(disabled, "name", "left_anti")
-    return kept.select(F.row_number().over(Window.orderBy("taxon")).alias("taxon"), F.col("taxon").alias("old"), "name")
+    return numbered(kept.select("taxon", "name"), "taxon").select((F.col("no") + 1).cast("int").alias("taxon"), F.col("taxon").alias("old"), "name")
 
 
 def site_statistics(chars: DataFrame, ntax: Column | int, gap: str = "-") -> DataFrame:
@@ -122,6 +124,27 @@ def haplotypes(chars: DataFrame) -> DataFrame:
     return row.join(g, "h").select("taxon", "haplotype", "size")
 
 
+def haplotype_groups(chars: DataFrame, gap: str = "-") -> DataFrame:
+    """``taxon, haplotype, size``: taxa linked by pairs that differ at no site where both are observed, named by the smallest.
+
+    Unlike :func:`haplotypes` this joins sequences that are equal but for gaps and missing characters, through others too.
+    """
+    from cladeworks.operators.char_distances import hamming
+    from cladeworks.operators.components import components
+
+    same = hamming(pair_counts(chars, gap), gap=gap).filter("d = 0").select("t1", "t2")
+    linked = components(same, "t1", "t2").select(F.col("node").cast("int").alias("taxon"), F.col("component").cast("int").alias("haplotype"))
+    all_ = chars.select("taxon").distinct().join(linked, "taxon", "left").select("taxon", F.coalesce("haplotype", "taxon").alias("haplotype"))
+    return all_.join(all_.groupBy("haplotype").agg(F.count(F.lit(1)).alias("size")), "haplotype").select("taxon", "haplotype", "size")
+
+
+def haplotype_traits(groups: DataFrame, traits: DataFrame) -> DataFrame:
+    """``haplotype, trait, value``: sums of numeric traits (``taxon, trait, value``) over the taxa of each haplotype; other values count their taxa as ``trait=value``."""
+    number = F.expr("try_cast(value as double)")
+    x = traits.join(groups.select("taxon", "haplotype"), "taxon").select("haplotype", F.when(number.isNotNull(), F.col("trait")).otherwise(F.concat_ws("=", "trait", "value")).alias("trait"), F.coalesce(number, F.lit(1.0)).alias("v"))
+    return x.groupBy("haplotype", "trait").agg(F.sum("v").alias("value"))
+
+
 def phi_test(chars: DataFrame, window: int = 100, gap: str = "-", missing: str = "?") -> DataFrame:
     """One row ``informative, k, phi, mean, variance, p``: pairwise homoplasy index test for recombination.
 

@@ -301,3 +301,25 @@ def taxa_filter(nodes: DataFrame, edges: DataFrame, kept: DataFrame) -> tuple[Da
     gone = nodes.filter("label is not null").join(kept.select("label"), "label", "left_anti").select("id")
     e = edges.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti")
     return nodes.join(gone, "id", "left_anti"), e
+
+
+def outline(splits: DataFrame, cycle: list[int]) -> DataFrame:
+    """``step, x, y, taxon``: the corners of the outline of circular splits, in order; ``taxon`` where one sits, else null.
+
+    Walking around the cycle, a split's side is entered by a step of its weight in its direction and left by the step back.
+    """
+    n = len(cycle)
+    b, ids = bits(n), F.array(*map(F.lit, cycle))
+    head = b.has(F.col("mask"), F.lit(cycle[0]))
+    side = F.when(head, b.differ(b.full(), F.col("mask"))).otherwise(F.col("mask"))
+    at = F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: b.has(F.col("side"), ids[i]))
+    rows = splits.select(side.alias("side"), "weight").withColumn("at", at).filter(F.array_max("at") - F.array_min("at") + 1 == F.size("at"))
+    rows = rows.select(F.array_min("at").alias("lo"), F.array_max("at").alias("hi"), "weight")
+
+    def run(p):
+        from cladeworks.functions import layouts as L
+
+        steps = L.outline([(int(a), int(c), float(w)) for a, c, w in zip(p.lo, p.hi, p.weight)], n)
+        return pd.DataFrame({"step": range(len(steps)), "x": [s[0] for s in steps], "y": [s[1] for s in steps], "taxon": pd.array([None if s[2] is None else cycle[s[2]] for s in steps], "Int32")})
+
+    return grouped(rows, (), "step int, x double, y double, taxon int", run)

@@ -299,3 +299,37 @@ def triple_symmetry(clusters: DataFrame, ntax: int, alpha: float = 0.05, least:
     side = F.when(rest > 0, (F.abs(o[1] - rest / 2) - 0.5) / F.sqrt(rest / 4)).otherwise(0.0)
     enough = total >= least
     return g.select(F.col("s")[0].alias("a"), F.col("s")[1].alias("b"), F.col("s")[2].alias("c"), "n1", "n2", "n3", (enough & (top > one)).alias("resolved"), (enough & (side > two)).alias("asymmetric"))
+
+
+def sample_trees(clusters: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """``n`` of the trees (all, if there are fewer), those with the smallest hashes of number and seed."""
+    ids = clusters.select("tree_id").distinct().orderBy(F.xxhash64("tree_id", F.lit(seed)), "tree_id").limit(n)
+    return clusters.join(ids, "tree_id", "left_semi")
+
+
+def consensus_outline(clusters: DataFrame, ntax: int, threshold: float = 0.0, statistic: str = "mean") -> DataFrame:
+    """``mask, weight``: the consensus splits that share a cycle, taken by the number of trees that hold them, with the weights of the statistic."""
+    from cladeworks.operators.splits import greedy_circular
+
+    s = consensus_splits(clusters, ntax, threshold, statistic)
+    kept = greedy_circular(s.select("mask", F.col("n").cast("double").alias("weight")), ntax).select("mask")
+    return s.join(kept, "mask").select("mask", "weight")
+
+
+def triple_contraction(clusters: DataFrame, ntax: int, alpha: float = 0.05, least: int = 10) -> DataFrame:
+    """Trees without the inner edges that incomplete lineage sorting may explain.
+
+    An edge above a cluster is kept if some three taxa, two of them in the cluster and one beside it, are *resolved* by
+    :func:`triple_symmetry` with the two of the cluster as the pair; else it is contracted.
+    """
+    b = bits_in(clusters)
+    t = triple_symmetry(clusters, ntax, alpha, least).filter("resolved")
+    top = F.greatest("n1", "n2", "n3")
+    pair = F.when(F.col("n1") == top, F.array("a", "b", "c")).when(F.col("n2") == top, F.array("a", "c", "b")).otherwise(F.array("b", "c", "a"))
+    good = t.select(pair.alias("p")).select(F.col("p")[0].alias("x"), F.col("p")[1].alias("y"), F.col("p")[2].alias("z"))
+    inner = clusters.filter(b.size(F.col("mask")) > 1).select("mask").distinct()
+    x = inner.join(good, b.has(F.col("mask"), F.col("x")) & b.has(F.col("mask"), F.col("y")) & ~b.has(F.col("mask"), F.col("z")), "left_semi")
+    single = clusters.filter(b.size(F.col("mask")) == 1)
+    whole = clusters.filter(b.size(F.col("mask")) == ntax)
+    kept = clusters.filter(b.size(F.col("mask")).between(2, ntax - 1)).join(x, "mask", "left_semi")
+    return single.unionByName(whole).unionByName(kept).select("tree_id", "mask", "weight")

@@ -39,25 +39,30 @@ def register(name: str, run: Callable[..., DataFrame], *needs: tuple[str, ...])
     REGISTRY[name] = Operator(run, needs, doc)
 
 
-for _f in (characters.pair_counts, characters.site_patterns, characters.haplotypes, characters.tajima_d, characters.quartet_v_scores, characters.phi_test, characters.site_statistics, characters.characters_filter, char_distances.base_frequency, splits.dna_to_splits):
+for _f in (characters.pair_counts, characters.site_patterns, characters.haplotypes, characters.haplotype_groups, characters.tajima_d, characters.quartet_v_scores, characters.phi_test, characters.site_statistics, characters.characters_filter, char_distances.base_frequency, splits.dna_to_splits):
     register(_f.__name__, _f, CHARS)
 for _f in (char_distances.binary_counts, char_distances.hamming, char_distances.p_distance, char_distances.jukes_cantor, char_distances.kimura2, char_distances.felsenstein81, char_distances.felsenstein84, char_distances.tamura_nei93, char_distances.log_det, char_distances.hky85, char_distances.gtr):
     register(_f.__name__, _f, PAIRS)
 for _f in (char_distances.dice, char_distances.jaccard, char_distances.gene_sharing, char_distances.gene_content, char_distances.upholt, char_distances.nei_li):
     register(_f.__name__, _f, ("t1", "t2", "a", "b", "c"))
-for _f in (char_distances.repair, distances.delta_scores, distances.four_point_violations, distances.centred, distances.min_spanning_network, distances.min_spanning_tree, distances.upgma, distances.neighbor_joining, distances.neighbor_net, distances.neighbor_net_cycle, distances.split_decomposition, distances.buneman_tree, distances.pcoa):
+for _f in (char_distances.repair, distances.delta_scores, distances.four_point_violations, distances.centred, distances.min_spanning_network, distances.min_spanning_tree, distances.min_spanning_rooted, distances.tree_splits_of, distances.upgma, distances.neighbor_joining, distances.neighbor_net, distances.neighbor_net_cycle, distances.split_decomposition, distances.buneman_tree, distances.pcoa):
     register(_f.__name__, _f, DIST)
-for _f in (splits.weight_slider, splits.missing_trivial, splits.blob_filter, splits.incompatible_pairs, splits.splits_to_distances, splits.phylogenetic_diversity, splits.shapley_values, splits.cyclic, splits.classify, splits.greedy_compatible, splits.greedy_weakly_compatible, splits.greedy_circular, splits.dimension_filter, splits.incompatibility_score, splits.splits_taxa_filter, networks.cluster_tree):
+for _f in (splits.weight_slider, splits.missing_trivial, splits.blob_filter, splits.incompatible_pairs, splits.splits_to_distances, splits.phylogenetic_diversity, splits.shapley_values, splits.cyclic, splits.classify, splits.greedy_compatible, splits.greedy_weakly_compatible, splits.greedy_circular, splits.dimension_filter, splits.incompatibility_score, splits.splits_taxa_filter, splits.clique_compatible, splits.clique_circular, splits.closest_tree, splits.filtered, splits.splits_cycle, networks.cluster_tree, networks.cluster_network, networks.outline, networks.equal_angle):
     register(_f.__name__, _f, SPLITS)
 register("fits", splits.fits, SPLITS, DIST)
-for _f in (trees.tree_splits, trees.consensus_splits, trees.consensus_clusters, trees.robinson_foulds, trees.average_distances, trees.fair_proportions, trees.equal_splits, trees.tree_diversity, trees.unique_topologies, trees.tree_statistics, trees.trees_filter, trees.edges_filter, trees.tree_selector, trees.conflicts, trees.concordance_filter, trees.confidence_network, trees.transfer_support, trees.rooted_triples, trees.one_spr_pairs, trees.hasse_covers):
+for _f in (trees.tree_splits, trees.consensus_splits, trees.consensus_clusters, trees.robinson_foulds, trees.average_distances, trees.fair_proportions, trees.equal_splits, trees.tree_diversity, trees.unique_topologies, trees.tree_statistics, trees.trees_filter, trees.edges_filter, trees.tree_selector, trees.conflicts, trees.concordance_filter, trees.confidence_network, trees.transfer_support, trees.rooted_triples, trees.one_spr_pairs, trees.hasse_covers, trees.sample_trees, trees.consensus_outline, trees.triple_contraction):
     register(_f.__name__, _f, TREES[:2])
-for _f in (networks.lsa_trees, networks.blob_trees, networks.normalized, networks.contained_trees, networks.classes, networks.class_filter, networks.rerooted):
+for _f in (networks.lsa_trees, networks.blob_trees, networks.normalized, networks.contained_trees, networks.classes, networks.class_filter, networks.rerooted, networks.midpoint_rooted, networks.reordered, networks.tree_clusters):
     register(_f.__name__, _f, ("net_id", "parent", "child", "weight", "taxon"))
 register("mash_distances", sketches.mash_distances, ("genome", "seq"))
 register("sketch", sketches.sketch, ("genome", "seq"))
 register("bootstrap_draws", bootstrap.draws, ("site",))
 register("split_support", bootstrap.split_support, ("site", "mask"), ("rep", "site", "times"))
+for _f in (networks.stretch_filter, networks.simplify, distances.path_distances):
+    register(_f.__name__, _f, ("src", "dst", "weight"))
+register("check_distances", distances.check_distances, ("src", "dst", "weight"), DIST)
+register("loose_and_lacy", networks.loose_and_lacy, ("net_id", "parent", "child", "weight", "taxon"), ("taxon", "trait"))
+register("haplotype_traits", characters.haplotype_traits, ("taxon", "haplotype"), ("taxon", "trait", "value"))
 register("components", components.components, ("a", "b"))
 register("build_hierarchy", hierarchy.build_hierarchy, ("node", "parent"))
 register("find_cycles", hierarchy.find_cycles, ("node", "parent"))

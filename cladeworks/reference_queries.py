@@ -15,6 +15,7 @@ from cladeworks.operators import networks as W
 from cladeworks.operators import sketches as K
 from cladeworks.operators import splits as S
 from cladeworks.operators import trees as T
+from cladeworks.scratch import stage
 
 NTAX = 25
 QUERIES: dict = {}
@@ -546,6 +547,17 @@ def bootstrap_nj_support(spark, sf):
     return Z.tree_support(reps, own, REPS)
 
 
+@query("bootstrap_pipeline", f"SELECT CAST({REPS} AS BIGINT) AS replicates, CAST({NTAX} AS BIGINT) AS certain_trivial, true AS in_range")
+def bootstrap_pipeline(spark, sf):
+    """Jukes-Cantor distances and BioNJ trees of every replicate: all have the trivial splits, and supports are percentages."""
+    p = B.dna(spark, sf)
+    reps = stage(Z.bootstrap_pipeline(p, Z.draws(p.select("site").distinct(), REPS), D.jukes_cantor, M.tree_splits_of, method="bionj"), "replicates")
+    s = Z.bootstrap_tree_splits(reps, REPS)
+    n = F.bit_count("mask")
+    x = s.agg(F.sum(F.when(n.isin(1, NTAX - 1) & (F.col("n") == REPS), 1).otherwise(0)).cast("bigint").alias("certain_trivial"), (F.max("confidence") <= 100).alias("in_range"))
+    return x.withColumn("replicates", reps.agg(F.count_distinct("rep")).scalar()).select("replicates", "certain_trivial", "in_range")
+
+
 @query("trees_consensus_tree")
 def trees_consensus_tree(spark, sf):
     return W.cluster_tree(T.consensus_clusters(B.clusters(spark, sf)), NTAX)
@@ -584,6 +596,29 @@ def network_path_distances(spark, sf):
     return M.path_distances(d, list(range(1, 11)))
 
 
+_HIGH = """h AS (SELECT CAST(c_nationkey + 1 AS INTEGER) AS taxon, quarter(l_shipdate) || l_returnflag AS site, sum(l_quantity) AS s FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
+c AS (SELECT taxon, site, CASE WHEN s > avg(s) OVER (PARTITION BY site) THEN '1' ELSE '0' END AS ch FROM h)"""
+
+
+def _high(spark, sf):
+    """Two states: a nation's quantity in a quarter and return flag above the mean or not."""
+    site = F.concat(F.quarter("l_shipdate").cast("string"), F.col("l_returnflag")).alias("site")
+    q = B._by_customer_nation(spark, sf).groupBy("taxon", site).agg(F.sum("l_quantity").alias("s"))
+    return q.withColumn("m", F.avg("s").over(Window.partitionBy("site"))).select("taxon", "site", (F.col("s") > F.col("m")).cast("int").cast("string").alias("ch"))
+
+
+@query("char_haplotype_groups", f"""WITH RECURSIVE {_HIGH}, p AS (SELECT a.taxon AS x, b.taxon AS y FROM c a JOIN c b USING (site) WHERE a.taxon <> b.taxon GROUP BY ALL HAVING count(*) FILTER (a.ch <> b.ch) = 0),
+r AS (SELECT DISTINCT taxon AS origin, taxon AS node FROM c UNION SELECT origin, y FROM r JOIN p ON x = node), g AS (SELECT origin AS taxon, min(node) AS haplotype FROM r GROUP BY origin) SELECT taxon, haplotype, count(*) OVER (PARTITION BY haplotype) AS size FROM g""")
+def char_haplotype_groups(spark, sf):
+    return C.haplotype_groups(_high(spark, sf))
+
+
+query("trees_sample")(lambda spark, sf: T.sample_trees(B.clusters(spark, sf), 5))
+query("trees_consensus_outline")(lambda spark, sf: T.consensus_outline(B.clusters(spark, sf), NTAX))
+query("trees_triple_contraction")(lambda spark, sf: T.triple_contraction(B.clusters(spark, sf), NTAX))
+query("layout_outline")(lambda spark, sf: W.outline(M.neighbor_net(B.label_distances(spark, sf)), [r.taxon for r in M.neighbor_net_cycle(B.label_distances(spark, sf)).orderBy("position").collect()]))
+
+
 @query("network_median_joining")
 def network_median_joining(spark, sf):
     """Nations' presence in the order quarters of the whole period, as two-state sequences."""
