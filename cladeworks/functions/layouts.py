@@ -93,3 +93,25 @@ def outline(spans: list[tuple[int, int, float]], n: int) -> list[tuple[float, fl
         x, y = x - w * math.cos(a), y - w * math.sin(a)
         out.append((x, y, None))
     return out
+
+
+def triangular(edges) -> dict[int, tuple[float, float]]:
+    """Leaves at x = 0, one apart; an inner node above the middle of its leaves, to the left by half their span, so edges are straight and slanted."""
+    down: dict[int, list[int]] = {}
+    for p, c, *_ in edges:
+        down.setdefault(p, []).append(c)
+    top = next(iter(set(down) - {c for _, c, *_ in edges}))
+    span: dict[int, tuple[float, float]] = {}
+    order, stack, leaves = [], [top], 0
+    while stack:
+        v = stack.pop()
+        order.append(v)
+        stack += reversed(down.get(v, []))
+    for v in order:
+        if v not in down:
+            span[v] = (leaves, leaves)
+            leaves += 1
+    for v in reversed(order):
+        if v in down:
+            span[v] = (min(span[c][0] for c in down[v]), max(span[c][1] for c in down[v]))
+    return {v: (-(b - a) / 2, (a + b) / 2) for v, (a, b) in span.items()}

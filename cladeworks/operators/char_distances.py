@@ -108,18 +108,24 @@ def p_distance(pairs: DataFrame, **options) -> DataFrame:
     return hamming(pairs, normalize=True, **options)
 
 
-def expanded(pairs: DataFrame, states: str = BASES, ignore_ambiguity: bool = False) -> DataFrame:
-    """State pairs ``t1, t2, ca, cb, w`` over plain states, lower case. Gaps and unknown characters go.
+def expanded(pairs: DataFrame, states: str = BASES, ignore_ambiguity: bool = False, keep_gaps: bool = False) -> DataFrame:
+    """State pairs ``t1, t2, ca, cb, w`` over plain states, lower case. Gaps and unknown characters go, or with ``keep_gaps`` are ``-``.
 
     For nucleotides a code stands for each of its bases: two equal codes are spread over equal bases, two different ones
     over all combinations. ``ignore_ambiguity`` drops them instead.
     """
     low = pairs.select("t1", "t2", F.lower("ca").alias("ca"), F.lower("cb").alias("cb"), "w")
     if states != BASES:
+        if keep_gaps:
+            known = lambda c: F.when(F.col(c).isin(*states), F.col(c)).otherwise("-").alias(c)
+            return low.select("t1", "t2", known("ca"), known("cb"), "w")
         return low.filter(F.col("ca").isin(*states) & F.col("cb").isin(*states))
     codes = {k: v for k, v in CODES.items() if len(v) == 1 or not ignore_ambiguity}
     sets = F.create_map(*(x for k, v in codes.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
-    x = low.select("t1", "t2", sets[F.col("ca")].alias("a"), sets[F.col("cb")].alias("b"), "w").filter("a is not null and b is not null")
+    x = low.select("t1", "t2", sets[F.col("ca")].alias("a"), sets[F.col("cb")].alias("b"), "w")
+    if keep_gaps:
+        x = x.select("t1", "t2", *(F.coalesce(c, F.array(F.lit("-"))).alias(c) for c in "ab"), "w")
+    x = x.filter("a is not null and b is not null")
     cell = lambda p, q, n: F.struct(p.alias("ca"), q.alias("cb"), (F.col("w") / n).alias("w"))
     same = F.transform("a", lambda p: cell(p, p, F.size("a")))
     all_ = F.flatten(F.transform("a", lambda p: F.transform("b", lambda q: cell(p, q, F.size("a") * F.size("b")))))
@@ -181,32 +187,49 @@ def tamura_nei93(pairs: DataFrame) -> DataFrame:
     return _shares(pairs).select("t1", "t2", d.alias("d"))
 
 
-def log_det(pairs: DataFrame, states: str = BASES, pinv: float = 0.0) -> DataFrame:
-    """Log-determinant distance over the given states; the determinant is taken per pair in one vectorised pass."""
+def log_det(pairs: DataFrame, states: str = BASES, pinv: float = 0.0, fudge: bool = False, fill_zeros: bool = False) -> DataFrame:
+    """Log-determinant distance over the given states; the determinant is taken per pair in one vectorised pass.
+
+    ``fudge`` scales each count by 1 + (gaps beside the row's state) / (the state) + the same of the column, and then with
+    ``fill_zeros`` raises counts below a half to it where both states occur.
+    """
     import numpy as np
     import pandas as pd
 
     r = len(states)
-    cells = [(_w((F.col("ca") == x) & (F.col("cb") == y)) / F.sum("w")).alias(f"f{i}{j}") for i, x in enumerate(states) for j, y in enumerate(states)]
-    f = expanded(pairs, states).groupBy("t1", "t2").agg(F.array(*cells).alias("f"))
+    a, b = F.col("ca"), F.col("cb")
+    cells = [_w((a == x) & (b == y)) for x in states for y in states]
+    gaps = [_w((a == x) & (b == "-")) for x in states] + [_w((a == "-") & (b == x)) for x in states]
+    f = expanded(pairs, states, keep_gaps=True).groupBy("t1", "t2").agg(F.array(*cells).alias("f"), F.array(*gaps).alias("g"))
 
     def run(batches):
         for p in batches:
             if not len(p):
                 continue
-            m = np.stack(p.f.to_numpy()).reshape(-1, r, r)
-            x, y = m.sum(2), m.sum(1)
-            pi = (x + y) / 2
-            if 0 < pinv < 1:
-                m = m - pinv * pi[:, :, None] * np.eye(r)
-            ev = np.linalg.eigvals(m).real
-            ok = (ev > 0).all(1)
+            m = np.stack(p.f.to_numpy()).reshape(-1, r, r).astype(float)
+            if fudge:
+                g = np.stack(p.g.to_numpy()).astype(float)
+                x, y = m.sum(2), m.sum(1)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    row, col = np.where(x > 0, g[:, :r] / x, 0), np.where(y > 0, g[:, r:] / y, 0)
+                m = m * (1 + row[:, :, None] + col[:, None, :])
+                if fill_zeros:
+                    m = np.where((x > 0)[:, :, None] & (y > 0)[:, None, :] & (m < 0.5), 0.5, m)
+            total = m.sum((1, 2))
             with np.errstate(divide="ignore", invalid="ignore"):
+                m = np.where(total[:, None, None] > 0, m / total[:, None, None], 0)
+                x, y = m.sum(2), m.sum(1)
+                pi = (x + y) / 2
+                if 0 < pinv < 1:
+                    m = m - pinv * pi[:, :, None] * np.eye(r)
+                ev = np.linalg.eigvals(m).real
+                ok = (ev > 0).all(1) & (total > 0)
                 logs = np.where((x > 0) & (y > 0), np.log(x) + np.log(y), 0).sum(1) / 2
                 d = -(1 - (pi**2).sum(1)) / (r - 1) * (np.log(ev).sum(1) - logs)
             yield pd.DataFrame({"t1": p.t1, "t2": p.t2, "d": np.where(ok, d, np.nan)})
 
-    out = f.mapInPandas(run, "t1 int, t2 int, d double")
+    kind = dict(f.dtypes)["t1"]
+    out = f.mapInPandas(run, f"t1 {kind}, t2 {kind}, d double")
     return out.select("t1", "t2", F.when(~F.isnan("d"), F.col("d")).alias("d"))
 
 
@@ -284,7 +307,9 @@ def _per_pair(pairs: DataFrame, states: str, of) -> DataFrame:
             d = [of(np.asarray(f, float).reshape(r, r)) for f in p.f]
             yield pd.DataFrame({"t1": p.t1, "t2": p.t2, "d": np.array(d, float)})
 
-    out = _state_matrices(pairs, states).mapInPandas(run, "t1 int, t2 int, d double")
+    f = _state_matrices(pairs, states)
+    kind = dict(f.dtypes)["t1"]
+    out = f.mapInPandas(run, f"t1 {kind}, t2 {kind}, d double")
     return out.select("t1", "t2", F.when(~F.isnan("d"), F.col("d")).alias("d"))
 
 

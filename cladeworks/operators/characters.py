@@ -59,8 +59,8 @@ def site_statistics(chars: DataFrame, ntax: Column | int, gap: str = "-") -> Dat
     return s.select("site", states.cast("int").alias("states"), least.cast("bigint").alias("least"), gaps.alias("gaps"), (states == 1).alias("constant"), ((states == 2) & (least == 1)).alias("uninformative"))
 
 
-def characters_filter(chars: DataFrame, ntax, *, gap_sites=False, uninformative=False, constant=False, codon_positions: tuple[int, ...] = (), site_number: str | None = None, gap: str = "-") -> DataFrame:
-    """Without gap, parsimony-uninformative or constant sites, or the given codon positions (1, 2, 3) of a numeric site column.
+def characters_filter(chars: DataFrame, ntax, *, gap_sites=False, uninformative=False, constant=False, codon_positions: tuple[int, ...] = (), site_number: str | None = None, gap: str = "-", disabled: DataFrame | None = None) -> DataFrame:
+    """Without gap, parsimony-uninformative or constant sites, the given codon positions (1, 2, 3) of a numeric site column, or the sites of ``disabled``.
 
     Gap sites go whenever asked for (``gap_sites``), on its own or with the others.
     """
@@ -73,6 +73,8 @@ def characters_filter(chars: DataFrame, ntax, *, gap_sites=False, uninformative=
         out = out.join(s.filter(bad).select("site"), "site", "left_anti")
     if codon_positions:
         out = out.filter(~F.pmod(F.col(site_number or "site") - 1, F.lit(3)).isin([p - 1 for p in codon_positions]))
+    if disabled is not None:
+        out = out.join(disabled.select("site"), "site", "left_anti")
     return out
 
 

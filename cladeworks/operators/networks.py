@@ -54,7 +54,7 @@ def rerooted(trees: DataFrame, outgroup: set[int]) -> DataFrame:
 
 def midpoint_rooted(trees: DataFrame) -> DataFrame:
     """Trees rooted in the middle of their longest path between leaves."""
-    return _map(trees, lambda e, t: kernels.midpoint_root(e, sorted(t)))
+    return _map(trees, lambda e, t: N.smooth(kernels.midpoint_root(e, sorted(t)), set(t)))
 
 
 def reordered(trees: DataFrame, by: str = "taxon") -> DataFrame:
@@ -272,12 +272,13 @@ def parsimony_splits(rows: DataFrame, gap: str = "-", missing: str = "?", gaps_m
 
 
 def layouts(trees: DataFrame, kind: str = "rectangular", by_weight: bool = True) -> DataFrame:
-    """``net_id, node, x, y`` of each tree: rectangular, circular or radial."""
+    """``net_id, node, x, y`` of each tree: rectangular, circular, radial or triangular."""
     from cladeworks.functions import layouts as L
 
     def run(p):
         e, _ = _edges(p)
-        xy = L.radial(e) if kind == "radial" else {"rectangular": L.rectangular, "circular": L.circular}[kind](e, by_weight)
+        plain = {"radial": L.radial, "triangular": L.triangular}
+        xy = plain[kind](e) if kind in plain else {"rectangular": L.rectangular, "circular": L.circular}[kind](e, by_weight)
         return pd.DataFrame({"net_id": p.net_id.iloc[0], "node": list(xy), "x": [v[0] for v in xy.values()], "y": [v[1] for v in xy.values()]})
 
     return trees.groupBy("net_id").applyInPandas(run, "net_id int, node int, x double, y double")
@@ -323,3 +324,46 @@ def outline(splits: DataFrame, cycle: list[int]) -> DataFrame:
         return pd.DataFrame({"step": range(len(steps)), "x": [s[0] for s in steps], "y": [s[1] for s in steps], "taxon": pd.array([None if s[2] is None else cycle[s[2]] for s in steps], "Int32")})
 
     return grouped(rows, (), "step int, x double, y double, taxon int", run)
+
+
+def splits_tree(splits: DataFrame, ntax: int, group: tuple[str, ...] = (), midpoint: bool = True) -> DataFrame:
+    """The tree of the greedily compatible splits, rooted in the middle of its longest path (else beside taxon 1)."""
+    b = bits(ntax)
+
+    def run(p):
+        masks = [b.to_int(m) for m in p["mask"]]
+        kept = set(kernels.greedy_compatible(masks, p.weight.tolist(), ntax))
+        own = [(m, w) for m, w in zip(masks, p.weight.tolist()) if m in kept]
+        e = N.clusters_to_edges(own, ntax)
+        return _rows(1, N.smooth(kernels.midpoint_root(e, list(range(ntax))), set(range(ntax))) if midpoint else e, {i: i + 1 for i in range(ntax)})
+
+    return grouped(splits.select(*group, "mask", "weight"), group, EDGES, run)
+
+
+def consensus_tree(clusters: DataFrame, ntax: int, method: str = "majority") -> DataFrame:
+    """Strict, majority or greedy consensus of unrooted trees as one tree, rooted in the middle of its longest path."""
+    from cladeworks.operators.trees import consensus_splits
+
+    least = {"strict": 99.999999, "majority": 50.0, "greedy": 0.0}[method]
+    s = consensus_splits(clusters, ntax, least)
+    if method == "greedy":
+        from cladeworks.operators.splits import greedy_compatible
+
+        kept = greedy_compatible(s.select("mask", F.col("n").cast("double").alias("weight")), ntax).select("mask")
+        s = s.join(kept, "mask")
+    return splits_tree(s.select("mask", "weight"), ntax)
+
+
+def with_support(tree: DataFrame, support: DataFrame, ntax: int) -> DataFrame:
+    """The edges of a tree ``net_id, parent, child, weight, taxon`` with ``confidence``: that of the split an edge makes (``mask, confidence``), null where there is none."""
+    b = bits(ntax)
+
+    def run(p):
+        e, leaves = _edges(p)
+        below, full = N.below(e, leaves), (1 << ntax) - 1
+        out = _rows(p.net_id.iloc[0], e, leaves)
+        out["mask"] = [b.to_value(full ^ below[c] if below[c] & 1 else below[c]) for c in out.child]
+        return out
+
+    keyed = tree.groupBy("net_id").applyInPandas(run, EDGES + f", mask {b.ddl}")
+    return keyed.join(support.select("mask", "confidence"), "mask", "left").select("net_id", "parent", "child", "weight", "taxon", "confidence")

@@ -154,3 +154,15 @@ def lowest_common(matches: DataFrame, paths: DataFrame) -> DataFrame:
     g = x.groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.collect_list("path").alias("p"))
     same = F.filter(F.element_at("p", 1), lambda v: F.forall("p", lambda path: F.array_contains(path, v)))
     return g.select("query", "n", F.when(F.size(same) > 0, F.try_element_at(same, F.lit(-1))).alias("ancestor"))
+
+
+def sketch_lines(sketches: DataFrame) -> DataFrame:
+    """``value``: one line a genome, its name, a tab and its sorted digests (the first 16 digits of each), to be written as text."""
+    g = sketches.groupBy("genome").agg(F.array_join(F.array_sort(F.collect_set(F.substring("h", 1, 16))), ",").alias("s"))
+    return g.select(F.concat_ws("\t", "genome", "s").alias("value"))
+
+
+def read_sketches(spark, path: str) -> DataFrame:
+    """``genome, tokens ARRAY<STRING>`` of files of :func:`sketch_lines`."""
+    x = spark.read.text(path).select(F.split("value", "\t").alias("p"))
+    return x.select(F.col("p")[0].alias("genome"), hex_tokens(F.col("p")[1]).alias("tokens"))

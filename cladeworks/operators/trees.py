@@ -333,3 +333,15 @@ def triple_contraction(clusters: DataFrame, ntax: int, alpha: float = 0.05, leas
     whole = clusters.filter(b.size(F.col("mask")) == ntax)
     kept = clusters.filter(b.size(F.col("mask")).between(2, ntax - 1)).join(x, "mask", "left_semi")
     return single.unionByName(whole).unionByName(kept).select("tree_id", "mask", "weight")
+
+
+def selected_splits(clusters: DataFrame, ntax: int, which: int = 1) -> DataFrame:
+    """``mask, weight``: the splits of the tree of that number, or of the last one."""
+    return tree_splits(tree_selector(clusters, which), ntax).select("mask", "weight")
+
+
+def tree_shapley(clusters: DataFrame, ntax: int, which: int = 1) -> DataFrame:
+    """``taxon, value``: unrooted Shapley values of one tree."""
+    from cladeworks.operators.splits import shapley_values
+
+    return shapley_values(selected_splits(clusters, ntax, which), ntax)

@@ -613,6 +613,42 @@ def char_haplotype_groups(spark, sf):
     return C.haplotype_groups(_high(spark, sf))
 
 
+@query("trees_consensus_tree_majority", _TR + ", g AS (SELECT mask, avg(weight) AS weight FROM ts GROUP BY mask HAVING 2 * count(*) > (SELECT n FROM nt)) SELECT mask, round(weight, 6) AS weight FROM g")
+def trees_consensus_tree_majority(spark, sf):
+    """The majority consensus of the unrooted trees as a tree, and its splits."""
+    t = W.tree_clusters(W.consensus_tree(B.clusters(spark, sf), NTAX), NTAX)
+    return T.tree_splits(t, NTAX).select("mask", F.round("weight", 6).alias("weight"))
+
+
+@query("trees_support", _TR + f", g AS (SELECT mask, 100.0 * count(*) / max(n) AS confidence FROM ts, nt GROUP BY mask) SELECT count(*) AS n_leaves, min(confidence) AS least FROM g WHERE bit_count(mask) IN (1, {NTAX - 1})")
+def trees_support(spark, sf):
+    """Leaf edges of the majority tree with the confidence of their splits."""
+    c = B.clusters(spark, sf)
+    t = W.with_support(W.consensus_tree(c, NTAX), T.consensus_splits(c, NTAX, 0.0), NTAX)
+    return t.filter("taxon is not null").agg(F.count(F.lit(1)).alias("n_leaves"), F.min("confidence").alias("least"))
+
+
+@query("trees_selected_splits", _TR + " SELECT mask, round(weight, 6) AS weight FROM ts WHERE tree_id = 3")
+def trees_selected_splits(spark, sf):
+    return T.selected_splits(B.clusters(spark, sf), NTAX, 3).select("mask", F.round("weight", 6).alias("weight"))
+
+
+@query("trees_shapley", _TR + f", tx AS (SELECT unnest(generate_series(1, {NTAX}))::INTEGER AS t), z AS (SELECT t, weight, CAST(CASE WHEN (mask >> (t-1)) & 1 = 1 THEN bit_count(mask) ELSE {NTAX} - bit_count(mask) END AS DOUBLE) AS near FROM ts, tx WHERE tree_id = 3) SELECT t AS taxon, round(sum(({NTAX} - near) * weight / ({NTAX} * near)), 6) AS value FROM z GROUP BY t")
+def trees_shapley(spark, sf):
+    return T.tree_shapley(B.clusters(spark, sf), NTAX, 3).select(F.col("taxon").cast("int"), F.round("value", 6).alias("value"))
+
+
+@query("char_codon_filter", f"""WITH {B.DNA_SQL}, o AS (SELECT site, row_number() OVER (ORDER BY site) AS no FROM (SELECT DISTINCT site FROM b2)) SELECT taxon, site, ch FROM b2 JOIN o USING (site) WHERE no % 3 <> 0 AND site NOT LIKE '1992%'""")
+def char_codon_filter(spark, sf):
+    """Without every third site, and without a list of disabled ones."""
+    from cladeworks.operators.numbering import numbered
+
+    d = B.dna(spark, sf)
+    no = numbered(d.select("site").distinct(), "site").select("site", (F.col("no") + 1).alias("number"))
+    off = d.filter("site like '1992%'").select("site").distinct()
+    return C.characters_filter(d.join(no, "site"), NTAX, codon_positions=(3,), site_number="number", disabled=off).select("taxon", "site", "ch")
+
+
 query("trees_sample")(lambda spark, sf: T.sample_trees(B.clusters(spark, sf), 5))
 query("trees_consensus_outline")(lambda spark, sf: T.consensus_outline(B.clusters(spark, sf), NTAX))
 query("trees_triple_contraction")(lambda spark, sf: T.triple_contraction(B.clusters(spark, sf), NTAX))

@@ -284,6 +284,84 @@ def nexus_taxa(text: str) -> list[str]:
     return []
 
 
+def nexus_taxa_details(text: str) -> list[tuple[str, str | None, str | None]]:
+    """(label, info, display label) of each taxon; ``null`` stands for none."""
+    lists: dict[str, list[str]] = {}
+    for c in nexus_blocks(text).get("taxa", []):
+        lists[c[0].lower()] = [_plain(w) for w in c[1:-1]]
+    labels = lists.get("taxlabels", [])
+    at = lambda k, i: x if i < len(lists.get(k, [])) and (x := lists[k][i]) != "null" else None
+    return [(n, at("taxinfo", i), at("displaylabels", i)) for i, n in enumerate(labels)]
+
+
+def nexus_sites(text: str) -> list[tuple[int, float, str | None, list[str]]]:
+    """(site, weight, label, labels of states) of each site of a characters block."""
+    blocks = nexus_blocks(text)
+    n, weights, names, states = 0, [], {}, {}
+    for c in blocks.get("characters") or blocks.get("data") or []:
+        key, words = c[0].lower(), c[1:-1]
+        if key == "dimensions":
+            n = int(nexus_options(words).get("nchar", 0))
+        elif key == "charweights":
+            weights = [float(w) for w in words]
+        elif key == "charlabels":
+            names = {i: _plain(w) for i, w in enumerate(words, 1)}
+        elif key == "charstatelabels":
+            part: list[str] = []
+            for w in [*words, ","]:
+                if w != ",":
+                    part.append(w)
+                    continue
+                if part:
+                    cut = part.index("/") if "/" in part else len(part)
+                    site = int(part[0])
+                    if cut > 1:
+                        names[site] = _plain(part[1])
+                    states[site] = [_plain(x) for x in part[cut + 1 :]]
+                part = []
+    return [(i, weights[i - 1] if i <= len(weights) else 1.0, names.get(i), states.get(i, [])) for i in range(1, n + 1)]
+
+
+def nexus_split_properties(text: str) -> tuple[float | None, str | None, float | None, list[int]] | None:
+    """(fit, compatibility, threshold, cycle) of a splits block."""
+    block = nexus_blocks(text).get("splits")
+    if block is None:
+        return None
+    fit = kind = threshold = None
+    for c in block:
+        key, raw = c[0].lower(), " ".join(c[-1].split()).lower()
+        if key == "threshold":
+            threshold = float(c[2])
+        elif key == "properties":
+            if m := re.search(r"fit\s*=\s*([0-9.eE+-]+)", raw):
+                fit = float(m[1])
+            kind = next((k for k in ("incompatible", "weakly compatible", "compatible", "cyclic", "circular") if k in raw), None)
+    return fit, kind, threshold, nexus_splits(text)[1]
+
+
+def nexus_tree_properties(text: str) -> tuple[bool, bool, bool] | None:
+    """(partial, rooted, reticulated) of a trees block."""
+    block = nexus_blocks(text).get("trees")
+    if block is None:
+        return None
+    o: dict[str, str] = {}
+    for c in block:
+        if c[0].lower() == "properties":
+            o |= nexus_options(c[1:-1])
+    return tuple(o.get(k, "no").lower() in ("yes", "true") for k in ("partialtrees", "rooted", "reticulated"))
+
+
+def nexus_trait_details(text: str) -> list[tuple[str, float | None, float | None, str | None]]:
+    """(trait, latitude, longitude, colour)."""
+    lists: dict[str, list[str]] = {}
+    for c in nexus_blocks(text).get("traits", []):
+        # signs stand as words of their own only where quotes cut them off
+        lists[c[0].lower()] = [_plain(w) for w in c[1:-1]]
+    at = lambda k, i: lists[k][i] if i < len(lists.get(k, [])) and lists[k][i] else None
+    number = lambda x: None if x is None else float(x)
+    return [(t, number(at("traitlatitude", i)), number(at("traitlongitude", i)), at("traitcolor", i)) for i, t in enumerate(lists.get("traitlabels", []))]
+
+
 def nexus_characters(text: str) -> tuple[list[tuple[str, str]], dict[str, str]]:
     blocks = nexus_blocks(text)
     taxa = nexus_taxa(text)

@@ -101,7 +101,28 @@ def splits(spark: SparkSession, path: str) -> DataFrame:
 
 
 def taxa(spark: SparkSession, path: str) -> DataFrame:
-    return _per_file(spark, path, "taxon int, name string", lambda t: [(i + 1, n) for i, n in enumerate(P.nexus_taxa(t))])
+    """``path, taxon, name, info, display_label`` of Nexus taxa blocks."""
+    return _per_file(spark, path, "taxon int, name string, info string, display_label string", lambda t: [(i + 1, *d) for i, d in enumerate(P.nexus_taxa_details(t))])
+
+
+def sites(spark: SparkSession, path: str) -> DataFrame:
+    """``path, site, w, label, states ARRAY<STRING>`` of Nexus characters blocks: weights and labels of sites."""
+    return _per_file(spark, path, "site int, w double, label string, states array<string>", P.nexus_sites)
+
+
+def split_properties(spark: SparkSession, path: str) -> DataFrame:
+    """``path, fit, compatibility, threshold, cycle ARRAY<INT>``."""
+    return _per_file(spark, path, "fit double, compatibility string, threshold double, cycle array<int>", lambda t: [p] if (p := P.nexus_split_properties(t)) else [])
+
+
+def tree_properties(spark: SparkSession, path: str) -> DataFrame:
+    """``path, partial, rooted, reticulated``."""
+    return _per_file(spark, path, "partial boolean, rooted boolean, reticulated boolean", lambda t: [p] if (p := P.nexus_tree_properties(t)) else [])
+
+
+def trait_details(spark: SparkSession, path: str) -> DataFrame:
+    """``path, trait, latitude, longitude, color``."""
+    return _per_file(spark, path, "trait string, latitude double, longitude double, color string", P.nexus_trait_details)
 
 
 def traits(spark: SparkSession, path: str) -> DataFrame:

@@ -95,13 +95,17 @@ def splits_fasta(splits: DataFrame, names: list[str]) -> DataFrame:
     return x.select(F.concat(F.lit(">"), F.element_at(F.array(*map(F.lit, names)), F.col("i") + 1), F.lit("\n"), "seq").alias("value"))
 
 
-def nexus_splits(splits: DataFrame, names: list[str]) -> DataFrame:
+def nexus_splits(splits: DataFrame, names: list[str], cycle: list[int] | None = None, fit: float | None = None, compatibility: str | None = None) -> DataFrame:
+    """A splits block of ``mask, weight``, with properties and cycle where they are given."""
+    head = f"PROPERTIES{'' if fit is None else f' FIT={fit:.10g}'}{'' if compatibility is None else f' {compatibility}'};\n" if fit is not None or compatibility else ""
+    head += f"CYCLE {' '.join(map(str, cycle))};\n" if cycle else ""
+
     def make(p):
         rows = []
         for k, (m, w) in enumerate(sorted(zip(map(bits(len(names)).to_int, p["mask"]), p.weight.tolist())), 1):
             side = [i + 1 for i in range(len(names)) if m >> i & 1]
             rows.append(f"[{k}, size={len(side)}]\t{w:.10g}\t{' '.join(map(str, side))},")
-        return f"#NEXUS\nBEGIN TAXA;\nDIMENSIONS NTAX={len(names)};\nTAXLABELS {' '.join(map(_quoted, names))};\nEND;\nBEGIN SPLITS;\nDIMENSIONS NTAX={len(names)} NSPLITS={len(rows)};\nMATRIX\n" + "\n".join(rows) + "\n;\nEND;\n"
+        return f"#NEXUS\nBEGIN TAXA;\nDIMENSIONS NTAX={len(names)};\nTAXLABELS {' '.join(map(_quoted, names))};\nEND;\nBEGIN SPLITS;\nDIMENSIONS NTAX={len(names)} NSPLITS={len(rows)};\n{head}MATRIX\n" + "\n".join(rows) + "\n;\nEND;\n"
 
     return _one(splits.select("mask", "weight"), make)
 
@@ -160,7 +164,32 @@ def _taxa_block(names) -> str:
 
 
 def nexus_taxa(taxa: DataFrame) -> DataFrame:
-    return _one(taxa.select("taxon", F.col("name").alias("name_")), lambda p: "#NEXUS\n" + _taxa_block(p.sort_values("taxon").name_.tolist()))
+    """A taxa block of ``taxon, name`` and, where they are columns, ``info`` and ``display_label``."""
+    more = [c for c in ("info", "display_label") if c in taxa.columns]
+
+    def make(p):
+        p = p.sort_values("taxon")
+        text = "#NEXUS\n" + _taxa_block(p.name_.tolist())
+        for c, word in (("info", "TAXINFO"), ("display_label", "DISPLAYLABELS")):
+            if c in more:
+                text = text[: -len("END;\n")] + f"{word} {' '.join(_text(x) for x in p[c])};\nEND;\n"
+        return text
+
+    return _one(taxa.select("taxon", F.col("name").alias("name_"), *more), make)
+
+
+def _text(x) -> str:
+    return "'" + x.replace("'", "''") + "'" if isinstance(x, str) else "null"
+
+
+def plain_report(lines: DataFrame) -> DataFrame:
+    """``value``: the text of ``line_no, line`` in order, one row a line."""
+    return lines.orderBy("line_no").select(F.col("line").alias("value"))
+
+
+def nexus_report(lines: DataFrame) -> DataFrame:
+    """A report block of ``line_no, line``."""
+    return _one(lines.select("line_no", "line"), lambda p: "#NEXUS\nBEGIN REPORT;\nTEXT\n" + "\n".join(p.sort_values("line_no").line) + "\n;\nEND;\n")
 
 
 def nexus_trees(trees: DataFrame, rooted: bool = True) -> DataFrame:

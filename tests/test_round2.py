@@ -144,3 +144,64 @@ def test_cli(spark, tmp_path):
     spec.write_text(json.dumps([{"name": "p", "op": "pair_counts", "from": ["c"]}, {"name": "d", "op": "p_distance", "from": ["p"]}, {"name": "t", "op": "upgma", "from": ["d"]}]))
     cli.main([str(spec), "--sequences", f"c={fa}", "--export", f"t={tmp_path}/out", "--export", f"d={tmp_path}/csv", "--format", "csv", "--methods"], spark)
     assert spark.read.csv(f"{tmp_path}/csv", header=True).count() == 3 and spark.read.csv(f"{tmp_path}/out", header=True).count() == 4
+
+
+def test_log_det_options(spark):
+    p = C.pair_counts(chars(spark, {1: "acgtacgtacg-", 2: "acgtacttac?a"}))
+    plain, fudged = (D.log_det(p, fudge=f).collect()[0].d for f in (False, True))
+    import numpy as np
+
+    m = np.diag([3.0, 3.0, 1.0, 2.0])
+    m[2, 3] = 1
+
+    def ld(f):
+        f = f / f.sum()
+        x, y = f.sum(1), f.sum(0)
+        return -(1 - (((x + y) / 2) ** 2).sum()) / 3 * (np.log(np.linalg.eigvals(f).real).sum() - (np.log(x) + np.log(y)).sum() / 2)
+
+    assert math.isclose(plain, ld(m), abs_tol=1e-9)
+    row, col = np.array([0, 0, 1 / 2, 0]), np.array([1 / 3, 0, 0, 0])
+    assert math.isclose(fudged, ld(m * (1 + row[:, None] + col[None, :])), abs_tol=1e-9)
+    filled = m * (1 + row[:, None] + col[None, :])
+    filled[filled < 0.5] = 0.5
+    assert math.isclose(D.log_det(p, fudge=True, fill_zeros=True).collect()[0].d, ld(filled), abs_tol=1e-9)
+
+
+def test_block_details():
+    text = (
+        "#NEXUS\nBEGIN TAXA;\nDIMENSIONS NTAX=2;\nTAXLABELS a 'b c';\nTAXINFO 'first one' null;\nDISPLAYLABELS null '<i>b</i>';\nEND;\n"
+        "BEGIN CHARACTERS;\nDIMENSIONS NCHAR=3;\nCHARWEIGHTS 1 2.5 1;\nCHARSTATELABELS 1 eye / red blue, 3 leg;\nMATRIX\na 010\n'b c' 111\n;\nEND;\n"
+        "BEGIN SPLITS;\nPROPERTIES FIT=98.5 circular;\nCYCLE 1 2;\nMATRIX\n[1, size=1]\t1.0\t2,\n;\nEND;\n"
+        "BEGIN TREES;\nPROPERTIES partialTrees=yes rooted=no;\nTREE t = (a,b);\nEND;\n"
+        "BEGIN TRAITS;\nDIMENSIONS NTRAITS=2;\nTRAITLATITUDE 53 43.7;\nTRAITLONGITUDE 16 -5;\nTRAITCOLOR red '';\nTRAITLABELS x y;\nMATRIX\na 1 2\n;\nEND;\n"
+    )
+    assert P.nexus_taxa_details(text) == [("a", "first one", None), ("b c", None, "<i>b</i>")]
+    assert P.nexus_sites(text) == [(1, 1.0, "eye", ["red", "blue"]), (2, 2.5, None, []), (3, 1.0, "leg", [])]
+    assert P.nexus_split_properties(text) == (98.5, "circular", None, [1, 2]) and P.nexus_tree_properties(text) == (True, False, False)
+    assert P.nexus_trait_details(text) == [("x", 53.0, 16.0, "red"), ("y", 43.7, -5.0, None)]
+    assert P.nexus_split_properties("#NEXUS\n") is None
+
+
+def test_trees_of_splits_and_support(spark):
+    base = [[t] for t in range(1, 6)]
+    df = trees(spark, {i: base + [[2, 3], [2, 3, 4]] for i in (1, 2, 3)} | {4: base + [[3, 4], [3, 4, 5]]})
+    for method, n in (("strict", 0), ("majority", 2), ("greedy", 2)):
+        t = W.consensus_tree(df, 5, method)
+        got = {r["mask"] for r in T.tree_splits(W.tree_clusters(t, 5), 5).collect()} - {2, 4, 8, 16, 30}
+        assert len(got) == n and got <= {6, 14}
+    support = T.consensus_splits(df, 5, 0.0).select("mask", "confidence")
+    rows = W.with_support(W.consensus_tree(df, 5), support, 5).collect()
+    assert {r.confidence for r in rows if r.taxon} == {100.0} and 75.0 in {r.confidence for r in rows}
+    assert {r["mask"] for r in T.selected_splits(df, 5, 4).collect()} >= {12, 28} and T.tree_shapley(df, 5).count() == 5
+    xy = {r.node: (r.x, r.y) for r in W.layouts(W.consensus_tree(df, 5), "triangular").collect()}
+    assert sum(x == 0 for x, _ in xy.values()) == 5
+
+
+def test_sketch_files(spark, tmp_path):
+    from cladeworks.operators import sketches as K
+
+    seqs = spark.createDataFrame([("g1", "acgtacgtaacc"), ("g2", "acgtacgtttgg"), ("g2", None)], "genome string, seq string")
+    s = K.sketch(seqs, 5, 4)
+    K.sketch_lines(s).write.text(f"{tmp_path}/s")
+    back = {r.genome: r.tokens for r in K.read_sketches(spark, f"{tmp_path}/s").collect()}
+    assert back == {g: sorted(r.h[:16] for r in s.collect() if r.genome == g) for g in ("g1", "g2")} and len(back["g1"]) == 4
