@@ -9,9 +9,9 @@ new one, so a path meets at most log2(n) chains. Paths are chain prefixes plus a
 numbers follow the chains, so the descendants of a node are the numbers from ``first`` to ``last`` under its root.
 
 Scale. All steps are joins and map-side combined aggregates on node ids. A round first combines its climbers by ancestor. If
-there are few different ancestors, which the row count of that table tells, they are broadcast with what is known of them,
-so a parent with a third of all nodes is no hot join key and the climbers are not shuffled; if there are many, both sides
-are joined by key and adaptive skew joins split what is hot. Children of a hot parent are numbered in blocks of ids, never
+there are few different ancestors (by the row count of that table, or as there are few climbers), they are broadcast with
+what is known of them, so a parent with a third of all nodes is no hot join key and the climbers are not shuffled; if there
+are many, both sides are joined by key and adaptive skew joins split what is hot. Children of a hot parent are numbered in blocks of ids, never
 in one window. Nothing is collected. Each round is written to the shared folder, and its rows are counted while they are
 written. A chain is held as one array; it is no longer than the longest path, which is an array of the result.
 
@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cladeworks.scratch import marked, stage, stage_counted
+from cladeworks.scratch import SMALL, marked, stage, stage_counted
 
 #: 2^ID_BITS ids are numbered together when the light children of one parent get their offsets.
 ID_BITS = 12
@@ -60,17 +60,16 @@ class Climb:
     step: int
 
 
-def climb(links: DataFrame, settle: bool = True) -> Climb:
-    """Climbs from every node, ``links``: ``node, parent``. Without ``settle`` nodes that reach a root just drop out."""
+def climb(links: DataFrame, n: int, settle: bool = True) -> Climb:
+    """Climbs from every node, ``links``: ``node, parent`` with ``n`` rows. Without ``settle`` nodes that reach a root just drop out."""
     one, none = F.lit(1).cast("bigint"), F.lit(None).cast("bigint")
     done = links.filter("parent is null").select("node", F.col("node").alias("root"), F.lit(0).alias("depth"))
     now = links.filter("parent is not null").select("node", F.col("parent").alias("anc"), F.col("node").alias("low"), one.alias("held"))
-    parts, step, left, n = [links.select("node", one.alias("size"))], 1, -1, 0
+    parts, step, left = [links.select("node", one.alias("size"))], 1, -1
     while True:
-        below, ancestors = stage_counted(now.groupBy("anc").agg(F.sum("held").alias("size")), "below")
-        if not ancestors:
-            n = 0
-            break
+        below, ancestors = now.groupBy("anc").agg(F.sum("held").alias("size")), n
+        if n > SMALL:  # so many climbers may have few ancestors: count these
+            below, ancestors = stage_counted(below, "below")
         parts.append(below.select(F.col("anc").alias("node"), "size"))
         state = now.select(F.col("node").alias("anc"), none.alias("root"), F.lit(None).cast("int").alias("depth"), F.col("anc").alias("up"), F.col("low").alias("up_low"))
         if settle:
@@ -85,7 +84,7 @@ def climb(links: DataFrame, settle: bool = True) -> Climb:
             done = done.unionByName(table.filter("root is not null").select("node", "root", "depth"))
         now = table.filter("root is null").select("node", F.col("up").alias("anc"), "low", "held")
         step *= 2
-        if n == left:  # nobody was settled by the round before, or dropped out in this one
+        if n in (0, left):  # none is left, or nobody was settled by the round before, or dropped out in this one
             break
         left = n
     now = now.select("node", "anc", "low")
@@ -125,7 +124,7 @@ def loops(climbed: Climb) -> DataFrame:
 
 def find_cycles(links: DataFrame) -> DataFrame:
     """The cycle separation of :func:`build_hierarchy`: ``cycle_id, node`` of every node on a loop. ``links``: ``node, parent``."""
-    return loops(climb(stage(known_parents(links), "links"), settle=False))
+    return loops(climb(*stage_counted(known_parents(links), "links"), settle=False))
 
 
 def _sibling_offsets(light: DataFrame) -> DataFrame:
@@ -145,8 +144,8 @@ def build_hierarchy(links: DataFrame) -> DataFrame:
     ``path`` runs from the root to the node; ``first``..``last`` number the subtree in preorder under its root (heavy child
     first, other children by id). Nodes on or below loops are left out: see :func:`find_cycles`.
     """
-    links = stage(known_parents(links), "links")
-    sized = stage(links.join(climb(links).settled, "node"), "sized")
+    links, n = stage_counted(known_parents(links), "links")
+    sized = stage(links.join(climb(links, n).settled, "node"), "sized")
 
     best = F.max(F.struct("size", (-F.col("node")).alias("neg")))
     heavy = sized.filter("parent is not null").groupBy("parent").agg(best.alias("h")).select(F.col("parent").alias("p"), (-F.col("h.neg")).alias("heavy"), F.col("h.size").alias("heavy_size"))
@@ -160,18 +159,22 @@ def build_hierarchy(links: DataFrame) -> DataFrame:
     offsets = _sibling_offsets(nodes.filter("light").select("node", "parent", "size"))
     hook = nodes.select(F.col("node").alias("parent"), F.col("chain").alias("up"), F.col("position").alias("up_position"))
     heads = nodes.filter("light").select("node", "parent", "heavy_size").join(offsets, "node").join(hook, "parent")
-    heads = stage(heads.select(F.col("node").alias("chain"), "up", "up_position", (F.col("up_position") + 1 + F.col("heavy_size") + F.col("offset")).alias("shift")), "heads")
     members = stage(members, "members")
+    heads = heads.select(F.col("node").alias("chain"), "up", "up_position", (F.col("up_position") + 1 + F.col("heavy_size") + F.col("offset")).alias("start"))
+    heads = heads.join(members.withColumnRenamed("chain", "up"), "up").select("chain", "up", F.slice("members", 1, F.col("up_position") + 1).alias("prefix"), "start")
 
-    level = nodes.filter("parent is null").select(F.col("node").alias("chain"), F.array().cast("array<bigint>").alias("prefix"), F.lit(0).cast("bigint").alias("start"))
-    found = level = stage(level, "level")
+    # a chain's prefix and start, by the chains at distance 1, 2, 4, ... above it
+    found = nodes.filter("parent is null").select(F.col("node").alias("chain"), F.array().cast("array<bigint>").alias("prefix"), F.lit(0).cast("bigint").alias("start"))
+    found, now = stage(found, "roots"), stage(heads, "heads")
     while True:
-        above = level.join(members, "chain").select(F.col("chain").alias("up"), "prefix", "start", "members")
-        step = heads.join(above, "up").select("chain", F.concat("prefix", F.slice("members", 1, F.col("up_position") + 1)).alias("prefix"), (F.col("start") + F.col("shift")).alias("start"))
-        level, n = stage_counted(step, "level")
+        above = found.select(F.col("chain").alias("up"), F.lit(None).cast("bigint").alias("next"), F.col("prefix").alias("upper"), F.col("start").alias("before"))
+        above = above.unionByName(now.select(F.col("chain").alias("up"), F.col("up").alias("next"), F.col("prefix").alias("upper"), F.col("start").alias("before")))
+        step = now.join(above, "up").select("chain", F.col("next").alias("up"), F.concat("upper", "prefix").alias("prefix"), (F.col("before") + F.col("start")).alias("start"))
+        table, n = stage_counted(step, "chains")
         if not n:
             break
-        found = found.unionByName(level)
+        found = found.unionByName(table.filter("up is null").select("chain", "prefix", "start"))
+        now = table.filter("up is not null")
 
     whole = nodes.join(found.join(members, "chain"), "chain")
     first = F.col("start") + F.col("position")
