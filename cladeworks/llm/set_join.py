@@ -38,6 +38,8 @@ from cladeworks.scratch import stage, unstage
 
 #: Share of all entries from which a value is heavy, as 1 / HEAVY: there are at most HEAVY such values.
 HEAVY = 20000
+#: Entries of a list up to which they are counted; longer ones take one place in the order from rare to frequent.
+FULL = 1_000_000
 #: Entries of a short list from which it is cut into blocks.
 LONG = 2000
 
@@ -169,7 +171,10 @@ def _records(classes: DataFrame, heavy: np.ndarray, t: float) -> DataFrame:
     entries = classes.select("cid", "tokens").mapInArrow(explode, "token bigint, cid bigint, n int, hot binary")
 
     def count(batches):
-        for x, _ in whole_runs(batches, "token"):
+        for x, long in whole_runs(batches, "token", FULL):
+            if long:  # not held: all lists beyond FULL rank alike, then by value
+                yield pa.RecordBatch.from_arrays([pa.array(column(x, "cid")), pa.array(np.full(x.num_rows, FULL, np.int32)), pa.array(column(x, "token"))], ["cid", "df", "token"])
+                continue
             b = bounds(column(x, "token"))
             size = np.diff(b)
             df = np.repeat(size, size)

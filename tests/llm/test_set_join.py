@@ -38,6 +38,7 @@ def test_against_brute_force(spark):
 
 def test_long_lists_and_heavy_values(spark, monkeypatch):
     monkeypatch.setattr(J, "LONG", 3)
+    monkeypatch.setattr(J, "FULL", 5)
     monkeypatch.setattr(J, "HEAVY", 20)
     sets = random_sets(random.Random(5), 80)
     assert pairs(spark, rows_of(sets), 0.5) == brute(sets, 0.5)
