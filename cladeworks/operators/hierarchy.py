@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cladeworks.scratch import SMALL, marked, stage, stage_counted
+from cladeworks.scratch import SMALL, marked, stage, stage_counted, together
 
 #: 2^ID_BITS ids are numbered together when the light children of one parent get their offsets.
 ID_BITS = 12
@@ -63,25 +63,24 @@ class Climb:
 def climb(links: DataFrame, n: int, settle: bool = True) -> Climb:
     """Climbs from every node, ``links``: ``node, parent`` with ``n`` rows. Without ``settle`` nodes that reach a root just drop out."""
     one, none = F.lit(1).cast("bigint"), F.lit(None).cast("bigint")
-    done = links.filter("parent is null").select("node", F.col("node").alias("root"), F.lit(0).alias("depth"))
+    roots = links.filter("parent is null").select("node", F.col("node").alias("root"), F.lit(0).alias("depth"))
     now = links.filter("parent is not null").select("node", F.col("parent").alias("anc"), F.col("node").alias("low"), one.alias("held"))
-    parts, step, left = [links.select("node", one.alias("size"))], 1, -1
+    tables, step, left = [], 1, -1
+    settled = lambda: roots.unionByName(together(tables).filter("root is not null").select("node", "root", "depth")) if tables else roots
     while True:
         below, ancestors = now.groupBy("anc").agg(F.sum("held").alias("size")), n
         if n > SMALL:  # so many climbers may have few ancestors: count these
             below, ancestors = stage_counted(below, "below")
-        parts.append(below.select(F.col("anc").alias("node"), "size"))
         state = now.select(F.col("node").alias("anc"), none.alias("root"), F.lit(None).cast("int").alias("depth"), F.col("anc").alias("up"), F.col("low").alias("up_low"))
         if settle:
-            state = state.unionByName(done.select(F.col("node").alias("anc"), "root", "depth", none.alias("up"), none.alias("up_low")))
+            state = state.unionByName(settled().select(F.col("node").alias("anc"), "root", "depth", none.alias("up"), none.alias("up_low")))
         known = marked(state.join(marked(below.select("anc"), ancestors), "anc"), ancestors)
         x = now.join(known, "anc").select("node", "held", "root", (F.col("depth") + step).alias("depth"), "up", F.least("low", "up_low").alias("low"))
         if settle:
             more = marked(below.select(F.col("anc").alias("node"), F.col("size").alias("more")), ancestors)
             x = x.join(more, "node", "left").withColumn("held", F.col("held") + F.coalesce("more", F.lit(0))).drop("more")
         table, n = stage_counted(x, "climb")
-        if settle:
-            done = done.unionByName(table.filter("root is not null").select("node", "root", "depth"))
+        tables.append(table)
         now = table.filter("root is null").select("node", F.col("up").alias("anc"), "low", "held")
         step *= 2
         if n in (0, left):  # none is left, or nobody was settled by the round before, or dropped out in this one
@@ -90,10 +89,9 @@ def climb(links: DataFrame, n: int, settle: bool = True) -> Climb:
     now = now.select("node", "anc", "low")
     if not settle:
         return Climb(None, now, n, step)
-    size = parts[0]
-    for p in parts[1:]:
-        size = size.unionByName(p)
-    return Climb(done.join(size.groupBy("node").agg(F.sum("size").alias("size")), "node"), now, n, step)
+    size = links.select("node", one.alias("size")).unionByName(links.filter("parent is not null").select(F.col("parent").alias("node"), one.alias("size")))
+    size = size.unionByName(together(tables).filter("root is null").select(F.col("up").alias("node"), F.col("held").alias("size")))
+    return Climb(settled().join(size.groupBy("node").agg(F.sum("size").alias("size")), "node"), now, n, step)
 
 
 def chain_heads(along: DataFrame) -> DataFrame:
@@ -101,15 +99,16 @@ def chain_heads(along: DataFrame) -> DataFrame:
 
     A node continues at most one chain, so an ancestor has one climber at each distance and no key is hot.
     """
-    none, start = F.lit(None).cast("bigint"), F.lit(0)
-    done = along.filter("parent is null").select("node", F.col("node").alias("chain"), start.alias("position"))
-    now, step = along.filter("parent is not null").select("node", F.col("parent").alias("anc")), 1
+    none = F.lit(None).cast("bigint")
+    heads = along.filter("parent is null").select("node", F.col("node").alias("chain"), F.lit(0).alias("position"))
+    now, step, tables = along.filter("parent is not null").select("node", F.col("parent").alias("anc")), 1, []
     while True:
+        done = heads.unionByName(together(tables).filter("chain is not null").select("node", "chain", "position")) if tables else heads
         state = done.select(F.col("node").alias("anc"), "chain", "position", none.alias("up")).unionByName(now.select(F.col("node").alias("anc"), none.alias("chain"), F.lit(None).cast("int").alias("position"), F.col("anc").alias("up")))
         table, n = stage_counted(now.join(state, "anc").select("node", "chain", (F.col("position") + step).alias("position"), "up"), "chains")
-        done = done.unionByName(table.filter("chain is not null").select("node", "chain", "position"))
         if not n:
             return done
+        tables.append(table)
         now, step = table.filter("chain is null").select("node", F.col("up").alias("anc")), step * 2
 
 
@@ -165,7 +164,8 @@ def build_hierarchy(links: DataFrame) -> DataFrame:
 
     # a chain's prefix and start, by the chains at distance 1, 2, 4, ... above it
     found = nodes.filter("parent is null").select(F.col("node").alias("chain"), F.array().cast("array<bigint>").alias("prefix"), F.lit(0).cast("bigint").alias("start"))
-    found, now = stage(found, "roots"), stage(heads, "heads")
+    found, now, tables = stage(found, "roots"), stage(heads, "heads"), []
+    roots = found
     while True:
         above = found.select(F.col("chain").alias("up"), F.lit(None).cast("bigint").alias("next"), F.col("prefix").alias("upper"), F.col("start").alias("before"))
         above = above.unionByName(now.select(F.col("chain").alias("up"), F.col("up").alias("next"), F.col("prefix").alias("upper"), F.col("start").alias("before")))
@@ -173,7 +173,8 @@ def build_hierarchy(links: DataFrame) -> DataFrame:
         table, n = stage_counted(step, "chains")
         if not n:
             break
-        found = found.unionByName(table.filter("up is null").select("chain", "prefix", "start"))
+        tables.append(table)
+        found = roots.unionByName(together(tables).filter("up is null").select("chain", "prefix", "start"))
         now = table.filter("up is not null")
 
     whole = nodes.join(found.join(members, "chain"), "chain")

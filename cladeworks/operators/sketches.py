@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import heapq
 
 import numpy as np
 import pyarrow as pa
@@ -28,20 +27,31 @@ def sketch(seqs: DataFrame, k: int = 15, s: int = 1000) -> DataFrame:
     """
 
     def smallest(batches):
-        kept: dict[str, list[str]] = {}
+        kept: dict[str, np.ndarray] = {}  # digests as rows of two big-endian halves, sorted
         for b in batches:
-            rows: dict[str, list[str]] = {}
-            for genome, seq in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                rows.setdefault(genome, []).append(seq)
-            for genome, texts in rows.items():
-                # equal runs are told by a 64-bit hash first, so each is digested once a batch
-                joined, start, h = windows(texts, k)
-                _, first = np.unique(h, return_index=True)
-                mine = kept.get(genome, [])
-                top = mine[-1] if len(mine) >= s else "g"
-                new = {d for i in start[first].tolist() if (d := hashlib.md5(joined[i : i + k].encode("utf-8", "surrogatepass")).hexdigest()) < top}
-                kept[genome] = heapq.nsmallest(s, new.union(mine))
-        for genome, out in kept.items():
+            if not b.num_rows:
+                continue
+            texts = b.column(1).to_pylist()
+            code = b.column(0).dictionary_encode()
+            names, of_row = code.dictionary.to_pylist(), code.indices.to_numpy()
+            # equal runs are told by a 64-bit hash first, so each is digested once a batch
+            joined, start, h = windows(texts, k)
+            _, first, run = np.unique(h, return_index=True, return_inverse=True)
+            raw = b"".join([hashlib.md5(joined[i : i + k].encode("utf-8", "surrogatepass")).digest() for i in start[first].tolist()])
+            digest = np.frombuffer(raw, ">u8").reshape(-1, 2).astype(np.uint64)
+            rank = np.empty(len(digest), np.int64)
+            rank[np.lexsort([digest[:, 1], digest[:, 0]])] = np.arange(len(digest))
+            place = rank[run]
+            in_order = digest[np.argsort(rank)]
+            ends = np.cumsum([len(x) + 1 for x in texts])
+            genome = of_row[np.searchsorted(ends, start, "right")]
+            for g in range(len(names)):
+                held = np.zeros(len(digest), bool)
+                held[place[genome == g]] = True
+                both = np.concatenate([kept.get(names[g], in_order[:0]), in_order[np.flatnonzero(held)[:s]]])
+                kept[names[g]] = np.unique(both, axis=0)[:s]
+        for genome, rows in kept.items():
+            out = [f"{a:016x}{c:016x}" for a, c in rows.tolist()]
             yield pa.RecordBatch.from_arrays([pa.array([genome] * len(out), pa.string()), pa.array(out, pa.string())], ["genome", "h"])
 
     src = seqs.filter(F.col("genome").isNotNull() & (F.char_length("seq") >= k)).select(F.col("genome").cast("string").alias("genome"), "seq")
@@ -51,13 +61,20 @@ def sketch(seqs: DataFrame, k: int = 15, s: int = 1000) -> DataFrame:
 
 
 def jaccard(sketches: DataFrame, s: int) -> DataFrame:
-    """``g1, g2, shared, used``: shared digests among the ``s`` smallest of both sketches together."""
-    a = sketches.groupBy("genome").agg(F.array_sort(F.collect_list("h")).alias("x"))
-    left, right = a.select(F.col("genome").alias("g1"), F.col("x").alias("u")), a.select(F.col("genome").alias("g2"), F.col("x").alias("v"))
-    x = left.join(right, F.col("g1") < F.col("g2"))
-    union = F.slice(F.array_sort(F.array_union("u", "v")), 1, s)
-    x = x.withColumn("m", union)
-    return x.select("g1", "g2", F.size(F.array_intersect("m", F.array_intersect("u", "v"))).alias("shared"), F.size("m").alias("used"))
+    """``g1, g2, shared, used``: shared digests among the ``s`` smallest of both sketches together, for every pair.
+
+    Genomes meet by the lists of equal digests. A common digest's place in the union is the sum of its places in both sketches
+    less the number of common ones up to it, so no sketch travels with a pair; pairs without a common digest have only sizes.
+    """
+    ranked = sketches.select("genome", "h", F.row_number().over(Window.partitionBy("genome").orderBy("h")).alias("r"))
+    left, right = ranked.select(F.col("genome").alias("g1"), "h", F.col("r").alias("r1")), ranked.select(F.col("genome").alias("g2"), "h", F.col("r").alias("r2"))
+    met = left.join(right, "h").filter("g1 < g2")
+    met = met.withColumn("i", F.row_number().over(Window.partitionBy("g1", "g2").orderBy("h")))
+    n = met.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("common"), F.sum(F.when(F.col("r1") + F.col("r2") - F.col("i") <= s, 1).otherwise(0)).alias("shared"))
+    sizes = sketches.groupBy("genome").agg(F.count(F.lit(1)).alias("n"))
+    one, two = sizes.select(F.col("genome").alias("g1"), F.col("n").alias("n1")), sizes.select(F.col("genome").alias("g2"), F.col("n").alias("n2"))
+    x = one.join(two, F.col("g1") < F.col("g2")).join(n, ["g1", "g2"], "left")
+    return x.select("g1", "g2", F.coalesce("shared", F.lit(0)).cast("int").alias("shared"), F.least(F.lit(s), F.col("n1") + F.col("n2") - F.coalesce("common", F.lit(0))).cast("int").alias("used"))
 
 
 def mash_distance(j: Column, k: int) -> Column:

@@ -38,9 +38,11 @@ def consensus_splits(clusters: DataFrame, ntax: int, threshold: float = 50.0, st
     if statistic in ("tree_size_mean", "normalized_sum"):
         total = F.sum("weight").over(Window.partitionBy("tree_id"))
         s = s.withColumn("share", F.when(total > 0, F.col("weight") / total).otherwise(0.0))
+    if statistic == "median":  # places within the split's weights, which a sort may spill
+        s = s.select("*", F.row_number().over(Window.partitionBy("mask").orderBy("weight")).alias("k"), F.count(F.lit(1)).over(Window.partitionBy("mask")).alias("m"))
     values = {
         "mean": F.avg("weight"), "sum": F.sum("weight"), "count": F.count(F.lit(1)).cast("double"), "uniform": F.lit(1.0),
-        "median": F.element_at(F.sort_array(F.collect_list("weight")), (F.floor(F.count(F.lit(1)) / 2) + 1).cast("int")),
+        "median": F.max(F.when(F.col("k") == F.floor(F.col("m") / 2) + 1, F.col("weight"))) if statistic == "median" else F.lit(0.0),
         "tree_size_mean": F.avg("share") if "share" in s.columns else F.lit(0.0), "normalized_sum": F.sum("share") if "share" in s.columns else F.lit(0.0),
     }
     g = s.groupBy("mask").agg(F.count(F.lit(1)).alias("n"), values[statistic].cast("double").alias("weight"))

@@ -34,7 +34,15 @@ def stage(df: DataFrame, name: str = "t") -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     remove_at_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged = path
+    return out
+
+
+def together(tables: list[DataFrame]) -> DataFrame:
+    """All rows of tables written by :func:`stage` with the same columns, as one scan."""
+    spark = tables[0].sparkSession
+    return spark.read.schema(tables[0].schema).parquet(*(t._staged for t in tables))
 
 
 def stage_counted(df: DataFrame, name: str = "t") -> tuple[DataFrame, int]:
