@@ -141,7 +141,12 @@ def char_tajima_d(spark, sf):
     return t.select("sites", F.col("segregating").cast("bigint"), *(F.round(c, 6).alias(c) for c in ("pi", "watterson", "d")))
 
 
-@query("char_v_scores")
+_V = ", ".join(f"CASE WHEN sum(CASE WHEN {x} AND {y} THEN 1 ELSE 0 END) > 0 THEN CAST(sum(CASE WHEN {x} THEN 1 ELSE 0 END) AS DOUBLE) * sum(CASE WHEN {y} THEN 1 ELSE 0 END) / sum(CASE WHEN {x} AND {y} THEN 1 ELSE 0 END) / count(*) ELSE 0 END"
+               for x, y in (("a.ch <> b.ch", "c.ch <> d.ch"), ("a.ch <> c.ch", "b.ch <> d.ch"), ("a.ch <> d.ch", "b.ch <> c.ch")))
+
+
+@query("char_v_scores", f"""WITH {B.DNA_SQL}, q AS (SELECT a.taxon AS taxon, b.taxon AS j, c.taxon AS k, d.taxon AS l, least(1.0, greatest(1 - CAST(sum(CASE WHEN a.ch = b.ch AND a.ch = c.ch AND a.ch = d.ch THEN 1 ELSE 0 END) AS DOUBLE) / count(*), {_V})) AS v
+FROM b2 a JOIN b2 b ON a.site = b.site AND a.taxon < b.taxon JOIN b2 c ON a.site = c.site AND b.taxon < c.taxon JOIN b2 d ON a.site = d.site AND c.taxon < d.taxon GROUP BY ALL) SELECT taxon, count(*) AS quartets, round(avg(v), 6) AS mean_v FROM q GROUP BY taxon""")
 def char_v_scores(spark, sf):
     """Capture-recapture scores of all quartets of the regions' suppliers' patterns: mean over each first taxon."""
     v = C.quartet_v_scores(B.dna(spark, sf))
@@ -558,14 +563,26 @@ def bootstrap_pipeline(spark, sf):
     return x.withColumn("replicates", reps.agg(F.count_distinct("rep")).scalar()).select("replicates", "certain_trivial", "in_range")
 
 
-@query("trees_consensus_tree")
+# a tree of clusters ``k`` (mask, weight): node t - 1 is the leaf of taxon t, inner nodes follow by size and mask, parents are the next larger sets
+_EDGES = f""", sets AS (SELECT mask FROM k UNION SELECT 1::BIGINT << i FROM (SELECT unnest(generate_series(0, {NTAX - 1}))::INTEGER AS i) UNION SELECT CAST({_FULL} AS BIGINT)), no AS (SELECT mask, row_number() OVER (ORDER BY bit_count(mask), mask) - 1 AS i FROM sets),
+id AS (SELECT mask, i, CASE WHEN bit_count(mask) = 1 THEN bit_count(mask - 1) ELSE {NTAX} + i END AS v FROM no), up AS (SELECT c.mask AS mask, min(p.i) AS i FROM id c JOIN id p ON p.i > c.i AND p.mask & c.mask = c.mask GROUP BY c.mask)
+SELECT 1 AS net_id, CAST(p.v AS INTEGER) AS parent, CAST(c.v AS INTEGER) AS child, round(coalesce(k.weight, 0), 6) AS weight, CAST(CASE WHEN bit_count(c.mask) = 1 THEN c.v + 1 END AS INTEGER) AS taxon FROM up JOIN id c ON c.mask = up.mask JOIN id p ON p.i = up.i LEFT JOIN k ON k.mask = c.mask"""
+
+
+def _edge_rows(t):
+    return t.select("net_id", "parent", "child", F.round("weight", 6).alias("weight"), "taxon")
+
+
+@query("trees_consensus_tree", f"WITH {B.CLUSTERS_SQL}, nt AS (SELECT count(DISTINCT tree_id) AS t FROM b5), k AS (SELECT mask, avg(weight) AS weight FROM b5, nt GROUP BY mask, t HAVING 2 * count(*) > t)" + _EDGES)
 def trees_consensus_tree(spark, sf):
-    return W.cluster_tree(T.consensus_clusters(B.clusters(spark, sf)), NTAX)
+    return _edge_rows(W.cluster_tree(T.consensus_clusters(B.clusters(spark, sf)), NTAX))
 
 
-@query("trees_greedy_consensus_tree")
+@query("trees_greedy_consensus_tree", _TR.replace("WITH ", "WITH RECURSIVE ", 1) + f""", sp AS (SELECT mask, CAST(count(*) AS DOUBLE) AS weight FROM ts GROUP BY mask), o AS (SELECT mask, row_number() OVER (ORDER BY weight DESC, bit_count(mask) DESC, mask) AS i FROM sp),
+g AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS k UNION ALL SELECT o.i, CASE WHEN {_TREE_OK} THEN list_append(g.k, o.mask) ELSE g.k END FROM g JOIN o ON o.i = g.i + 1),
+k AS (SELECT mask, weight FROM sp WHERE mask IN (SELECT unnest(k) FROM g WHERE i = (SELECT max(i) FROM o)))""" + _EDGES)
 def trees_greedy_consensus_tree(spark, sf):
-    return W.cluster_tree(S.greedy_compatible(T.consensus_splits(B.clusters(spark, sf), NTAX, 0.0, "count"), NTAX), NTAX)
+    return _edge_rows(W.cluster_tree(S.greedy_compatible(T.consensus_splits(B.clusters(spark, sf), NTAX, 0.0, "count"), NTAX), NTAX))
 
 
 @query("trees_average_consensus")
@@ -590,10 +607,11 @@ def network_stretch_filter(spark, sf):
     return W.stretch_filter(d, list(range(1, 11)), 10.0)
 
 
-@query("network_path_distances")
+@query("network_path_distances", _LAB.replace("WITH ", "WITH RECURSIVE ", 1) + """, hop AS (SELECT t1 AS a, t2 AS b, d FROM b3 UNION ALL SELECT t2, t1, d FROM b3), top AS (SELECT max(d) AS t FROM b3 e WHERE e.t2 NOT IN (WITH RECURSIVE w AS (SELECT e.t1 AS x UNION SELECT CASE WHEN f.t1 = w.x THEN f.t2 ELSE f.t1 END FROM w JOIN b3 f ON (f.t1 = w.x OR f.t2 = w.x) AND f.d < e.d) SELECT x FROM w)),
+p AS (SELECT a AS s, b AS x, d, [a, b] AS seen FROM hop, top WHERE d <= t UNION ALL SELECT p.s, h.b, p.d + h.d, list_append(p.seen, h.b) FROM p JOIN hop h ON h.a = p.x, top WHERE h.d <= t AND NOT list_contains(p.seen, h.b)) SELECT s AS t1, x AS t2, round(min(d), 6) AS d FROM p WHERE s < x GROUP BY ALL""")
 def network_path_distances(spark, sf):
     d = M.min_spanning_network(B.label_distances(spark, sf)).select(F.col("t1").alias("src"), F.col("t2").alias("dst"), F.col("d").alias("weight"))
-    return M.path_distances(d, list(range(1, 11)))
+    return M.path_distances(d, list(range(1, 11))).select("t1", "t2", F.round("d", 6).alias("d"))
 
 
 _HIGH = """h AS (SELECT CAST(c_nationkey + 1 AS INTEGER) AS taxon, quarter(l_shipdate) || l_returnflag AS site, sum(l_quantity) AS s FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
@@ -695,7 +713,11 @@ def sketch_search(spark, sf):
     return _sketch_search(spark, sf).select("query", "rank", "id", F.round("jaccard", 6).alias("jaccard"), F.round("d", 6).alias("d"))
 
 
-@query("sketch_context")
+@query("sketch_context", f"""WITH RECURSIVE in_force AS (SELECT taxon_id AS node, CASE WHEN parent_id <> 0 THEN parent_id END AS parent FROM taxa WHERE taxon_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY taxon_id ORDER BY loaded_at DESC NULLS LAST, parent_id DESC NULLS LAST) = 1),
+links AS (SELECT a.node, b.node AS parent FROM in_force a LEFT JOIN in_force b ON a.parent = b.node), walk AS (SELECT node, [node] AS path FROM links WHERE parent IS NULL UNION ALL SELECT l.node, list_append(w.path, l.node) FROM walk w JOIN links l ON l.parent = w.node),
+{_SEARCH.removeprefix("WITH ")}, met AS (SELECT query, path FROM ranked JOIN walk ON node = id WHERE rank <= {TOP}), n AS (SELECT query, count(*) AS n FROM met GROUP BY query),
+c AS (SELECT query, i, x, count(*) AS k FROM (SELECT query, unnest(path) AS x, generate_subscripts(path, 1) AS i FROM met) GROUP BY ALL), low AS (SELECT query, arg_max(x, i) AS ancestor FROM c JOIN n USING (query) WHERE k = n GROUP BY query)
+SELECT CAST(query AS INTEGER) AS query, n, CAST(ancestor AS BIGINT) AS ancestor FROM n LEFT JOIN low USING (query)""")
 def sketch_context(spark, sf):
     """Lowest common ancestor of each query's matches in the taxonomy."""
     return K.lowest_common(_sketch_search(spark, sf), H.build_hierarchy(H.in_force(B.table(spark, sf, "taxa"))))
