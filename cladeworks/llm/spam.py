@@ -34,7 +34,7 @@ from cladeworks.functions.hashes import Prefixes
 from cladeworks.llm.repeats import longest_repeats, sorted_suffixes
 
 #: Characters of pages whose states are built together.
-BATCH = 1_500_000
+BATCH = 100_000
 #: Least length of a repeat in characters, of a clause in words, and the stretch of words in which different ones are counted.
 LEAST, RUN, WINDOW = 8, 6, 24
 #: Share of words in clauses beyond which a page, however much of it is repeated, is made of sentences.
@@ -144,8 +144,9 @@ def page_measures(texts: list[str]) -> np.ndarray:
 
     # coverage by the automaton's maximal repeats, from word to word, outside records
     record = np.repeat(twice & (figures[first + count] > figures[first]), count)
-    _, ranks = np.unique(codes, return_inverse=True)
-    order, common = sorted_suffixes(ranks.astype(np.int64), page)
+    present = np.zeros(int(codes.max()) + 1, bool)
+    present[codes] = True
+    order, common = sorted_suffixes(np.cumsum(present)[codes] - 1, page)
     word_end = np.maximum.accumulate(np.where(~word & _before(word, False), np.arange(len(codes)), 0))
     cover = []
     for times in (2, 3):
