@@ -57,9 +57,10 @@ def hex_values(text: str) -> tuple[bytes, int]:
 
     Anything but a digit separates. Values are cut from each part by itself, so digits of two parts never make one value.
     """
-    parts = [text] if text.isalnum() and not _OTHER.search(text) else _OTHER.split(text)
-    extra = sum(len(p) % 16 for p in parts)
-    return bytes.fromhex("".join(p[: len(p) // 16 * 16] for p in parts) if extra else "".join(parts)), extra
+    parts = _OTHER.split(text)
+    if not any(n % 16 for n in set(map(len, parts))):
+        return bytes.fromhex("".join(parts)), 0
+    return bytes.fromhex("".join(p[: len(p) // 16 * 16] for p in parts)), sum(len(p) % 16 for p in parts)
 
 
 def parse_hex_sets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
