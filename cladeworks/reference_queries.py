@@ -204,9 +204,10 @@ def splits_incompatible(spark, sf):
     return S.incompatible_pairs(_splits(spark, sf), NTAX)
 
 
-@query("splits_blob_filter", _SP + " SELECT mask, weight FROM sp p WHERE NOT EXISTS (SELECT 1 FROM sp q WHERE p.mask & q.mask NOT IN (0, p.mask, q.mask))")
+@query("splits_blob_filter", _SP + f", t AS (SELECT CASE WHEN i = 0 THEN {_FULL} - 1 ELSE 1::BIGINT << i END AS mask FROM (SELECT unnest(generate_series(0, {NTAX - 1}))::INTEGER AS i)), k AS (SELECT mask, weight FROM sp UNION ALL SELECT CAST(mask AS BIGINT), CAST(0 AS DOUBLE) FROM t WHERE mask NOT IN (SELECT mask FROM sp)) SELECT mask, weight FROM k p WHERE NOT EXISTS (SELECT 1 FROM k q WHERE p.mask & q.mask NOT IN (0, p.mask, q.mask))")
 def splits_blob_filter(spark, sf):
-    return S.blob_filter(_splits(spark, sf), NTAX)
+    """Of the splits and all trivial ones."""
+    return S.blob_filter(S.weight_slider(_splits(spark, sf), NTAX), NTAX)
 
 
 _SEP = f", tx AS (SELECT unnest(generate_series(1, {NTAX}))::INTEGER AS t), sd AS (SELECT a.t AS t1, b.t AS t2, sum(weight) AS d FROM sp JOIN tx a ON true JOIN tx b ON a.t < b.t WHERE ((mask >> (a.t-1)) & 1) <> ((mask >> (b.t-1)) & 1) GROUP BY ALL)"
@@ -279,7 +280,6 @@ def splits_incompatibility_score(spark, sf):
 
 
 query("splits_clique_compatible")(lambda spark, sf: S.clique_compatible(_splits(spark, sf).filter("bit_count(mask) between 2 and 23"), NTAX))
-query("splits_clique_circular")(lambda spark, sf: S.clique_circular(_splits(spark, sf), NTAX, list(range(1, NTAX + 1))))
 query("splits_cycle")(lambda spark, sf: S.splits_cycle(_splits(spark, sf), NTAX))
 
 
@@ -408,9 +408,20 @@ def trees_rooted_triples(spark, sf):
     return T.rooted_triples(B.clusters(spark, sf), NTAX)
 
 
-@query("trees_one_spr_pairs")
+_MOVED = f"""WITH {B.CLUSTERS_SQL}, c AS (SELECT tree_id, mask FROM b5 UNION SELECT tree_id + 100, CASE WHEN mask IN (1, {_FULL}) THEN mask ELSE mask & {_FULL - 1} END FROM b5), s AS (SELECT tree_id, list_sort(list(mask)) AS x FROM c GROUP BY tree_id),
+p AS (SELECT a.tree_id AS t1, b.tree_id AS t2, a.x AS x, b.x AS y, unnest(list_intersect(a.x, b.x)) AS cut FROM s a JOIN s b ON a.tree_id < b.tree_id AND a.x <> b.x),
+l AS (SELECT t1, t2, list_sort(list_distinct(list_filter(list_transform(x, lambda m: m & ({_FULL} - cut)), lambda m: m <> 0))) AS x, list_sort(list_distinct(list_filter(list_transform(y, lambda m: m & ({_FULL} - cut)), lambda m: m <> 0))) AS y FROM p)
+SELECT DISTINCT t1, t2 FROM l WHERE x = y"""
+
+
+@query("trees_one_spr_pairs", _MOVED)
 def trees_one_spr_pairs(spark, sf):
-    return T.one_spr_pairs(B.clusters(spark, sf), NTAX)
+    """Among the trees and copies of them in which taxon 1 is moved below the root."""
+    c = B.clusters(spark, sf)
+    full = S.full_mask(NTAX)
+    away = F.when(F.col("mask").isin(1, full), F.col("mask")).otherwise(F.col("mask").bitwiseAND(F.lit(full - 1)))
+    moved = c.select((F.col("tree_id") + 100).alias("tree_id"), away.alias("mask"), "weight")
+    return T.one_spr_pairs(c.unionByName(moved).dropDuplicates(["tree_id", "mask"]), NTAX)
 
 
 # ------------------------------------------------------------------ distances
@@ -475,6 +486,26 @@ def dist_buneman(spark, sf):
     return M.buneman_tree(B.label_distances(spark, sf)).select("mask", F.round("weight", 6).alias("weight"))
 
 
+def _net_and_cycle(spark, sf):
+    d = B.label_distances(spark, sf)
+    return M.neighbor_net(d), [r.taxon for r in M.neighbor_net_cycle(d).orderBy("position").collect()]
+
+
+@query("splits_clique_circular")
+def splits_clique_circular(spark, sf):
+    """The heaviest tree within the neighbor-net of the labels."""
+    net, cycle = _net_and_cycle(spark, sf)
+    return S.clique_circular(net, len(cycle), cycle)
+
+
+@query("splits_clique_agree", "SELECT true AS same")
+def splits_clique_agree(spark, sf):
+    """The heaviest compatible splits of circular splits are the same by the program over intervals and by branch and bound."""
+    net, cycle = _net_and_cycle(spark, sf)
+    total = lambda x: x.agg(F.round(F.sum("weight"), 6)).scalar()
+    return spark.range(1).select((total(S.clique_circular(net, len(cycle), cycle)) == total(S.clique_compatible(net, len(cycle)))).alias("same"))
+
+
 @query("dist_check", _LAB + " SELECT count(*) AS pairs, CAST(0 AS BIGINT) AS shorter, CAST(0 AS BIGINT) AS without_path FROM b3")
 def dist_check(spark, sf):
     """No path of the minimum spanning network is shorter than the distance of its ends, as these meet the triangle inequality."""
