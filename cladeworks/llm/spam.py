@@ -1,13 +1,13 @@
 """Pages made of repeated keywords, link lists or product tags instead of sentences.
 
 Method. The states of each page's suffix automaton (:mod:`cladeworks.llm.repeats`) give for every character the longest
-substring starting there that the page holds two or three times. Cut back to whole words, those maximal repeats cover a
-share of the page's characters. The *coverage* is combined with measures of missing *clause structure* that need no word
+substring starting there that the page holds two or three times. Those maximal repeats, as they are and cut back to whole
+words, cover shares of the page's characters. The *coverage* is combined with measures of missing *clause structure* that need no word
 list: how many words stand in unbroken runs of at least ``RUN`` words (clauses have such runs, lists of links, tags or
-names have not), how many different words a stretch of ``WINDOW`` words has, how many the page has for its length, how
+names have not), how many different words a stretch of ``WINDOW`` words has, how many the page has for its length, how long words are, how
 much is punctuation or numbers, and how much stands in lines that recur with other numbers (records of a table or log). One
 score, a logistic function of coverage and these measures and their products, decides on all kinds of pages alike; a page
-without covered characters, or with most words in clauses, is never found. Case is ignored and each number reads as one 0.
+without covered characters, with most words in clauses, or of ever new words, is never found. Case is ignored and each number reads as one 0.
 
 The coefficients were fitted by :func:`fit` on ``page_labels`` (see ``FITTED``); pages are then judged alike, whatever table
 they come from.
@@ -37,12 +37,16 @@ from cladeworks.llm.repeats import longest_repeats, sorted_suffixes
 BATCH = 100_000
 #: Least length of a repeat in characters, of a clause in words, and the stretch of words in which different ones are counted.
 LEAST, RUN, WINDOW = 8, 6, 24
+#: Least length of a repeat that need not be of whole words.
+SHORT = 6
 #: Share of words in clauses beyond which a page, however much of it is repeated, is made of sentences.
 CLAUSES = 0.6
+#: Tenths of different words to the root of all words beyond which a page lists too many things to be a keyword list.
+TYPES = 0.8
 #: Most labelled pages that :func:`fit_labelled` brings to the driver.
 LABELS = 20_000
 
-MEASURES = ("cover_2", "cover_3", "variety", "clauses", "records", "numbers", "punctuation", "types", "length")
+MEASURES = ("cover", "cover_2", "cover_3", "variety", "clauses", "records", "numbers", "punctuation", "types", "length", "letters")
 OTHER, LETTER, DIGIT, BLANK, LINE, JOIN = range(6)
 
 
@@ -148,9 +152,19 @@ def page_measures(texts: list[str]) -> np.ndarray:
     present[codes] = True
     order, common = sorted_suffixes(np.cumsum(present)[codes] - 1, page)
     word_end = np.maximum.accumulate(np.where(~word & _before(word, False), np.arange(len(codes)), 0))
+    inside = np.repeat(record, stop - start)
+    outside = np.ones(len(codes), bool)
+    outside[np.repeat(start - np.concatenate([[0], np.cumsum(stop - start)[:-1]]), stop - start)[inside] + np.flatnonzero(inside)] = False
     cover = []
     for times in (2, 3):
-        deep = longest_repeats(order, common, times)[start]
+        deep = longest_repeats(order, common, times)
+        if times == 2:  # any repeats, also of parts of words
+            good = np.flatnonzero((deep >= SHORT) & outside)
+            marks = np.zeros(len(codes) + 1, np.int64)
+            np.add.at(marks, good, 1)
+            np.add.at(marks, good + deep[good], -1)
+            cover.append(_mean(np.bincount(page[(np.cumsum(marks)[:-1] > 0) & ~end], minlength=p), size))
+        deep = deep[start]
         to = np.minimum(word_end[np.minimum(start + deep, len(codes) - 1)], start + deep)
         good = (to - start >= LEAST) & ~record
         marks = np.zeros(len(codes) + 1, np.int64)
@@ -168,7 +182,7 @@ def page_measures(texts: list[str]) -> np.ndarray:
     clauses = sums(clause.astype(float), owner[plain])
 
     marks = sums((kind == OTHER).astype(float), page)
-    return np.stack([*cover, variety, _mean(clauses, words), _mean(records, words), _mean(sums(numeral.astype(float), owner), words), _mean(marks, size), types / np.sqrt(np.maximum(words, 1)) / 10, np.minimum(np.log10(words + 1), 3.5), words], 1)
+    return np.stack([*cover, variety, _mean(clauses, words), _mean(records, words), _mean(sums(numeral.astype(float), owner), words), _mean(marks, size), types / np.sqrt(np.maximum(words, 1)) / 10, np.minimum(np.log10(words + 1), 4.0), _mean(sums((stop - start).astype(float), owner), words) / 10, words], 1)
 
 
 def _terms(m: np.ndarray) -> np.ndarray:
@@ -179,15 +193,22 @@ def _terms(m: np.ndarray) -> np.ndarray:
 
 #: Coefficients of the terms, fitted once by :func:`fit` on 6,700 labelled pages (limit LABELS); not tuned by hand.
 FITTED = np.array([
-    6.542, 3.611, -1.608, 4.043, 12.02, -10.97, 29.93, -1.828, 5.773, -0.7505, -1.547, 6.327, -8.53, -9.758, 8.113, 44.35, 6.868, 0.06711, -2.42, 1.508,
-    -6.947, -45.31, 6.552, 28.12, 4.281, -0.613, -6.683, -0.9851, -0.1019, -42.89, 21.61, -5.071, -2.835, -2.216, -117.6, -28.86, -52.72, -0.4467, -1.048,
-    31.43, 134.1, -39.26, 52.24, -0.9063, 33.28, 29.86, 11.18, 0.6864, 20.12, 18.5, 9.109, -4.527, -1.882, -0.8495, 0.6354,
+    5.794, 3.089, 3.132, -0.7455, 0.996, -1.511, -1.823, 17.69, -0.6222, 2.315, 4.747, 1.512, 0.0683, 0.5681, 4.976, 0.04546, -1.796, 0.9047, 27.37,
+    2.758, 0.5092, 2.171, -1.253, -0.6332, 2.577, -8.319, 92.61, -2.869, 22.86, 0.7358, -0.157, 2.076, -0.5343, 3.369, -8.882, 35.3, 26.52, 25.12, 4.116,
+    0.0482, 3.144, -4.082, -1.823, -3.324, -23.54, 11.46, -3.226, -2.5, -2.335, -4.263, -161.0, -8.179, -51.63, -1.66, -1.12, 3.787, -2.131, -3.976,
+    -35.58, 2.268, -0.5992, -3.653, 22.25, -27.07, 21.92, 0.2854, -60.41, 53.82, 13.68, 4.254, 27.0, -2.765, -1.461, -8.219, -0.7469, -3.202, 3.006,
+    0.4072,
 ])
 
 
 def _open(m: np.ndarray) -> np.ndarray:
-    """Pages that the score decides: with words, repeats, and not made of clauses."""
-    return (m[:, -1] > 0) & (m[:, 0] > 0) & (m[:, 3] <= CLAUSES)
+    """Pages that the score decides: with words, repeats, not made of clauses, and not of ever new words."""
+    return _repeating(m) & (m[:, 8] <= TYPES)
+
+
+def _repeating(m: np.ndarray) -> np.ndarray:
+    """Pages that the fit may learn from: as :func:`_open`, whatever the number of different words."""
+    return (m[:, -1] > 0) & (m[:, 0] > 0) & (m[:, 4] <= CLAUSES)
 
 
 def _logistic(x: np.ndarray) -> np.ndarray:
@@ -219,7 +240,7 @@ def fit_labelled(docs: DataFrame, labels: DataFrame, bound: int = LABELS) -> np.
     one = labels.filter(F.col("doc_id").isNotNull() & F.col("label").isNotNull()).groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).filter("label = other")
     rows = docs.select("doc_id", "text").join(one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound), "doc_id").select("text", "label").collect()
     m = page_measures([r.text or "" for r in rows])
-    known = _open(m)
+    known = _repeating(m)
     return fit(m[known, :-1], np.array([r.label == "spam" for r in rows], float)[known])
 
 
