@@ -191,7 +191,7 @@ def _terms(m: np.ndarray) -> np.ndarray:
     return np.hstack([m, *(m[:, i : i + 1] * m[:, i:] for i in range(k)), np.ones((len(m), 1))])
 
 
-#: Coefficients of the terms, fitted once by :func:`fit` on 6,700 labelled pages (limit LABELS); not tuned by hand.
+#: Coefficients of the terms, fitted once by :func:`fit` on 3,456 labelled pages (limit LABELS); not tuned by hand.
 FITTED = np.array([
     5.794, 3.089, 3.132, -0.7455, 0.996, -1.511, -1.823, 17.69, -0.6222, 2.315, 4.747, 1.512, 0.0683, 0.5681, 4.976, 0.04546, -1.796, 0.9047, 27.37,
     2.758, 0.5092, 2.171, -1.253, -0.6332, 2.577, -8.319, 92.61, -2.869, 22.86, 0.7358, -0.157, 2.076, -0.5343, 3.369, -8.882, 35.3, 26.52, 25.12, 4.116,
