@@ -24,13 +24,14 @@ def _hash(c: Column) -> Column:
 
 def draws(sites: DataFrame, replicates: int, seed: int = 42) -> DataFrame:
     """``rep, site, times``. ``sites``: ``site``, distinct; draw j of replicate r takes site number md5(seed:r:j) mod n, in order."""
-    n = sites.agg(F.count(F.lit(1))).scalar()
     order = numbered(sites.select("site"), "site")
+    n = order.agg(F.count(F.lit(1))).scalar()
     # the draws themselves come from the numbered sites: draw j for site number j
     x = order.select("no", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep")).withColumn("n", n)
     at = F.pmod(_hash(F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string"), F.col("no").cast("string"))), F.col("n"))
-    got = x.select("rep", at.alias("no")).groupBy("rep", "no").agg(F.count(F.lit(1)).alias("times"))
-    return got.join(order, "no").select("rep", "site", "times")
+    # parted by number alone, which serves the join too; Spark doesn't count replicates when it guesses sizes, so it must not choose to broadcast draws
+    got = x.select("rep", at.alias("no")).repartition("no").groupBy("rep", "no").agg(F.count(F.lit(1)).alias("times"))
+    return got.hint("merge").join(order, "no").select("rep", "site", "times")
 
 
 def poisson(sites: DataFrame, replicates: int, seed: int = 42) -> DataFrame:

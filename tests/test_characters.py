@@ -1,6 +1,7 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from cladeworks.operators import bootstrap as Z
 from cladeworks.operators import char_distances as D
@@ -89,3 +90,13 @@ def test_bootstrap(spark):
     masks = spark.createDataFrame([(i, 2 if i < 190 else 4) for i in range(200)], "site int, mask long")
     got = {r["mask"]: r.confidence for r in Z.split_support(masks, d, 5).collect()}
     assert got[2] == 100.0
+
+
+def test_draws_are_not_broadcast(spark):
+    key = "spark.sql.maxBroadcastTableSize"
+    spark.conf.set(key, str(4 << 20))
+    try:
+        d = Z.draws(spark.range(20000).toDF("site"), 20).groupBy("rep").agg(F.sum("times").alias("s"), F.max("site")).collect()
+    finally:
+        spark.conf.unset(key)
+    assert sorted(r.rep for r in d) == list(range(1, 21)) and {r.s for r in d} == {20000}
