@@ -49,7 +49,7 @@ def poisson(sites: DataFrame, replicates: int, seed: int = 42) -> DataFrame:
 
 def split_support(site_masks: DataFrame, sample: DataFrame, replicates: int, min_percent: float = 0.0) -> DataFrame:
     """``mask, n, confidence, weight``: in how many replicates a split occurs and its mean weight there. ``site_masks``: ``site, mask``."""
-    w = site_masks.join(sample, "site").groupBy("rep", "mask").agg(F.sum("times").alias("w"))
+    w = site_masks.join(sample.hint("merge"), "site").groupBy("rep", "mask").agg(F.sum("times").alias("w"))
     g = w.groupBy("mask").agg(F.count(F.lit(1)).alias("n"), F.avg("w").alias("weight"))
     return g.select("mask", "n", (100.0 * F.col("n") / replicates).alias("confidence"), "weight").filter(F.col("confidence") >= min_percent)
 

@@ -563,7 +563,7 @@ def bootstrap_draws(spark, sf):
 
 @query("bootstrap_splits", _BOOT + f", w AS (SELECT rep, CASE WHEN m & 1 <> 0 THEN {_FULL} - m ELSE m END AS mask, sum(times) AS w FROM s JOIN m USING (site) WHERE m <> {_FULL} GROUP BY ALL), g AS (SELECT mask, count(*) AS n, avg(w) AS weight FROM w GROUP BY mask) SELECT mask, n, round(100.0 * n / {REPS}, 6) AS confidence, round(weight, 6) AS weight FROM g WHERE 100.0 * n / {REPS} >= 10")
 def bootstrap_splits(spark, sf):
-    m = _site_masks(spark, sf)
+    m = stage(_site_masks(spark, sf), "masks")
     masks = m.filter(F.col("m") != S.full_mask(NTAX)).select("site", S.canonical(F.col("m"), NTAX).alias("mask"))
     return Z.split_support(masks, Z.draws(m.select("site"), REPS), REPS, 10.0).select("mask", "n", F.round("confidence", 6).alias("confidence"), F.round("weight", 6).alias("weight"))
 

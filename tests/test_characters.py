@@ -100,3 +100,14 @@ def test_draws_are_not_broadcast(spark):
     finally:
         spark.conf.unset(key)
     assert sorted(r.rep for r in d) == list(range(1, 21)) and {r.s for r in d} == {20000}
+
+
+def test_samples_are_not_broadcast(spark):
+    key = "spark.sql.maxBroadcastTableSize"
+    masks = spark.range(2000000).filter("id < 20000").selectExpr("id as site", "2L as mask")
+    spark.conf.set(key, str(4 << 20))
+    try:
+        got = Z.split_support(masks, Z.poisson(spark.range(20000).toDF("site"), 20), 20).collect()
+    finally:
+        spark.conf.unset(key)
+    assert [(r["mask"], r.n, r.confidence) for r in got] == [(2, 20, 100.0)] and 19000 < got[0].weight < 21000
