@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import groupby, islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -146,14 +147,36 @@ def network(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def genomes(spark: SparkSession, path: str) -> DataFrame:
-    """``path, taxon, name, accession, length, parts ARRAY<STRUCT<file, offset, length, seq>>`` of Nexus genomes blocks, one row per genome."""
+    """``path, taxon, name, accession, length, parts ARRAY<STRUCT<file, offset, length, seq>>`` of Nexus genomes blocks, one row per genome.
 
-    def run(batches):
+    One task a file cuts its lines into rows of the matrix as they come, so a file need not fit memory; the rows are parsed in parallel.
+    """
+
+    def cut(batches):
+        chunks = ((f, "\n".join(p.value[i:j]) + "\n") for p in batches for f, i, j in _runs(p.path))
+        for f, own in groupby(chunks, lambda x: x[0]):
+            rows = ((f, *r) for r in P.nexus_genome_rows(c for _, c in own))
+            while some := list(islice(rows, 10_000)):
+                yield pd.DataFrame(some, columns=["path", "no", "label", "labels", "accessions", "multipart", "text"])
+
+    def parse(batches):
         for p in batches:
-            rows = [(f, i + 1, n, a, k, [{"file": x, "offset": o, "length": m, "seq": s} for x, o, m, s in parts]) for f, t in zip(p.path, p.text) for i, (n, a, k, parts) in enumerate(P.nexus_genomes(t))]
+            rows = []
+            for f, i, *r in p.itertuples(index=False):
+                n, a, k, parts = P.nexus_genome(*r)
+                rows.append((f, i + 1, n, a, k, [{"file": x, "offset": o, "length": m, "seq": s} for x, o, m, s in parts]))
             yield pd.DataFrame(rows, columns=["path", "taxon", "name", "accession", "length", "parts"])
 
-    return whole_files(spark, path).mapInPandas(run, "path string, taxon int, name string, accession string, length int, parts array<struct<file: string, offset: bigint, length: int, seq: string>>")
+    lines = spark.read.text(path).select(F.input_file_name().alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    ordered = lines.repartition("path").sortWithinPartitions("path", "block", "at").select("path", "value")
+    rows = ordered.mapInPandas(cut, "path string, no int, label string, labels boolean, accessions boolean, multipart boolean, text string").repartition("path", "no")
+    return rows.mapInPandas(parse, "path string, taxon int, name string, accession string, length int, parts array<struct<file: string, offset: bigint, length: int, seq: string>>")
+
+
+def _runs(keys: pd.Series) -> list[tuple[str, int, int]]:
+    """(key, start, end) of each run of equal keys."""
+    starts = [i for i, new in enumerate(keys.ne(keys.shift())) if new]
+    return [(keys.iloc[i], i, j) for i, j in zip(starts, [*starts[1:], len(keys)])]
 
 
 def split_newick(spark: SparkSession, path: str) -> DataFrame:

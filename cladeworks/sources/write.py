@@ -241,16 +241,33 @@ def nexus_network(nodes: DataFrame, edges: DataFrame, kind: str = "Other") -> Da
 
 
 def nexus_genomes(genomes: DataFrame) -> DataFrame:
-    """A genomes block of ``taxon, name, accession, length, parts`` (parts by file and offset, or by sequence)."""
-
-    def make(p):
-        rows = []
-        for n, a, k, parts in p.sort_values(["taxon", "accession"])[["name_", "accession", "length", "parts"]].itertuples(index=False):
-            cells = [f"{x['length']} " + (f"'file://{x['file']}' {x['offset']}" if x["file"] else x["seq"]) for x in parts]
-            rows.append("\t'" + n.replace("'", "''") + f"' {a} {k} {len(cells)} " + " ".join(cells))
-        return f"#NEXUS\nBEGIN GENOMES;\nDIMENSIONS ntax={len(rows)};\nFORMAT labels=yes accessions=yes multiPart=yes dataType=DNA;\nMATRIX\n" + ",\n".join(rows) + "\n;\nEND;\n"
-
-    return _one(genomes.select("taxon", F.col("name").alias("name_"), "accession", "length", "parts"), make)
+    """A genomes block of ``taxon, name, accession, length, parts`` (parts by file and offset, or by sequence), one ``value`` per line in one partition."""
+
+    def make(batches):
+        for p in batches:
+            rows = []
+            for n, a, k, parts in p[["name_", "accession", "length", "parts"]].itertuples(index=False):
+                cells = [f"{x['length']} " + (f"'file://{x['file']}' {x['offset']}" if x["file"] else x["seq"]) for x in parts]
+                rows.append("\t'" + n.replace("'", "''") + f"' {a} {k} {len(cells)} " + " ".join(cells))
+            yield pd.DataFrame({"taxon": p.taxon, "accession": p.accession, "value": rows})
+
+    def block(batches):
+        held = None
+        for p in batches:
+            out = [held + ","] if held is not None else []
+            if held is None and len(p):
+                out = ["#NEXUS", "BEGIN GENOMES;", f"DIMENSIONS ntax={p.n.iloc[0]};", "FORMAT labels=yes accessions=yes multiPart=yes dataType=DNA;", "MATRIX"]
+            if len(p):
+                rows = p.value.tolist()
+                held = rows.pop()
+                yield pd.DataFrame({"value": [*out, *(x + "," for x in rows)]})
+        if held is not None:
+            yield pd.DataFrame({"value": [held, ";", "END;"]})
+
+    kind = genomes.schema["taxon"].dataType.simpleString()
+    lines = genomes.select("taxon", F.col("name").alias("name_"), "accession", "length", "parts").mapInPandas(make, f"taxon {kind}, accession string, value string")
+    n = genomes.agg(F.count(F.lit(1))).scalar()
+    return lines.repartition(1).sortWithinPartitions("taxon", "accession").select("value", n.alias("n")).mapInPandas(block, "value string")
 
 
 def nexml_trees(edges: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 import json
 import math
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from cladeworks.operators import splits as S
 from cladeworks.operators import trees as T
 from cladeworks.operators.numbering import numbered
 from cladeworks.sources import parse as P
+from cladeworks.sources import read as R
+from cladeworks.sources import write as O
 
 
 def test_numbered_in_order(spark):
@@ -135,6 +138,34 @@ def test_genome_and_network_blocks():
     assert P.nexus_sets("#NEXUS\nBEGIN SETS;\nCHARSET c = 1-7\\3;\nEND;")[-1] == ("charset", "c", "7")
 
 
+def test_many_genomes_in_linear_time():
+    rows = ",\n".join(f"\t'it''s, {i}' X{i} 6 2 4 'file:///x/y,z{i}.fa' {i} 2 AC" for i in range(20000))
+    text = f"#NEXUS\nBEGIN GENOMES;\nFORMAT labels=yes accessions=yes multiPart=yes; [a, b; 'c]\nMATRIX\n{rows}\n;\nEND;\n"
+    began = time.process_time()
+    got = P.nexus_genomes(text)
+    assert time.process_time() - began < 20
+    assert len(got) == 20000 and got[-1] == ("it's, 19999", "X19999", 6, [("/x/y,z19999.fa", 19999, 4, None), (None, None, 2, "AC")])
+    assert list(P.nexus_genome_rows(text[:5000])) == list(P.nexus_genome_rows([text[:5000]]))  # cut at each character
+
+
+def test_genome_labels_of_taxa_block():
+    taxa, genomes = "BEGIN TAXA;\nTAXLABELS 'a b' c;\nEND;\n", "BEGIN GENOMES;\nMATRIX\n 2 AC,\n 3 ACG\n;\nEND;\n"
+    for text in (taxa + genomes, genomes + taxa):
+        assert P.nexus_genomes("#NEXUS\n" + text) == [("a b", None, 2, [(None, None, 2, "AC")]), ("c", None, 3, [(None, None, 3, "ACG")])]
+
+
+def test_genomes_block_in_batches(spark, tmp_path):
+    n = 25000  # more than a batch of rows, and of lines
+    g = spark.range(n).selectExpr("cast(id as int) as taxon", "concat('t ', id) as name", "concat('X', id) as accession", "9 as length", "array(named_struct('file', 'f,', 'offset', id, 'length', 9, 'seq', cast(null as string))) as parts")
+    O.nexus_genomes(g).coalesce(1).write.text(str(tmp_path / "g"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    try:
+        got = R.genomes(spark, str(tmp_path / "g")).selectExpr("taxon", "name", "accession", "parts[0].offset as o").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(tuple(r) for r in got) == [(i + 1, f"t {i}", f"X{i}", i) for i in range(n)]
+
+
 def test_cli(spark, tmp_path):
     from cladeworks.plans import cli
 
